@@ -6,13 +6,13 @@ they are not what a model would say.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.functions.text import words
+from newsflow.functions.text import let, times, words
 from newsflow.schema import KEY
 
 # What counts as noise, the characters a cleaned message keeps
 # and the phrases that stand for an empty result.
 LINK = r"(?:https?://|www\.)[^\s]+"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}"
 TAG_OR_MENTION = r"[#@][\p{L}\p{N}_]+"
 PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
@@ -20,8 +20,8 @@ CREDIT = r"(?:Фото|Відео|Джерело|Інфографіка): ?[^\n]
 NOISE = "|".join([CREDIT, LINK, EMAIL, PHONE, TAG_OR_MENTION, EMOJI])
 BLANKS = r"[ \t\n\r\f]+"
 NOT_CLEAN = r"[^\p{L}\p{N} \t\n\r\f?!.,\-–—]+"
-CAPITALISED_RUN = r"[^.!?\n ] +(\p{Lu}[\p{L}\p{N}-]*(?: \p{Lu}[\p{L}\p{N}-]*)*)"
-TWO_SENTENCES = r"^[^.!?]*[.!?]+(?:[^.!?]*[.!?]+)?"
+CAPITALISED_RUN = r"[^.!?\n ] +(\p{Lu}[\p{L}\p{N}-]*(?: \p{Lu}[\p{L}\p{N}-]*)*+)"
+TWO_SENTENCES = r"^[^.!?]*(?:[.!?]+(?:[^.!?]*[.!?]+)?|$)"
 NO_MESSAGE = "повідомлення немає"
 NO_SUMMARY = "самарі відсутнє"
 
@@ -38,8 +38,7 @@ def extract_noise(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """The text without noise and special characters."""
     kept = F.regexp_replace(F.regexp_replace(text, NOISE, ""), NOT_CLEAN, "")
-    tidy = F.trim(F.regexp_replace(kept, BLANKS, " "))
-    return F.when(tidy == "", NO_MESSAGE).otherwise(tidy)
+    return F.regexp_replace(F.trim(F.regexp_replace(kept, BLANKS, " ")), "^$", NO_MESSAGE)
 
 
 def entities(cleaned: Column) -> Column:
@@ -50,10 +49,8 @@ def entities(cleaned: Column) -> Column:
 
 def summary(cleaned: Column) -> Column:
     """The first two sentences, lower-cased as parsed answers are."""
-    opening = F.trim(F.regexp_extract(cleaned, TWO_SENTENCES, 0))
-    return (F.when(cleaned == NO_MESSAGE, NO_SUMMARY)
-            .when(opening == "", F.lower(cleaned))
-            .otherwise(F.lower(opening)))
+    opening = F.lower(F.trim(F.regexp_extract(cleaned, TWO_SENTENCES, 0)))
+    return F.regexp_replace(opening, f"^{NO_MESSAGE}$", NO_SUMMARY)
 
 
 def label_by_lexicon(messages: DataFrame, lexicon: DataFrame, values, default: str, name: str,
@@ -68,35 +65,38 @@ def label_by_lexicon(messages: DataFrame, lexicon: DataFrame, values, default: s
     entries = (lexicon.filter(F.col("value").isin(list(values)))
                .select("word", "value", "weight").limit(inline_limit + 1).collect())
     if len(entries) <= inline_limit:
-        return messages.withColumn(name, _inline_label(F.col(text_col), entries, values, default))
+        return messages.withColumn(
+            name, _inline_label(F.col(text_col), entries, values, default))
     return _joined_label(messages, lexicon, values, default, name, text_col, key_cols)
 
 
 def _inline_label(text: Column, entries, values, default: str) -> Column:
-    if not entries:
+    """Score inside each row: array_intersect looks the words up by hash, the few found count."""
+    weights = {}
+    for e in entries:
+        weights.setdefault(e.value, {})[e.word] = int(e.weight)
+    if not weights:
         return F.lit(default)
     known = F.array(*[F.lit(word) for word in sorted({e.word for e in entries})])
-    tokens = words(text)
-    # array_intersect looks words up by hash; the few it finds are then counted
-    found = F.array_intersect(tokens, known)
-    hits = F.filter(tokens, lambda token: F.array_contains(found, token))
-    scores = []
-    for place, value in enumerate(values):
-        mine = [e for e in entries if e.value == value]
-        if not mine:
-            continue
-        weights = {}
-        for e in mine:
-            weights.setdefault(int(e.weight), []).append(F.lit(e.word))
-        total = None
-        for weight, listed in weights.items():
-            listed_words = F.array(*listed)
-            count = F.size(F.filter(hits, lambda hit, w=listed_words: F.array_contains(w, hit)))
-            total = count * weight if total is None else total + count * weight
-        scores.append(F.struct(total.cast("long").alias("score"), F.lit(-place).alias("place"),
-                               F.lit(value).alias("value")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, best["value"]).otherwise(default)
+
+    def score(hits, value):
+        weight = F.create_map(*[F.lit(x) for item in weights[value].items() for x in item])
+        return F.aggregate(hits, F.lit(0).cast("long"), lambda total, hit: total + hit["times"]
+                           * F.coalesce(F.element_at(weight, hit["word"]), F.lit(0)))
+
+    def best(hits):
+        return F.array_max(F.array(*[
+            F.struct(score(hits, value).alias("score"), F.lit(-place).alias("place"),
+                     F.lit(value).alias("value"))
+            for place, value in enumerate(values) if value in weights]))
+
+    def hits(tokens):
+        return F.transform(F.array_intersect(tokens, known), lambda word: F.struct(
+            word.alias("word"), times(tokens, word).alias("times")))
+
+    label = let(words(text), lambda tokens: let(hits(tokens), lambda found: let(
+        best(found), lambda top: F.when(top["score"] > 0, top["value"]))))
+    return F.coalesce(label, F.lit(default))
 
 
 def _joined_label(messages, lexicon, values, default, name, text_col, key_cols):

@@ -64,18 +64,26 @@ def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_answers(answer: Column) -> Column:
     """``array<struct<n, value>>`` of the numbered answers in one reply.
 
     Text ahead of the first marker is ignored, and of two answers with one
     number the first counts.
     """
-    numbers = F.regexp_extract_all(answer, F.lit(ANSWER_MARK), F.lit(1))
+    marks = F.regexp_extract_all(answer, F.lit(ANSWER_MARK), F.lit(1)).cast("array<int>")
     pieces = F.split(answer, ANSWER_MARK, -1)
-    numbered = F.transform(numbers, lambda number, i: F.struct(
-        number.cast("int").alias("n"),
-        blank_to_null(F.lower(strip(F.get(pieces, i + 1)))).alias("value")))
-    return _first_per_number(numbered)
+
+    def value(pieces, i):
+        return blank_to_null(F.lower(strip(F.get(pieces, i + 1))))
+
+    return let(marks, lambda marks: let(pieces, lambda pieces: _first_per_number(
+        F.transform(marks, lambda n, i: F.struct(n.alias("n"), value(pieces, i).alias("value"))),
+        marks)))
 
 
 def split_blocks(answer: Column) -> Column:
@@ -83,11 +91,11 @@ def split_blocks(answer: Column) -> Column:
     blocks = F.transform(F.split(answer, BLOCK_SEPARATOR, -1), lambda block: F.struct(
         F.regexp_extract(block, BLOCK_MARK, 1).try_cast("int").alias("n"),
         block.alias("block")))
-    return _first_per_number(F.filter(blocks, lambda b: b["n"].isNotNull()))
+    return let(F.filter(blocks, lambda b: b["n"].isNotNull()),
+               lambda blocks: _first_per_number(blocks, blocks["n"]))
 
 
-def _first_per_number(numbered: Column) -> Column:
-    numbers = F.transform(numbered, lambda piece: piece["n"])
+def _first_per_number(numbered: Column, numbers: Column) -> Column:
     return F.filter(numbered, lambda piece, i: F.array_position(numbers, piece["n"]) == i + 1)
 
 
@@ -112,4 +120,9 @@ def answer_failed(answer: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
+
+
+def times(tokens: Column, word: Column | str) -> Column:
+    """How often ``word`` is among ``tokens``."""
+    return (F.size(tokens) - F.size(F.array_remove(tokens, word))).cast("long")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from newsflow.functions.text import words
+from newsflow.functions.text import times, words
 from newsflow.schema import KEY
 from newsflow.scratch import materialise
 
@@ -85,11 +85,10 @@ def text_search(messages: DataFrame, query: Sequence[str], k: int = 10,
     """
     asked = sorted({word.lower() for word in query})
     counts = [f"_tf{i}" for i in range(len(asked))]
-    tokens = F.col("_tokens")
     counted = materialise(
         messages.select(*id_cols, words(F.col(text_col)).alias("_tokens"))
-        .select(*id_cols, F.size(tokens).cast("long").alias("_length"),
-                *[F.size(F.filter(tokens, lambda t, w=word: t == w)).cast("long").alias(name)
+        .select(*id_cols, F.size("_tokens").cast("long").alias("_length"),
+                *[times(F.col("_tokens"), word).alias(name)
                   for name, word in zip(counts, asked)]), "counts")
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_length").alias("avg_length"),

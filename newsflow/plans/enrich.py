@@ -45,7 +45,8 @@ def clean_ner_by_rules(messages: DataFrame) -> DataFrame:
 
 
 def summary_by_rules(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("summary", rules.summary(rules.clean(F.col("initial_text"))))
+    return (messages.withColumn("_cleaned", rules.clean(F.col("initial_text")))
+            .withColumn("summary", rules.summary(F.col("_cleaned"))).drop("_cleaned"))
 
 
 def tonality_by_rules(messages: DataFrame, lexicon: DataFrame,

@@ -7,7 +7,7 @@ SPACE = r" \t\n\x0B\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 NOT_TEXT = "[^a-zA-Zа-яА-ЯІіЇїЄєҐґ—''/.,!?()\\p{Nd}" + SPACE + "]"
 NOISE = "|".join([
     r"(?:Фото|Відео|Джерело|Інфографіка): ?[^\n]*", r"(?:https?://|www\.)[^\s]+",
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}",
     r"\+[0-9][0-9 ().-]{7,}[0-9]", r"[#@][\p{L}\p{N}_]+",
     r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"])
 TS = "'%Y-%m-%d %H:%M:%S.%f'"

@@ -31,9 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table too small to fill the cluster's cores, dealt out evenly.
+
+    A table with at least one file split per core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as unprocessed messages, one per minute."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("message_id"),
         F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("doc_id") * 60).alias("publish_date"),
         "source", F.col("text").alias("initial_text"))
