@@ -6,7 +6,7 @@ they are not what a model would say.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.functions.text import let, times, words
+from newsflow.functions.text import explode_words, let, times, words
 from newsflow.schema import KEY
 
 # What counts as noise, the characters a cleaned message keeps
@@ -107,7 +107,7 @@ def _joined_label(messages, lexicon, values, default, name, text_col, key_cols):
                        places[F.col("value")].alias("place")))
     # counted per message first: a message's words sit in one task, so this
     # pre-aggregates fully before anything is shuffled
-    counted = (messages.select(*key_cols, F.explode(words(F.col(text_col))).alias("word"))
+    counted = (explode_words(messages.select(*key_cols, words(F.col(text_col)).alias("word")), "word")
                .groupBy(*key_cols, "word").agg(F.count(F.lit(1)).alias("times")))
     sums = (counted.join(lexicon, "word")
             .groupBy(*key_cols, "place", "value")

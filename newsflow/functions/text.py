@@ -1,6 +1,6 @@
 """Text, time and answer-parsing functions, all as native column expressions."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Characters a cleaned text keeps, the markup that is unwrapped,
 # characters not allowed in a file name, and the shapes of model answers.
@@ -12,6 +12,8 @@ NOT_FILENAME = r'[/\\:*?"<>|]'
 ZONE_SUFFIX = r"(Z|[+-]\d{2}:?\d{2})$"
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[XXX][XX]"
 LOCAL_ZONE = "Europe/Kyiv"
+BLANK_CHARACTERS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004" \
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ANSWER_MARK = r"Текст #?(\d{1,2})\s?:"
 BLOCK_SEPARATOR = r"\|\|\|"
 BLOCK_MARK = r"^\s*Текст #?(\d{1,2})"
@@ -57,7 +59,7 @@ def kyiv_hms(seconds: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, "^[" + SPACES + "]+|[" + SPACES + "]+$", "")
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -126,3 +128,12 @@ def words(text: Column) -> Column:
 def times(tokens: Column, word: Column | str) -> Column:
     """How often ``word`` is among ``tokens``."""
     return (F.size(tokens) - F.size(F.array_remove(tokens, word))).cast("long")
+
+
+def explode_words(df: DataFrame, name: str) -> DataFrame:
+    """One row per element of column ``name``.
+
+    The outer form keeps the optimizer from testing the array for elements
+    ahead of the scan, which would compute an array of words twice.
+    """
+    return df.withColumn(name, F.explode_outer(name)).filter(F.col(name).isNotNull())

@@ -80,13 +80,15 @@ def to_prompt(requests: DataFrame, template: str) -> DataFrame:
 def parse_single(answers: DataFrame) -> DataFrame:
     """Replies of the one-value steps as rows ``(source, batch_id, n, value)``."""
     return (answers.filter(~answer_failed(F.col("answer")))
-            .select("source", "batch_id", F.inline(split_answers(F.col("answer")))))
+            .select("source", "batch_id", F.inline_outer(split_answers(F.col("answer"))))
+            .filter(F.col("n").isNotNull()))
 
 
 def parse_clean_ner(answers: DataFrame) -> DataFrame:
     """Replies of the clean-and-entities step, one row per block."""
     blocks = (answers.filter(~answer_failed(F.col("answer")))
-              .select("source", "batch_id", F.inline(split_blocks(F.col("answer"))))
+              .select("source", "batch_id", F.inline_outer(split_blocks(F.col("answer"))))
+              .filter(F.col("n").isNotNull())
               .withColumn("_parts", split_actions(F.col("block"))))
     return blocks.select("source", "batch_id", "n",
                          F.col("_parts.cleared_text").alias("cleared_text"),

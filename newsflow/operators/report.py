@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from newsflow.functions.text import explode_words
+
 
 def unique_sources(messages: DataFrame) -> DataFrame:
     """Every source, the one with most messages first."""
@@ -41,7 +43,7 @@ def top_entities(messages: DataFrame, k: int = 20, approximate: bool = False,
 
     The approximate variant keeps ``tracked`` counters instead of one per entity.
     """
-    named = messages.select(F.explode("named_entities").alias("entity"))
+    named = explode_words(messages.select(F.col("named_entities").alias("entity")), "entity")
     if approximate:
         top = F.expr(f"approx_top_k(entity, {int(k)}, {int(tracked)})")
         return named.agg(top.alias("top")).select(F.inline("top")) \

@@ -8,7 +8,7 @@ from newsflow.functions import rules, text
 from newsflow.operators import (batches, merge, report, scoring, search, select, train)
 from newsflow.plans import enrich
 from newsflow.plans.tables import (CATEGORY_WORDS, CHANNELS, TONALITY_WORDS, event_messages,
-                                   lexicon, part_processed, table, text_feed, text_messages,
+                                   lexicon, part_processed, spread, table, text_feed, text_messages,
                                    turns, vectors)
 from newsflow.schema import CATEGORIES, KEY, TONALITIES
 from newsflow.scratch import materialise, scratch_path
@@ -355,7 +355,7 @@ def _judged(spark, sf):
     labels = table(spark, sf, "labels").select(
         "doc_id", F.col("quality").cast("string").alias("label"))
     long_text = F.length(text.clean_text(F.col("text"))) >= 1000
-    return table(spark, sf, "documents").join(labels, "doc_id").select(
+    return spread(table(spark, sf, "documents")).join(labels, "doc_id").select(
         "label", F.when(long_text, "1").otherwise("0").alias("predicted"))
 
 

@@ -61,7 +61,7 @@ def part_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as feed records: by label, one text form or both may be empty."""
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "message_id")
-    return (table(spark, sf_dir, "documents")
+    return (spread(table(spark, sf_dir, "documents"))
             .select(F.col("doc_id").alias("message_id"), "source", F.col("text").alias("_t"))
             .join(labels, "message_id", "left")
             .select("message_id", "source",

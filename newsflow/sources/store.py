@@ -50,7 +50,8 @@ def _days(df: DataFrame) -> set:
 
 
 def write_messages(spark: SparkSession, path: str, new: DataFrame, mode: str = "merge",
-                   key_cols=KEY, order_cols=("publish_date",), fixed_dates: bool = False) -> None:
+                   key_cols=KEY, order_cols=("publish_date",), fixed_dates: bool = False,
+                   unique: bool = False) -> None:
     """Upsert ``new`` into the table.
 
     ``merge`` overwrites the columns ``new`` has, ``replace`` the whole row.
@@ -60,14 +61,18 @@ def write_messages(spark: SparkSession, path: str, new: DataFrame, mode: str = "
 
     ``fixed_dates`` says that ``new`` brings each message's stored date. Then
     only its days are searched for existing keys, else those of the whole table.
+    ``unique`` says that no key occurs twice in ``new``.
     """
     ensure_store(spark, path)
     unknown = set(new.columns) - set(MESSAGE.names)
     if unknown:
         raise ValueError(f"not a column of the table: {sorted(unknown)}")
-    increment = materialise(latest_per_key(new, key_cols, order_cols), "increment")
+    increment = new if unique else latest_per_key(new, key_cols, order_cols)
     dated = "publish_date" in new.columns
     stored = scan_store(spark, path)
+    if stored.isEmpty():
+        return _append(path, increment, key_cols)
+    increment = materialise(increment, "increment")
     searched = stored
     if fixed_dates:
         if not dated:
@@ -85,6 +90,11 @@ def write_messages(spark: SparkSession, path: str, new: DataFrame, mode: str = "
                  changes, days, MODES[mode], key_cols, order_cols)
 
     fresh = drop_matching(increment, found, key_cols)
+    if not fresh.isEmpty():
+        _append(path, fresh, key_cols)
+
+
+def _append(path, fresh, key_cols) -> None:
     (_spread(_complete(fresh), key_cols)
      .write.mode("append").partitionBy("publish_day").parquet(path))
 

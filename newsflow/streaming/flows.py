@@ -78,7 +78,8 @@ def enrich_incremental(spark: SparkSession, store: str, enrich, limit: int | Non
                           "waiting")
     found = waiting.count()
     if found:
-        write_messages(spark, store, message_columns(enrich(waiting)), fixed_dates=True)
+        fields = message_columns(enrich(waiting)).drop("initial_text")
+        write_messages(spark, store, fields, fixed_dates=True, unique=True)
     return found
 
 
