@@ -44,7 +44,7 @@ def clean(text: Column) -> Column:
 def entities(cleaned: Column) -> Column:
     """Distinct runs of capitalised words that do not open a sentence, sorted."""
     runs = F.regexp_extract_all(cleaned, F.lit(CAPITALISED_RUN), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(runs, lambda run: F.length(run) > 2)))
+    return F.sort_array(F.array_distinct(F.filter(runs, lambda run: F.length(run) > 2)))
 
 
 def summary(cleaned: Column) -> Column:

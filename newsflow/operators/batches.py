@@ -63,7 +63,7 @@ def batch_texts(chunked: DataFrame, text_col: str = "initial_text") -> DataFrame
     """
     heading = F.concat(F.lit("Текст #"), F.col("n").cast("string"), F.lit(": "),
                        F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"))
-    in_order = F.array_sort(F.collect_list(F.struct("n", heading.alias("text"))))
+    in_order = F.sort_array(F.collect_list(F.struct("n", heading.alias("text"))))
     return (chunked.groupBy("source", "batch_id")
             .agg(in_order.alias("_texts"))
             .select("source", "batch_id", F.size("_texts").alias("texts"),

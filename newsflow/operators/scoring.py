@@ -13,7 +13,7 @@ CONCURRENT_REQUESTS = 12
 
 
 def _paced(calls_per_minute: float | None) -> Callable[[], None]:
-    """A function that sleeps so that it returns at most so often."""
+    """A function that sleeps so that it returns at most so often; each task gets its own copy."""
     due = 0.0
 
     def wait():
@@ -51,10 +51,9 @@ def score_batches(requests: DataFrame, batch_fn, id_cols=("source", "batch_id"),
     work = requests.select(*id_cols, *setup_cols, "request")
     if parallelism:
         work = work.repartition(parallelism)
-    rate = _share(requests_per_minute, parallelism)
+    wait = _paced(_share(requests_per_minute, parallelism))
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wait = _paced(rate)
         for frame in frames:
             answers, errors = [None] * len(frame), [None] * len(frame)
             setups = frame[setup_cols].to_dict("records") if setup_cols else [{}] * len(frame)
@@ -99,10 +98,9 @@ def embed_texts(messages: DataFrame, embed_fn, id_cols=("source", "message_id"),
     work = messages.filter(F.coalesce(F.col(text_col), F.lit("")) != "").select(*id_cols, text_col)
     if parallelism:
         work = work.repartition(parallelism)
-    rate = _share(requests_per_minute, parallelism)
+    wait = _paced(_share(requests_per_minute, parallelism))
 
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wait = _paced(rate)
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start:start + batch]

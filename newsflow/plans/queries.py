@@ -259,7 +259,7 @@ def _blocks(spark, sf):
     block = F.concat(F.lit("|||Текст #"), F.col("n"), F.lit("\nДія 1: "), F.col("cleared_text"),
                      F.lit("\nДія 2: "), F.array_join("named_entities", "; "), F.lit("\n\n"))
     return (chunked.groupBy("source", "batch_id")
-            .agg(F.array_sort(F.collect_list(F.struct("n", block.alias("block")))).alias("b"))
+            .agg(F.sort_array(F.collect_list(F.struct("n", block.alias("block")))).alias("b"))
             .select("source", "batch_id", F.concat(F.lit(" \n"), F.array_join(
                 F.transform("b", lambda x: x["block"]), "")).alias("answer")))
 
@@ -460,32 +460,26 @@ def enrich_by_source(spark, sf):
         _joined("named_entities"))
 
 
-def _measure(requests, _):
-    """A stand-in model: answers each numbered text with its length."""
-    replies = []
-    for request in requests:
-        parts = request.split("Текст #")[1:]
-        replies.append("\n".join(
-            f"Текст #{number}: {len(body.strip())}"
-            for number, body in (part.split(": ", 1) for part in parts)))
-    return replies
-
-
 def score_batches(spark, sf):
+    """Each message is answered with its length by a stand-in for a model."""
+    def measure(requests, _):
+        return ["\n".join(f"Текст #{number}: {len(body.strip())}" for number, body in
+                          (part.split(": ", 1) for part in request.split("Текст #")[1:]))
+                for request in requests]
+
     chunked = _chunked(spark, sf)
     answers = materialise(
-        scoring.score_batches(batches.batch_texts(chunked), _measure, call_size=16), "answers")
+        scoring.score_batches(batches.batch_texts(chunked), measure, call_size=16), "answers")
     aligned = batches.align_answers(chunked, batches.parse_single(answers), answers)
     return aligned.select("message_id", "source", F.col("value").alias("answer"), "error")
 
 
-def _measure_by_setup(requests, setup):
-    return [f"{setup['temperature']:.1f}/{len(request)}" for request in requests]
-
-
 def setup_comparison(spark, sf):
-    return enrich.setup_comparison(text_messages(spark, sf), _measure_by_setup, SETUPS,
-                                   call_size=64)
+    """Each message is answered with its length, under three temperatures."""
+    def measure(requests, setup):
+        return [f"{setup['temperature']:.1f}/{len(request)}" for request in requests]
+
+    return enrich.setup_comparison(text_messages(spark, sf), measure, SETUPS, call_size=64)
 
 
 # --- search ------------------------------------------------------------------------------
@@ -495,7 +489,7 @@ def similar_topk(spark, sf):
     embeddings = table(spark, sf, "embeddings")
     centres = (embeddings.select("label", F.posexplode("embedding").alias("place", "value"))
                .groupBy("label", "place").agg(F.avg("value").alias("value"))
-               .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "value")))
+               .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "value")))
                                      .alias("centre"))
                .select(F.col("label").cast("string"),
                        F.transform("centre", lambda c: c["value"]).alias("centre")))
