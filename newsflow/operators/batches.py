@@ -14,6 +14,9 @@ BATCH = 6
 EMBEDDING_BATCH = 30
 MAX_BATCH = 99
 
+#: Up to this many runs (groups per partition) are broadcast, more are joined by shuffle.
+BROADCAST_RUNS = 1_000_000
+
 
 def number_rows(df: DataFrame, within, order, name: str = "row_number") -> DataFrame:
     """Consecutive numbers from 1 inside each ``within`` group, in the ``order`` given.
@@ -31,10 +34,13 @@ def number_rows(df: DataFrame, within, order, name: str = "row_number") -> DataF
     before = (Window.partitionBy(*within).orderBy("_part")
               .rowsBetween(Window.unboundedPreceding, -1))
     # one row per group and partition: a group has at most one per partition
-    runs = (placed.groupBy(*within, "_part")
+    runs = materialise(placed.groupBy(*within, "_part")
             .agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
             .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-            .select(*[F.col(c).alias("_r_" + c) for c in (*within, "_part")], "_first", "_before"))
+            .select(*[F.col(c).alias("_r_" + c) for c in (*within, "_part")], "_first", "_before"),
+            "runs")
+    if runs.count() <= BROADCAST_RUNS:
+        runs = F.broadcast(runs)
     same = reduce(lambda a, b: a & b,
                   [F.col(c).eqNullSafe(F.col("_r_" + c)) for c in (*within, "_part")])
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1

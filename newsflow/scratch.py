@@ -23,7 +23,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all nodes")
         root = _local_root(spark.conf.get("spark.app.id"))
-    return f"{root.rstrip('/')}/newsflow/{label}-{uuid.uuid4().hex}"
+    return f"{_folder(spark, root)}/{label}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession, root: str) -> str:
+    return f"{root.rstrip('/')}/newsflow/{spark.conf.get('spark.app.id')}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results are stored."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(
+        spark.conf.get("spark.app.id"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(_folder(spark, root))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
