@@ -7,6 +7,7 @@ they are not what a model would say.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsflow.functions.text import explode_words, let, times, words
+from newsflow.operators.merge import join_on_key
 from newsflow.schema import KEY
 
 # What counts as noise, the characters a cleaned message keeps
@@ -115,9 +116,6 @@ def _joined_label(messages, lexicon, values, default, name, text_col, key_cols):
     best = (sums.groupBy(*key_cols)
             .agg(F.max(F.struct("score", "place", "value")).alias("best"))
             .filter(F.col("best.score") > 0)
-            .select(*[F.col(c).alias("_k_" + c) for c in key_cols],
-                    F.col("best.value").alias("_label")))
-    same_key = [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in key_cols]
-    return (messages.join(best, same_key, "left")
-            .withColumn(name, F.coalesce("_label", F.lit(default)))
-            .select(*messages.columns, name))
+            .select(*key_cols, F.col("best.value").alias("_label")))
+    return (join_on_key(messages, best, key_cols, "left")
+            .withColumn(name, F.coalesce("_label", F.lit(default))).drop("_label"))

@@ -1,11 +1,10 @@
 """Numbered batches of messages, the requests made of them and the way back."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsflow.functions.text import (answer_failed, entity_list, split_actions, split_answers,
                                      split_blocks)
+from newsflow.operators.merge import join_on_key
 from newsflow.scratch import materialise
 
 # Messages per text request and per embedding request, and the
@@ -34,17 +33,15 @@ def number_rows(df: DataFrame, within, order, name: str = "row_number") -> DataF
     before = (Window.partitionBy(*within).orderBy("_part")
               .rowsBetween(Window.unboundedPreceding, -1))
     # one row per group and partition: a group has at most one per partition
-    runs = materialise(placed.groupBy(*within, "_part")
-            .agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
-            .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-            .select(*[F.col(c).alias("_r_" + c) for c in (*within, "_part")], "_first", "_before"),
-            "runs")
+    runs = materialise(
+        placed.groupBy(*within, "_part")
+        .agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))), "runs")
     if runs.count() <= BROADCAST_RUNS:
         runs = F.broadcast(runs)
-    same = reduce(lambda a, b: a & b,
-                  [F.col(c).eqNullSafe(F.col("_r_" + c)) for c in (*within, "_part")])
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
-    return placed.join(runs, same).select(*df.columns, number.alias(name))
+    return (join_on_key(placed, runs, (*within, "_part"))
+            .select(*df.columns, number.alias(name)))
 
 
 def chunk(messages: DataFrame, size: int = BATCH, within=("source",),
@@ -108,14 +105,13 @@ def align_answers(chunked: DataFrame, parsed: DataFrame, answers: DataFrame | No
     An unanswered message stays, with nulls. Given the replies too, ``error``
     tells a failed batch from a number that its reply left out.
     """
-    keys = ["source", "batch_id", "n"]
-    joined = chunked.join(parsed, keys, "left")
+    joined = join_on_key(chunked, parsed, ("source", "batch_id", "n"), "left")
     if answers is None:
         return joined
     failed = (answers.filter(answer_failed(F.col("answer")))
               .select("source", "batch_id",
                       F.coalesce("error", "answer", F.lit("no answer")).alias("error")))
-    return joined.join(failed, ["source", "batch_id"], "left")
+    return join_on_key(joined, failed, ("source", "batch_id"), "left")
 
 
 def setup_grid(messages: DataFrame, setups) -> DataFrame:

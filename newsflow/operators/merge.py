@@ -24,20 +24,20 @@ def latest_per_key(df: DataFrame, key_cols=KEY, order_cols=("publish_date",)) ->
                       for c in df.columns]))
 
 
-def _join_on_key(left: DataFrame, right: DataFrame, key_cols, how: str) -> DataFrame:
-    """Join on null-safe equality; the right side's columns get the prefix ``_r_``."""
-    right = right.select(*[F.col(c).alias("_r_" + c) for c in right.columns])
+def join_on_key(left: DataFrame, right: DataFrame, key_cols=KEY, how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the right side's keys are dropped."""
+    renamed = [F.col(c).alias("_r_" + c) if c in key_cols else F.col(c) for c in right.columns]
     same = reduce(lambda a, b: a & b,
                   [F.col(c).eqNullSafe(F.col("_r_" + c)) for c in key_cols])
-    return left.join(right, same, how)
+    return left.join(right.select(*renamed), same, how).drop(*["_r_" + c for c in key_cols])
 
 
 def keep_matching(df: DataFrame, other: DataFrame, key_cols=KEY) -> DataFrame:
-    return _join_on_key(df, other.select(*key_cols), key_cols, "left_semi")
+    return join_on_key(df, other.select(*key_cols), key_cols, "left_semi")
 
 
 def drop_matching(df: DataFrame, other: DataFrame, key_cols=KEY) -> DataFrame:
-    return _join_on_key(df, other.select(*key_cols), key_cols, "left_anti")
+    return join_on_key(df, other.select(*key_cols), key_cols, "left_anti")
 
 
 def upsert_merge(old: DataFrame, new: DataFrame, key_cols=KEY,
@@ -50,12 +50,13 @@ def upsert_merge(old: DataFrame, new: DataFrame, key_cols=KEY,
     unknown = set(new.columns) - set(old.columns)
     if unknown:
         raise ValueError(f"not a column of the table: {sorted(unknown)}")
-    fresh = latest_per_key(new, key_cols, order_cols).withColumn("_given", F.lit(True))
-    joined = _join_on_key(old, fresh, key_cols, "full_outer")
-    given = F.col("_r__given")
-    return joined.select(*[
-        F.when(given, F.col("_r_" + c)).otherwise(F.col(c)).alias(c) if c in new.columns
-        else F.col(c) for c in old.columns])
+    fresh = latest_per_key(new, key_cols, order_cols).select(
+        F.lit(True).alias("_new"), *[F.col(c).alias("_new_" + c) for c in new.columns])
+    same = reduce(lambda a, b: a & b,
+                  [F.col(c).eqNullSafe(F.col("_new_" + c)) for c in key_cols])
+    return old.join(fresh, same, "full_outer").select(*[
+        F.when(F.col("_new"), F.col("_new_" + c)).otherwise(F.col(c)).alias(c)
+        if c in new.columns else F.col(c) for c in old.columns])
 
 
 def upsert_replace(old: DataFrame, new: DataFrame, key_cols=KEY,

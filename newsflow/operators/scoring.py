@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from newsflow.operators.batches import EMBEDDING_BATCH
 
-# How many requests the service takes at once.
-CONCURRENT_REQUESTS = 12
-
 
 def _paced(calls_per_minute: float | None) -> Callable[[], None]:
     """A function that sleeps so that it returns at most so often; each task gets its own copy."""
@@ -26,32 +23,35 @@ def _paced(calls_per_minute: float | None) -> Callable[[], None]:
     return wait
 
 
-def _share(requests_per_minute: float | None, parallelism: int | None) -> float | None:
-    if not requests_per_minute:
-        return None
-    if not parallelism:
-        raise ValueError("a rate limit is shared by a known parallelism; give both")
-    return requests_per_minute / parallelism
+def _deal(work: DataFrame, tasks: int | None) -> tuple[DataFrame, int]:
+    """``work`` dealt out to ``tasks`` tasks, and how many of them run at a time.
+
+    Adaptive execution sizes tasks by bytes, and little text can mean many slow
+    calls, so the number is fixed. Small tasks also lose little when one fails.
+    """
+    spark = work.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return work.repartition(tasks), min(tasks, spark.sparkContext.defaultParallelism)
 
 
 def score_batches(requests: DataFrame, batch_fn, id_cols=("source", "batch_id"),
-                  setup_cols=(), parallelism: int | None = CONCURRENT_REQUESTS,
+                  setup_cols=(), tasks: int | None = None,
                   requests_per_minute: float | None = None, call_size: int = 1) -> DataFrame:
     """Answer every ``request`` with ``batch_fn(list[str], setup) -> list[str]``.
 
-    ``setup`` is a dict of the row's ``setup_cols``. ``parallelism`` partitions
-    call at the same time and share the rate limit evenly; None keeps the
-    partitions there are. A call that raises, or that returns a list of another
-    length, fails for its ``call_size`` requests only: null answer and ``error``.
+    ``setup`` is a dict of the row's ``setup_cols``. The requests are dealt out to
+    ``tasks`` tasks (by default as many as a shuffle has), of which the cluster's
+    cores run some at a time; those share the rate limit evenly, and fewer tasks
+    than cores mean fewer calls at once. A call that raises, or that returns a
+    list of another length, fails for its ``call_size`` requests only: null
+    answer and ``error``.
     """
     id_cols, setup_cols = list(id_cols), list(setup_cols)
     kept = [requests.schema[c] for c in id_cols + setup_cols]
     schema = T.StructType(kept + [T.StructField("answer", T.StringType()),
                                   T.StructField("error", T.StringType())])
-    work = requests.select(*id_cols, *setup_cols, "request")
-    if parallelism:
-        work = work.repartition(parallelism)
-    wait = _paced(_share(requests_per_minute, parallelism))
+    work, at_once = _deal(requests.select(*id_cols, *setup_cols, "request"), tasks)
+    wait = _paced(requests_per_minute and requests_per_minute / at_once)
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -82,7 +82,7 @@ def score_batches(requests: DataFrame, batch_fn, id_cols=("source", "batch_id"),
 
 def embed_texts(messages: DataFrame, embed_fn, id_cols=("source", "message_id"),
                 text_col: str = "cleared_text", batch: int = EMBEDDING_BATCH,
-                parallelism: int | None = CONCURRENT_REQUESTS,
+                tasks: int | None = None,
                 requests_per_minute: float | None = None) -> DataFrame:
     """Both vectors of every message that has text, from ``embed_fn(list[str], kind)``.
 
@@ -95,10 +95,9 @@ def embed_texts(messages: DataFrame, embed_fn, id_cols=("source", "message_id"),
                           + [T.StructField("embedding_sts", vector),
                              T.StructField("embedding_clf", vector),
                              T.StructField("error", T.StringType())])
-    work = messages.filter(F.coalesce(F.col(text_col), F.lit("")) != "").select(*id_cols, text_col)
-    if parallelism:
-        work = work.repartition(parallelism)
-    wait = _paced(_share(requests_per_minute, parallelism))
+    with_text = messages.filter(F.coalesce(F.col(text_col), F.lit("")) != "")
+    work, at_once = _deal(with_text.select(*id_cols, text_col), tasks)
+    wait = _paced(requests_per_minute and requests_per_minute / at_once)
 
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsflow.functions import rules, text
 from newsflow.operators import batches, scoring
+from newsflow.operators.merge import join_on_key
 from newsflow.operators.select import by_source
 from newsflow.schema import CATEGORIES, KEY, MESSAGE, TONALITIES
 from newsflow.scratch import materialise
@@ -144,7 +145,7 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
             rows = model_step(chunked, requests, step, batch_fns[step],
                               (templates or {}).get(step, "{texts}"),
                               (setups or {}).get(step), **pace)
-        result = result.join(rows, list(KEY), "left")
+        result = join_on_key(result, rows, KEY, "left")
     return result
 
 
