@@ -19,6 +19,7 @@ PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 CREDIT = r"(?:Фото|Відео|Джерело|Інфографіка): ?[^\n]*"
 NOISE = "|".join([CREDIT, LINK, EMAIL, PHONE, TAG_OR_MENTION, EMOJI])
+MAYBE_NOISE = r"[@#+:\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]|www\."
 BLANKS = r"[ \t\n\r\f]+"
 NOT_CLEAN = r"[^\p{L}\p{N} \t\n\r\f?!.,\-–—]+"
 CAPITALISED_RUN = r"[^.!?\n ] +(\p{Lu}[\p{L}\p{N}-]*(?: \p{Lu}[\p{L}\p{N}-]*)*+)"
@@ -26,19 +27,26 @@ TWO_SENTENCES = r"^[^.!?]*(?:[.!?]+(?:[^.!?]*[.!?]+)?|$)"
 NO_MESSAGE = "повідомлення немає"
 NO_SUMMARY = "самарі відсутнє"
 
-#: Up to this many words a lexicon is compiled into the expression, so that
-#: scoring needs no shuffle; a larger one is joined.
+#: Up to this many entries a lexicon is compiled into the expression, so that
+#: scoring needs no shuffle; up to the second number it is broadcast.
 INLINE_LEXICON = 2000
+BROADCAST_LEXICON = 1_000_000
 
 
 def extract_noise(text: Column) -> Column:
     """Credits, links, addresses, phones, tags, mentions and emoji, in text order, by ``;``."""
-    return F.array_join(F.regexp_extract_all(text, F.lit(NOISE), F.lit(0)), ";")
+    found = F.array_join(F.regexp_extract_all(text, F.lit(NOISE), F.lit(0)), ";")
+    return F.when(text.rlike(MAYBE_NOISE), found).when(text.isNotNull(), "")
+
+
+def without_noise(text: Column) -> Column:
+    """Most texts hold none of the characters that noise needs, which a short test tells."""
+    return F.when(text.rlike(MAYBE_NOISE), F.regexp_replace(text, NOISE, "")).otherwise(text)
 
 
 def clean(text: Column) -> Column:
     """The text without noise and special characters."""
-    kept = F.regexp_replace(F.regexp_replace(text, NOISE, ""), NOT_CLEAN, "")
+    kept = F.regexp_replace(without_noise(text), NOT_CLEAN, "")
     return F.regexp_replace(F.trim(F.regexp_replace(kept, BLANKS, " ")), "^$", NO_MESSAGE)
 
 
@@ -55,23 +63,25 @@ def summary(cleaned: Column) -> Column:
 
 
 def label_by_lexicon(messages: DataFrame, lexicon: DataFrame, values, default: str, name: str,
-                     text_col: str = "initial_text", key_cols=KEY,
+                     tokens: Column | None = None, key_cols=KEY,
                      inline_limit: int = INLINE_LEXICON) -> DataFrame:
     """Add column ``name``: the value whose lexicon words weigh most in the text.
 
     ``lexicon`` has columns ``word, value, weight`` (whole numbers), at most
     one row per word and value. Ties go to the value that comes first in
     ``values``; without any hit, or if no sum is positive, ``default`` is given.
+    ``tokens`` are the words to score, by default those of the initial text.
     """
+    tokens = words(F.col("initial_text")) if tokens is None else tokens
     entries = (lexicon.filter(F.col("value").isin(list(values)))
                .select("word", "value", "weight").limit(inline_limit + 1).collect())
     if len(entries) <= inline_limit:
         return messages.withColumn(
-            name, _inline_label(F.col(text_col), entries, values, default))
-    return _joined_label(messages, lexicon, values, default, name, text_col, key_cols)
+            name, _inline_label(tokens, entries, values, default))
+    return _joined_label(messages, lexicon, values, default, name, tokens, key_cols)
 
 
-def _inline_label(text: Column, entries, values, default: str) -> Column:
+def _inline_label(tokens: Column, entries, values, default: str) -> Column:
     """Score inside each row: array_intersect looks the words up by hash, the few found count."""
     weights = {}
     for e in entries:
@@ -95,24 +105,25 @@ def _inline_label(text: Column, entries, values, default: str) -> Column:
         return F.transform(F.array_intersect(tokens, known), lambda word: F.struct(
             word.alias("word"), times(tokens, word).alias("times")))
 
-    label = let(words(text), lambda tokens: let(hits(tokens), lambda found: let(
+    label = let(tokens, lambda tokens: let(hits(tokens), lambda found: let(
         best(found), lambda top: F.when(top["score"] > 0, top["value"]))))
     return F.coalesce(label, F.lit(default))
 
 
-def _joined_label(messages, lexicon, values, default, name, text_col, key_cols):
+def _joined_label(messages, lexicon, values, default, name, tokens, key_cols):
+    """Score by join. A word that most texts hold is a hot key only if the lexicon is too large
+    to broadcast; adaptive execution splits such a key, and sums are partial ahead of the shuffle.
+    """
     places = F.create_map(*[F.lit(x) for place, value in enumerate(values)
                             for x in (value, -place)])
     lexicon = (lexicon.filter(F.col("value").isin(list(values)))
                .select("word", "value", F.col("weight").cast("long").alias("weight"),
                        places[F.col("value")].alias("place")))
-    # counted per message first: a message's words sit in one task, so this
-    # pre-aggregates fully before anything is shuffled
-    counted = (explode_words(messages.select(*key_cols, words(F.col(text_col)).alias("word")), "word")
-               .groupBy(*key_cols, "word").agg(F.count(F.lit(1)).alias("times")))
-    sums = (counted.join(lexicon, "word")
-            .groupBy(*key_cols, "place", "value")
-            .agg(F.sum(F.col("times") * F.col("weight")).alias("score")))
+    if lexicon.count() <= BROADCAST_LEXICON:
+        lexicon = F.broadcast(lexicon)
+    found = explode_words(messages.select(*key_cols, tokens.alias("word")), "word")
+    sums = (found.join(lexicon, "word").groupBy(*key_cols, "place", "value")
+            .agg(F.sum("weight").alias("score")))
     best = (sums.groupBy(*key_cols)
             .agg(F.max(F.struct("score", "place", "value")).alias("best"))
             .filter(F.col("best.score") > 0)

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Characters a cleaned text keeps, the markup that is unwrapped,
 # characters not allowed in a file name, and the shapes of model answers.
 SPACES = r" \t\n\x0B\f\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-NOT_TEXT = r"[^a-zA-Zа-яА-ЯІіЇїЄєҐґ—'/.,!?()\p{Nd}" + SPACES + "]"
+TEXT = r"a-zA-Zа-яА-ЯІіЇїЄєҐґ—'/.,!?()\p{Nd}" + SPACES
 BOLD = r"\*\*([^\n]+?)\*\*"
 UNDERLINED = r"__([^\n]+?)__"
 NOT_FILENAME = r'[/\\:*?"<>|]'
@@ -22,6 +22,9 @@ FAILED_EXACT = "Sorry, no answer was found."
 FAILED_PATTERN = r"Error: 400|failed to (answer|get embeddings)\. Error:"
 MIN_ENTITY_LENGTH = 3
 
+# the look-ahead settles most characters by a short test instead of the long one
+NOT_TEXT = "(?![a-zA-Zа-яА-Я ])[^" + TEXT + "]"
+
 
 def clean_text(text: Column) -> Column:
     """Delete markup and every non-text character; a run of newlines becomes one space.

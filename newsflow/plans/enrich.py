@@ -4,7 +4,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsflow.functions import rules, text
 from newsflow.operators import batches, scoring
@@ -50,14 +50,14 @@ def summary_by_rules(messages: DataFrame) -> DataFrame:
             .withColumn("summary", rules.summary(F.col("_cleaned"))).drop("_cleaned"))
 
 
-def tonality_by_rules(messages: DataFrame, lexicon: DataFrame,
-                      default: str = DEFAULT_TONALITY) -> DataFrame:
-    return rules.label_by_lexicon(messages, lexicon, TONALITIES, default, "tonality")
+def tonality_by_rules(messages: DataFrame, lexicon: DataFrame, default: str = DEFAULT_TONALITY,
+                      tokens: Column | None = None) -> DataFrame:
+    return rules.label_by_lexicon(messages, lexicon, TONALITIES, default, "tonality", tokens)
 
 
-def category_by_rules(messages: DataFrame, lexicon: DataFrame,
-                      default: str = DEFAULT_CATEGORY) -> DataFrame:
-    return rules.label_by_lexicon(messages, lexicon, CATEGORIES, default, "category")
+def category_by_rules(messages: DataFrame, lexicon: DataFrame, default: str = DEFAULT_CATEGORY,
+                      tokens: Column | None = None) -> DataFrame:
+    return rules.label_by_lexicon(messages, lexicon, CATEGORIES, default, "category", tokens)
 
 
 def embeddings_by_rules(messages: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -77,8 +77,11 @@ def enrich_all_by_rules(messages: DataFrame, tonality_lexicon: DataFrame,
                         category_lexicon: DataFrame, embeddings: bool = True,
                         dimensions: int = DIMENSIONS) -> DataFrame:
     """Every step in one pass over the messages; nothing is shuffled."""
-    done = tonality_by_rules(messages, tonality_lexicon)
-    done = category_by_rules(done, category_lexicon)
+    # both labels score the same words, so a text is split once
+    tokens = F.col("_tokens")
+    done = messages.withColumn("_tokens", text.words(F.col("initial_text")))
+    done = tonality_by_rules(done, tonality_lexicon, tokens=tokens)
+    done = category_by_rules(done, category_lexicon, tokens=tokens).drop("_tokens")
     done = clean_ner_by_rules(done)
     done = done.withColumn("summary", rules.summary(F.col("cleared_text")))
     return embeddings_by_rules(done, dimensions) if embeddings else done

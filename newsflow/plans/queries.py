@@ -322,11 +322,15 @@ def unique_sources(spark, sf):
 
 
 def count_by_source(spark, sf):
-    """From feed to report: texts, cleaned, one row per identical text, counted by source."""
+    """From feed to report: texts, cleaned, one row per identical text, counted by source.
+
+    Only ids take part in the comparison; no text is shuffled.
+    """
     messages = select.non_empty_text(text_feed(spark, sf)).select(
         F.col("message_id").cast("string").alias("message_id"), "source",
-        text.clean_text(F.col("message_text")).alias("initial_text"))
-    return report.count_by_source(merge.dedup_exact(messages))
+        text.content_id(text.clean_text(F.col("message_text"))).alias("content_id"))
+    return report.count_by_source(
+        merge.latest_per_key(messages, ("content_id",), ("source", "message_id")))
 
 
 def category_distribution(spark, sf):
