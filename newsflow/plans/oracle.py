@@ -279,6 +279,9 @@ ORACLE = {
                                 "SELECT message_id, tonality FROM tonality_labels"),
     "enrich_category": selected(MESSAGES + "," + CATEGORY,
                                 "SELECT message_id, category FROM category_labels"),
+    "enrich_embeddings": selected(CLEANED, """SELECT message_id, CAST(768 AS BIGINT) AS dims,
+        CASE WHEN regexp_matches(cleared_text, '[\\p{L}\\p{N}]') THEN CAST(1 AS DOUBLE)
+        ELSE CAST(0 AS DOUBLE) END AS norm_sts, norm_sts AS norm_clf FROM cleaned"""),
     "enrich_all": selected(CLEANED + "," + TONALITY + "," + CATEGORY, ALL_STEPS),
     "enrich_by_source": selected(CLEANED + "," + TONALITY + "," + CATEGORY,
                                  ALL_STEPS + " WHERE m.source = 'src7'"),
