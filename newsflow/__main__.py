@@ -55,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     process.add_argument("--tonality-lexicon", required=True)
     process.add_argument("--category-lexicon", required=True)
     process.add_argument("--interval", default=flows.IDLE)
+    process.add_argument("--limit", type=int, help="messages per round; each round is stored")
     return top
 
 
@@ -79,7 +80,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         lexicons = _lexicon(spark, args.tonality_lexicon), _lexicon(spark, args.category_lexicon)
         flows.enrich_forever(
             spark, args.store, lambda m: enrich.enrich_all_by_rules(m, *lexicons),
-            args.checkpoint, args.interval).awaitTermination()
+            args.checkpoint, args.interval, args.limit).awaitTermination()
 
 
 def _enrich(spark: SparkSession, args: argparse.Namespace) -> None:

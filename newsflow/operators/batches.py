@@ -20,14 +20,16 @@ BROADCAST_RUNS = 1_000_000
 def number_rows(df: DataFrame, within, order, name: str = "row_number") -> DataFrame:
     """Consecutive numbers from 1 inside each ``within`` group, in the ``order`` given.
 
-    A window would pull a whole group into one task. Instead the rows are range
-    partitioned on group and order, so that a large group spans many
-    partitions; each row gets its position there, and the rows that the same
-    group has in earlier partitions are added. The positions are written out
-    once since a second run of the partitioning may cut elsewhere.
+    ``within`` and ``order`` together identify a row. A window would pull a
+    whole group into one task. Instead the keys alone are range partitioned, so
+    that a large group spans many partitions; each key gets its position there,
+    and the keys that the same group has in earlier partitions are added. The
+    positions are written out once, as a second run of the partitioning may cut
+    elsewhere; they are narrow, and the other columns are joined to them.
     """
+    keys = [*within, *order]
     placed = materialise(
-        df.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
+        df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id()), "numbered")
     before = (Window.partitionBy(*within).orderBy("_part")
@@ -40,8 +42,11 @@ def number_rows(df: DataFrame, within, order, name: str = "row_number") -> DataF
     if runs.count() <= BROADCAST_RUNS:
         runs = F.broadcast(runs)
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
-    return (join_on_key(placed, runs, (*within, "_part"))
-            .select(*df.columns, number.alias(name)))
+    numbered = (join_on_key(placed, runs, (*within, "_part"))
+                .select(*keys, number.alias(name)))
+    if set(df.columns) <= set(keys):
+        return numbered.select(*df.columns, name)
+    return join_on_key(df, numbered, keys).select(*df.columns, name)
 
 
 def chunk(messages: DataFrame, size: int = BATCH, within=("source",),

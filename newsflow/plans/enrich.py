@@ -133,9 +133,11 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
     unknown = set(batch_fns) - set(CHAIN)
     if unknown:
         raise ValueError(f"unknown steps: {sorted(unknown)}")
-    chunked = batches.chunk(messages.select(*KEY, "publish_date", "initial_text"), batch)
+    # only keys are numbered and aligned; texts join them for the requests
+    chunked = batches.chunk(messages.select(*KEY, "publish_date"), batch)
     result = chunked.select(*KEY, "publish_date")
-    requests = batches.batch_texts(chunked)
+    requests = batches.batch_texts(
+        join_on_key(chunked, messages.select(*KEY, "initial_text"), KEY))
     if len(set(batch_fns) - {"embeddings"}) > 1:
         requests = materialise(requests, "requests")
     for step in CHAIN:

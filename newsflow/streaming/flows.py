@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsflow.operators.select import non_empty_text, to_body, unprocessed
+from newsflow.operators.select import is_unprocessed, non_empty_text, to_body, unprocessed
 from newsflow.plans.enrich import message_columns
 from newsflow.schema import KEY
 from newsflow.scratch import materialise
@@ -83,12 +83,29 @@ def enrich_incremental(spark: SparkSession, store: str, enrich, limit: int | Non
     return found
 
 
+def enrich_backlog(spark: SparkSession, store: str, enrich, limit: int | None = None) -> None:
+    """Repeat :func:`enrich_incremental` as long as a round leaves fewer messages unprocessed.
+
+    With a ``limit`` every round is stored before the next begins, so a long
+    backlog survives the loss of the job.
+    """
+    def waiting() -> int:
+        return scan_store(spark, store).filter(is_unprocessed()).count()
+
+    left = waiting()
+    while left:
+        enrich_incremental(spark, store, enrich, limit)
+        before, left = left, waiting()
+        if left >= before or limit is None:
+            break
+
+
 def enrich_forever(spark: SparkSession, store: str, enrich, checkpoint: str,
                    interval: str = IDLE, limit: int | None = None) -> StreamingQuery:
-    """Run :func:`enrich_incremental` at every ``interval`` until the query is stopped."""
+    """Run :func:`enrich_backlog` at every ``interval`` until the query is stopped."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def run(batch: DataFrame, _: int) -> None:
-        enrich_incremental(batch.sparkSession, store, enrich, limit)
+        enrich_backlog(batch.sparkSession, store, enrich, limit)
 
     return _start(ticks.writeStream.foreachBatch(run), checkpoint, interval)

@@ -109,6 +109,22 @@ def test_incremental_enrichment_takes_up_what_failed(spark, folders):
     assert len(rows) == 5 and all(r.cleared_text and r.initial_text for r in rows)
 
 
+def test_a_backlog_is_worked_off_and_failures_do_not_loop(spark, folders):
+    ingest(spark, folders)
+    rounds = []
+
+    def all_but_one(messages):
+        rounds.append(messages.count())
+        done = enrich.clean_ner_by_rules(messages)
+        return done.withColumn("cleared_text", F.when(F.col("message_id") != "1",
+                                                      F.col("cleared_text")))
+
+    flows.enrich_backlog(spark, folders["store"], all_but_one, limit=2)
+    left = store.scan_store(spark, folders["store"]).filter("cleared_text is null").collect()
+    assert [r.message_id for r in left] == ["1"]
+    assert max(rounds) == 2 and len(rounds) <= 6
+
+
 def test_enrichment_job_runs_at_intervals(spark, folders):
     import time
     ingest(spark, folders)
