@@ -178,8 +178,8 @@ ORACLE = {
     "from_stored": f"""SELECT CAST(doc_id AS VARCHAR) AS message_id,
         {ts("TIMESTAMP '1970-01-01' + to_minutes(doc_id)")} AS publish_date, source,
         text AS initial_text, lang || ';' || source AS named_entities,
-        CAST(length(embedding) AS BIGINT) AS dims,
-        round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total
+        CAST(coalesce(length(embedding), 0) AS BIGINT) AS dims,
+        coalesce(round(list_sum(CAST(embedding AS DOUBLE[])), 4), 0) AS total
         FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "training_columns": selected(MESSAGES + ", " + VECTORS, f"""SELECT
         {f1('initial_text')} AS cleared_text, tonality,
@@ -286,7 +286,7 @@ ORACLE = {
     "enrich_by_source": selected(CLEANED + "," + TONALITY + "," + CATEGORY,
                                  ALL_STEPS + " WHERE m.source = 'src7'"),
     "score_batches": selected(MESSAGES, f"""SELECT message_id, source,
-        CAST(length({strip('initial_text')}) AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS error
+        CAST(length({strip('initial_text')}) AS VARCHAR) AS answer
         FROM messages"""),
     "setup_comparison": selected(MESSAGES, """SELECT message_id, source,
         '0.0/' || length(initial_text) AS cold, '0.4/' || length(initial_text) AS warm,

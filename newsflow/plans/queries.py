@@ -168,7 +168,8 @@ def from_stored(spark, sf):
     total = F.aggregate("embedding_sts", F.lit(0.0), lambda sum, v: sum + v)
     return select.from_stored(documents).select(
         "message_id", _ts(), "source", "initial_text", _joined("named_entities"),
-        F.size("embedding_sts").cast("long").alias("dims"), F.round(total, 4).alias("total"))
+        F.coalesce(F.size("embedding_sts"), F.lit(0)).cast("long").alias("dims"),
+        F.coalesce(F.round(total, 4), F.lit(0.0)).alias("total"))
 
 
 def training_columns(spark, sf):
@@ -475,7 +476,7 @@ def score_batches(spark, sf):
     answers = materialise(
         scoring.score_batches(batches.batch_texts(chunked), measure, call_size=16), "answers")
     aligned = batches.align_answers(chunked, batches.parse_single(answers), answers)
-    return aligned.select("message_id", "source", F.col("value").alias("answer"), "error")
+    return aligned.select("message_id", "source", F.col("value").alias("answer"))
 
 
 def setup_comparison(spark, sf):

@@ -71,6 +71,19 @@ def test_load_enrich_dump(spark, paths, capsys):
     assert capsys.readouterr().out.split("\n")[:2] == ["канал Б", "канал А"]
 
 
+def test_read_command(spark, paths, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    (feed / "1.json").write_text("\n".join(json.dumps(
+        {"message_id": i, "channel_id": c, "publish_date": "2024-01-01T10:00:00Z",
+         "source": f"c{c}", "text": "t", "message": ""}) for i, c in ((1, 5), (2, 6))))
+    (tmp_path / "channels.json").write_text('{"1": [5]}')
+    run(spark, "read", paths["store"], str(feed), paths["check"],
+        "--channels", str(tmp_path / "channels.json"))
+    assert [(r.source, r.message_id) for r in store.scan_store(spark, paths["store"]).collect()] \
+        == [("c5", "1")]
+
+
 def test_model_steps_report_failures(spark, paths):
     jobs.load_files(spark, paths["in"], paths["store"])
 

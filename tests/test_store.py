@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,38 @@ def test_global_key(spark, path):
     assert content(spark, path) == {("b", "1"): ("y", None, 1)}
 
 
+def test_random_writes_agree_with_a_dictionary(spark, path):
+    """Merges and replacements of random rows, dates moving, against plain Python."""
+    rng = random.Random(5)
+    model = {}
+    for step in range(5):
+        mode = "replace" if step == 3 else "merge"
+        fields = ["publish_date", "initial_text", "summary"] if step % 2 == 0 else [
+            "publish_date", "summary"]
+        batch = {}
+        for _ in range(12):
+            key = (rng.choice(["a", "b", None]), str(rng.randrange(6)))
+            row = {"publish_date": rng.choice([at(1), at(2), at(3), None]),
+                   "initial_text": rng.choice(["x", "y", None]), "summary": rng.choice(["s", None])}
+            batch[key] = {f: row[f] for f in fields}
+        for key, row in batch.items():
+            old = model.get(key, {}) if mode == "merge" else {}
+            model[key] = {**old, **row}
+        types = {"publish_date": "timestamp", "initial_text": "string", "summary": "string"}
+        frame = spark.createDataFrame(
+            [(*key, *row.values()) for key, row in batch.items()],
+            "source string, message_id string, " + ", ".join(f"{f} {types[f]}" for f in fields))
+        store.write_messages(spark, path, frame, mode)
+        rows = store.scan_store(spark, path).collect()
+        got = {(r.source, r.message_id): (r.publish_date, r.initial_text, r.summary) for r in rows}
+        assert len(got) == len(rows)
+        assert got == {k: tuple(
+            v.get(f).replace(tzinfo=None) if f == "publish_date" and v.get(f) else v.get(f)
+            for f in types) for k, v in model.items()}
+        assert all(r.publish_day == (r.publish_date.date() if r.publish_date else store.NO_DAY)
+                   for r in rows)
+
+
 def test_unknown_columns_are_refused(spark, path):
     with pytest.raises(ValueError):
         store.write_messages(spark, path, raw(spark).withColumn("mood", F.lit(1)))
