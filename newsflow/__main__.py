@@ -50,10 +50,11 @@ def parser() -> argparse.ArgumentParser:
     step.add_argument("--model", help="module:function instead of the rules")
     step.add_argument("--tonality-lexicon", help="CSV file word,value,weight")
     step.add_argument("--category-lexicon", help="CSV file word,value,weight")
-    process = command("process", help="enrich new messages by rules at intervals")
+    process = command("process", help="enrich new messages at intervals")
     process.add_argument("checkpoint")
-    process.add_argument("--tonality-lexicon", required=True)
-    process.add_argument("--category-lexicon", required=True)
+    process.add_argument("--model", help="module:function instead of the rules")
+    process.add_argument("--tonality-lexicon", help="CSV file word,value,weight")
+    process.add_argument("--category-lexicon", help="CSV file word,value,weight")
     process.add_argument("--interval", default=flows.IDLE)
     process.add_argument("--limit", type=int, help="messages per round; each round is stored")
     return top
@@ -77,10 +78,19 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.command == "enrich":
         _enrich(spark, args)
     elif args.command == "process":
-        lexicons = _lexicon(spark, args.tonality_lexicon), _lexicon(spark, args.category_lexicon)
-        flows.enrich_forever(
-            spark, args.store, lambda m: enrich.enrich_all_by_rules(m, *lexicons),
-            args.checkpoint, args.interval, args.limit).awaitTermination()
+        flows.enrich_forever(spark, args.store, _chain(spark, args), args.checkpoint,
+                             args.interval, args.limit).awaitTermination()
+
+
+def _chain(spark: SparkSession, args: argparse.Namespace):
+    """All steps as one function of messages."""
+    if args.model:
+        function = _function(args.model)
+        return lambda m: enrich.enrich_by_model(m, {n: function for n in enrich.CHAIN})
+    if not (args.tonality_lexicon and args.category_lexicon):
+        raise SystemExit("give both lexicons, or a model")
+    lexicons = _lexicon(spark, args.tonality_lexicon), _lexicon(spark, args.category_lexicon)
+    return lambda m: enrich.enrich_all_by_rules(m, *lexicons)
 
 
 def _enrich(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -1,5 +1,6 @@
 """Nearest messages by vector and ranked messages by words."""
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -76,14 +77,15 @@ def similar_topk(messages: DataFrame, queries: Sequence[tuple[str, Sequence[floa
             .filter(F.col("rank") <= k))
 
 
-def text_search(messages: DataFrame, query: Sequence[str], k: int = 10,
+def text_search(messages: DataFrame, query: str | Sequence[str], k: int = 10,
                 text_col: str = "initial_text", id_cols=KEY) -> DataFrame:
     """The ``k`` messages that match any of the words best, by BM25.
 
     The texts are read once: each message is reduced to its length and the
     counts of the words asked for, and the rest works on those numbers.
     """
-    asked = sorted({word.lower() for word in query})
+    listed = re.findall(r"[^\W_]+", query) if isinstance(query, str) else query
+    asked = sorted({word.lower() for word in listed})
     counts = [f"_tf{i}" for i in range(len(asked))]
     counted = materialise(
         messages.select(*id_cols, words(F.col(text_col)).alias("_tokens"))

@@ -134,7 +134,7 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
     if unknown:
         raise ValueError(f"unknown steps: {sorted(unknown)}")
     # only keys are numbered and aligned; texts join them for the requests
-    chunked = batches.chunk(messages.select(*KEY, "publish_date"), batch)
+    chunked = materialise(batches.chunk(messages.select(*KEY, "publish_date"), batch), "chunked")
     result = chunked.select(*KEY, "publish_date")
     requests = batches.batch_texts(
         join_on_key(chunked, messages.select(*KEY, "initial_text"), KEY))

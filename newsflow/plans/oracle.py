@@ -288,6 +288,14 @@ ORACLE = {
     "score_batches": selected(MESSAGES, f"""SELECT message_id, source,
         CAST(length({strip('initial_text')}) AS VARCHAR) AS answer
         FROM messages"""),
+    "enrich_by_model": selected(MESSAGES + f""", bodies AS (SELECT message_id, source,
+        {strip('initial_text')} AS body FROM messages)""", f"""SELECT message_id, source,
+        CASE WHEN length(body) >= 1000 THEN 'позитивна' END AS tonality,
+        CASE WHEN length(body) < 1000 THEN 'unknown value: невідома' END AS tonality_error,
+        CASE WHEN body LIKE '%.' THEN 'спорт' ELSE 'освіта' END AS category,
+        'разом ' || length(body) AS summary, length(body) || ' знаків' AS cleared_text,
+        CASE WHEN length({strip("body[-3:]")}) > 2 AND instr(body[-3:], ';') = 0
+        THEN 'Київ;' || {strip("body[-3:]")} ELSE 'Київ' END AS named_entities FROM bodies"""),
     "setup_comparison": selected(MESSAGES, """SELECT message_id, source,
         '0.0/' || length(initial_text) AS cold, '0.4/' || length(initial_text) AS warm,
         '1.0/' || length(initial_text) AS hot FROM messages"""),

@@ -487,6 +487,29 @@ def setup_comparison(spark, sf):
     return enrich.setup_comparison(text_messages(spark, sf), measure, SETUPS, call_size=64)
 
 
+def enrich_by_model(spark, sf):
+    """The four text steps by a stand-in for a model: batches out, replies back to their messages."""
+    def numbered(requests, reply):
+        return ["".join(reply(number, body.strip()) for number, body in
+                        (part.split(": ", 1) for part in request.split("Текст #")[1:]))
+                for request in requests]
+
+    def answer(reply):
+        return lambda requests, setup: numbered(requests, reply)
+
+    done = enrich.enrich_by_model(text_messages(spark, sf), {
+        "tonality": answer(lambda n, body: f"Текст #{n}: "
+                           f"{'Позитивна' if len(body) >= 1000 else 'невідома'}\n"),
+        "category": answer(lambda n, body: f"Текст {n} : "
+                           f"{'спорт' if body.endswith('.') else 'освіта'}\n"),
+        "summary": answer(lambda n, body: f"Текст #{n}: Разом {len(body)}\n"),
+        "clean_ner": answer(lambda n, body: f"|||Текст #{n}\nДія 1: {len(body)} знаків\n"
+                                            f"Дія 2: {body[:1]}; Київ; {body[-3:]}\n\n"),
+    }, call_size=16)
+    return done.select("message_id", "source", "tonality", "tonality_error", "category", "summary",
+                       "cleared_text", _joined("named_entities"))
+
+
 # --- search ------------------------------------------------------------------------------
 
 def similar_topk(spark, sf):
@@ -587,7 +610,7 @@ QUERIES = {f.__name__: f for f in (
     date_histogram, confusion_matrix, accuracy, clean_text, clean_text_spaced, sanitize_name,
     content_id, parse_ts, kyiv_hms, extract_noise, enrich_clean_ner, enrich_summary,
     enrich_tonality, enrich_category, enrich_embeddings, enrich_all, enrich_by_source,
-    score_batches, setup_comparison, similar_topk, text_search, stream_ingest, enrich_incremental,
+    score_batches, enrich_by_model, setup_comparison, similar_topk, text_search, stream_ingest, enrich_incremental,
     stream_dedup, stream_histogram, label_index, split, train_classifier, predict)}
 
 

@@ -32,11 +32,11 @@ def _with_day(df: DataFrame) -> DataFrame:
 
 def _complete(df: DataFrame) -> DataFrame:
     """All columns of the table in order; the ones ``df`` lacks are null or empty."""
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in MESSAGE.fields}
-    missing["named_entities"] = F.array().cast("array<string>")
-    return _with_day(df.select(*[
-        (F.col(f.name).cast(f.dataType) if f.name in df.columns else missing[f.name]).alias(f.name)
-        for f in MESSAGE.fields]))
+    given = {f.name: F.col(f.name) if f.name in df.columns else F.lit(None)
+             for f in MESSAGE.fields}
+    typed = {f.name: given[f.name].cast(f.dataType) for f in MESSAGE.fields}
+    typed["named_entities"] = F.coalesce(typed["named_entities"], F.array().cast("array<string>"))
+    return _with_day(df.select(*[column.alias(name) for name, column in typed.items()]))
 
 
 def _spread(df: DataFrame, key_cols) -> DataFrame:

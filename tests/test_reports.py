@@ -1,5 +1,6 @@
 import datetime
 import math
+import re
 
 import numpy as np
 import pytest
@@ -68,7 +69,8 @@ def test_text_search_matches_brute_force(spark):
     df = spark.createDataFrame([("s", str(i), t) for i, t in enumerate(texts)],
                                "source string, message_id string, initial_text string")
     got = [(r.message_id, r.score) for r in search.text_search(df, ["КИЇВ", "матч"], 10).collect()]
-    import re
+    assert got == [(r.message_id, r.score)
+                   for r in search.text_search(df, "Київ, матч?", 10).collect()]
     tokens = [[w for w in re.split(r"\W+", t.lower()) if w] for t in texts]
     average = sum(map(len, tokens)) / len(texts)
     want = {}
