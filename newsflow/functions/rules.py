@@ -28,8 +28,9 @@ NO_MESSAGE = "повідомлення немає"
 NO_SUMMARY = "самарі відсутнє"
 
 #: Up to this many entries a lexicon is compiled into the expression, so that
-#: scoring needs no shuffle; up to the second number it is broadcast.
-INLINE_LEXICON = 2000
+#: scoring needs no shuffle (the work per text grows with the words it hits); up
+#: to the second number it is broadcast.
+INLINE_LEXICON = 500
 BROADCAST_LEXICON = 1_000_000
 
 
@@ -73,8 +74,8 @@ def label_by_lexicon(messages: DataFrame, lexicon: DataFrame, values, default: s
     ``tokens`` are the words to score, by default those of the initial text.
     """
     tokens = words(F.col("initial_text")) if tokens is None else tokens
-    entries = (lexicon.filter(F.col("value").isin(list(values)))
-               .select("word", "value", "weight").limit(inline_limit + 1).collect())
+    lexicon = lexicon.filter(F.col("value").isin(list(values)) & F.col("word").isNotNull())
+    entries = (lexicon.select("word", "value", "weight").limit(inline_limit + 1).collect())
     if len(entries) <= inline_limit:
         return messages.withColumn(
             name, _inline_label(tokens, entries, values, default))
@@ -88,10 +89,16 @@ def _inline_label(tokens: Column, entries, values, default: str) -> Column:
         weights.setdefault(e.value, {})[e.word] = int(e.weight)
     if not weights:
         return F.lit(default)
-    known = F.array(*[F.lit(word) for word in sorted({e.word for e in entries})])
+
+    def listed(items):
+        # one literal instead of one per word keeps the plan small
+        return F.split(F.lit("\n".join(str(item) for item in items)), "\n")
+
+    known = listed(sorted({e.word for e in entries}))
 
     def score(hits, value):
-        weight = F.create_map(*[F.lit(x) for item in weights[value].items() for x in item])
+        weight = F.map_from_arrays(listed(weights[value]),
+                                   listed(weights[value].values()).cast("array<int>"))
         return F.aggregate(hits, F.lit(0).cast("long"), lambda total, hit: total + hit["times"]
                            * F.coalesce(F.element_at(weight, hit["word"]), F.lit(0)))
 
@@ -116,9 +123,8 @@ def _joined_label(messages, lexicon, values, default, name, tokens, key_cols):
     """
     places = F.create_map(*[F.lit(x) for place, value in enumerate(values)
                             for x in (value, -place)])
-    lexicon = (lexicon.filter(F.col("value").isin(list(values)))
-               .select("word", "value", F.col("weight").cast("long").alias("weight"),
-                       places[F.col("value")].alias("place")))
+    lexicon = (lexicon.select("word", "value", F.col("weight").cast("long").alias("weight"),
+                              places[F.col("value")].alias("place")))
     if lexicon.count() <= BROADCAST_LEXICON:
         lexicon = F.broadcast(lexicon)
     found = explode_words(messages.select(*key_cols, tokens.alias("word")), "word")
