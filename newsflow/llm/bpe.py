@@ -9,7 +9,6 @@ import hashlib
 import json
 import unicodedata
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -38,7 +37,7 @@ def _byte_letters():
 
 
 class Vocabulary:
-    """A BPE vocabulary file with word ends: its merges, and an automaton of all its tokens.
+    """A BPE vocabulary file with word ends: its merges, and a suffix automaton of all its tokens.
 
     A word is a string of symbols: one letter per byte, and the last one marked as word end by an
     offset of its code point.
@@ -66,19 +65,13 @@ class Vocabulary:
             self.merged[left << 32 | right] = order
             if whole not in self.made:
                 self.left[whole], self.right[whole], self.made[whole] = left, right, order
-        self.pairs = {}
-        self.automaton = ahocorasick.Automaton()
-        for token, i in self.ids.items():
-            symbols = self.symbols(token)
-            if i in self.made or len(symbols) == 1:
-                self.automaton.add_word(symbols, (i, len(symbols)))
-        self.automaton.make_automaton()
-        reachable = [(s, v) for s, v in self.automaton.items() if self.encode(s) == [v[0]]]
-        if len(reachable) < len(self.automaton):  # a token that no text is encoded to
-            self.automaton = ahocorasick.Automaton()
-            for symbols, value in reachable:
-                self.automaton.add_word(symbols, value)
-            self.automaton.make_automaton()
+        self.pairs, self.steps = {}, {}
+        tokens = {self.symbols(token): i for token, i in self.ids.items()}
+        self.tokens = {s: i for s, i in tokens.items() if i in self.made or len(s) == 1}
+        self.begins = {s[:n] for s in self.tokens for n in range(1, len(s) + 1)}
+        # Tokens that no text is encoded to must not end a prefix.
+        self.tokens = {s: i for s, i in self.tokens.items() if self.encode(s) == [i]}
+        self.steps.clear()
 
     def _check(self, spec):
         model = spec["model"]
@@ -121,32 +114,47 @@ class Vocabulary:
             else:
                 return True
 
+    def step(self, read):
+        """The automaton's next state and the tokens that end there, longest first.
+
+        A state is the longest suffix of what was read that a token begins with; ``read`` is a
+        state and one more symbol. Steps are worked out when first taken.
+        """
+        state = read
+        while state and state not in self.begins:
+            state = state[1:]
+        ends = [(self.tokens[state[i:]], len(state) - i)
+                for i in range(len(state)) if state[i:] in self.tokens]
+        if len(self.steps) > REMEMBER:
+            self.steps.clear()
+        found = self.steps[read] = (state, ends)
+        return found
+
     def encode(self, symbols):
         """Ids of one word."""
-        n = len(symbols)
-        last, size = [-1] * (n + 1), [0] * (n + 1)  # of each prefix: its last token, its length
-        pairs = self.pairs
-        for end, (token, length) in self.automaton.iter(symbols):
+        steps, pairs, state, end = self.steps, self.pairs, "", 0
+        last, size = [-1], [0]  # of each prefix: its last token and that one's length
+        for symbol in symbols:
             end += 1
-            if last[end] >= 0:
-                continue
-            if length < end:
-                before = last[end - length]
-                if before < 0:
-                    continue
-                key = before << 32 | token
+            step = steps.get(state + symbol) or self.step(state + symbol)
+            state, matches = step
+            for token, length in matches:
+                if length == end:
+                    break
+                key = last[end - length] << 32 | token
                 fits = pairs.get(key)
                 if fits is None:
                     if len(pairs) > 2 * REMEMBER:
                         pairs.clear()
-                    fits = pairs[key] = self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end], size[end] = token, length
+                    fits = pairs[key] = self.compatible(key >> 32, token)
+                if fits:
+                    break
+            last.append(token)
+            size.append(length)
         ids = []
-        while n:
-            ids.append(last[n])
-            n -= size[n]
+        while end:
+            ids.append(last[end])
+            end -= size[end]
         return ids[::-1]
 
 
