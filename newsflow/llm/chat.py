@@ -15,7 +15,7 @@ TURN, BODY, END = "<|turn|>", "<|body|>", "</s>"
 PLACEHOLDERS = {"image": ("<|image|>", 576), "audio": ("<|audio|>", 188),
                 "document": ("<|document|>", 1024)}
 #: What other templates use for control is escaped too, so a format can be fed to their models.
-CONTROL = r"\||/?s>|/?INST\]|<?/?SYS>"
+CONTROL = r"\||/?s>|/?INST\]|/?SYS>"
 
 PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()),
                      T.StructField("ref", T.StringType()), T.StructField("n_tokens", T.LongType())])
@@ -137,7 +137,7 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 shown AS (
-  SELECT *, regexp_replace(regexp_replace(text, '([<\[]!*)(\||/?s>|/?INST\]|<?/?SYS>)',
+  SELECT *, regexp_replace(regexp_replace(text, '([<\[]!*)(\||/?s>|/?INST\]|/?SYS>)',
                                           '\1' || chr(1) || '\2', 'g'), chr(1), '!', 'g') AS body
   FROM rows)
 SELECT conv_id, count(*) AS n_turns,
