@@ -294,3 +294,27 @@ def keep_first(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 def op10_minhash_near_dedup(spark, sf_dir):
     return (near_duplicates(table(spark, sf_dir, "documents"))
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)),
+    lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT DISTINCT a AS id, a AS other FROM both_ways
+  UNION SELECT r.id, l.b FROM reached r JOIN both_ways l ON l.a = r.other),
+parts AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles,
+  coalesce(p.component_id, d.doc_id) AS component_id,
+  coalesce(p.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN parts p ON p.id = d.doc_id"""
