@@ -1,42 +1,32 @@
 """Intermediate tables in the folder the cluster shares between its nodes."""
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@lru_cache(maxsize=None)
-def _local_root(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="newsflow-")
+def _folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``; where that is unset, below the
+    warehouse, which a cluster shares too."""
+    root = (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch")
+    return f"{root.rstrip('/')}/newsflow/{spark.conf.get('spark.app.id')}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``.
-
-    Only a single-machine session may do without that setting; it gets a
-    temporary folder. On a cluster such a folder would not be shared.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all nodes")
-        root = _local_root(spark.conf.get("spark.app.id"))
-    return f"{_folder(spark, root)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder."""
+    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _folder(spark: SparkSession, root: str) -> str:
-    return f"{root.rstrip('/')}/newsflow/{spark.conf.get('spark.app.id')}"
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table, once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables, once its results are stored."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(
-        spark.conf.get("spark.app.id"))
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(_folder(spark, root))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete all of the application's intermediate tables, once its results are stored."""
+    drop(spark, _folder(spark))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
