@@ -30,7 +30,7 @@ WIDTH = LENGTH + REACH + 2
 #: Bytes of text per run and, about, of suffixes per part.
 RUN_BYTES = 16 << 20
 #: Window starts worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 NO_DOC = np.iinfo(np.int64).max
 
 MESSAGE = T.StructType([T.StructField("run", T.LongType()), T.StructField("part", T.LongType()),
@@ -153,12 +153,15 @@ class Run:
         matrix[:, -2], matrix[:, -1] = self.n_right, self.n_left
         order = np.argsort(matrix.view(f"S{WIDTH}").ravel(), kind="stable")
         order = order[np.argsort(self.part[order], kind="stable")]
-        matrix, part = matrix[order], self.part[order]
+        part = self.part[order]
         new = np.ones(n, bool)
-        new[1:] = (matrix[1:] != matrix[:-1]).any(1) | (part[1:] != part[:-1])
+        new[1:] = part[1:] != part[:-1]
+        for begin in range(1, n, CHUNK):  # compared in pieces: the matrix is the largest thing here
+            at = order[begin - 1:begin + CHUNK]
+            new[begin:begin + CHUNK] |= (matrix[at[1:]] != matrix[at[:-1]]).any(1)
         self.suffix = np.empty(n, np.int64)
         self.suffix[order] = np.cumsum(new) - 1
-        self.matrix, self.suffix_part = matrix[new], part[new]
+        self.matrix, self.suffix_part = matrix[order[new]], part[new]
         doc = self.docs[self.row]
         self.least = np.full(len(self.matrix), NO_DOC)
         np.minimum.at(self.least, self.suffix, doc)
@@ -247,7 +250,8 @@ def _send_suffixes(parts):
             run.suffixes(_read_shared(run, bits.to_pylist()))
             for part, s in run.slices(run.suffix_part):
                 prefix, rest = front_code(run.matrix[s])
-                out.append((part, prefix.tobytes(), rest.tobytes(), run.least[s].tobytes(), None))
+                out.append((part, prefix.tobytes(), zlib.compress(rest.tobytes(), 1),
+                            run.least[s].tobytes(), None))
         return _rows(texts["run"][0].as_py() if len(texts) else 0, out)
     return send
 
@@ -360,7 +364,7 @@ def _merge_part(messages: pa.Table) -> pa.Table:
     runs, matrices = [], []
     for row in rows:
         prefix = np.frombuffer(row["a"], np.uint8)
-        matrix = front_decode(prefix, np.frombuffer(row["b"], np.uint8))
+        matrix = front_decode(prefix, np.frombuffer(zlib.decompress(row["b"]), np.uint8))
         raw = matrix.tobytes()
         runs.append(([raw[i:i + WIDTH] for i in range(0, len(raw), WIDTH)], prefix.tolist()))
         matrices.append(matrix)
@@ -429,7 +433,8 @@ def _covered(run, found):
     edges = np.zeros(len(run.flat) + 1, np.int32)
     np.add.at(edges, (run.at - farthest)[hit], 1)
     np.add.at(edges, (run.at - nearest + LENGTH)[hit], -1)
-    return np.cumsum(edges)[:-1] > 0
+    np.cumsum(edges, out=edges)
+    return edges[:-1] > 0
 
 
 def _cut(parts, kept_text):
@@ -440,22 +445,26 @@ def _cut(parts, kept_text):
         gone = np.zeros(len(run.flat), bool)
         if bits:
             run.suffixes(_read_shared(run, bits))
+            del run.matrix, run.gram, run.key
             gone = _covered(run, [row for row in rows if row["kind"] == 1])
-        starts = gone & ~np.r_[False, gone[:-1]]
-        starts[run.begins[run.begins < len(gone)]] = gone[run.begins[run.begins < len(gone)]]
-        removed, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(starts)]
+        starts = gone.copy()
+        starts[1:] &= ~gone[:-1]
+        heads = run.begins[run.begins < len(gone)]  # a run of removed bytes ends with its text
+        starts[heads] = gone[heads]
+        removed, spans = (np.bincount(np.searchsorted(run.ends, np.flatnonzero(mask), "right"),
+                                      minlength=len(texts)) for mask in (gone, starts))
         kept = run.flat[~gone].tobytes()
-        left = np.arange(len(gone) + 1) - removed
+        ends = np.cumsum(run.ends - run.begins - removed).tolist()
         digests, texts_kept = [], []
-        for a, b in zip(left[run.begins], left[run.ends]):
+        for a, b in zip([0, *ends], ends):
             digests.append(hashlib.sha256(kept[a:b]).hexdigest())
             if kept_text:
                 texts_kept.append(kept[a:b].decode("utf-8", "ignore"))
         out = {"row": texts["row"], "text": pa.array(texts_kept, pa.string()) if kept_text
                else pa.nulls(len(texts), pa.string()),
                "n_bytes": pa.array(run.ends - run.begins, pa.int64()),
-               "n_removed": pa.array(removed[run.ends] - removed[run.begins], pa.int64()),
-               "n_spans": pa.array(spans[run.ends] - spans[run.begins], pa.int64()),
+               "n_removed": pa.array(removed, pa.int64()),
+               "n_spans": pa.array(spans, pa.int64()),
                "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(out)
     return cut
