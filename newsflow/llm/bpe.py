@@ -211,7 +211,7 @@ def encode_text(text, runs):
 
 
 def encodings(path):
-    return cached(("bpe", path), lambda: Words(Vocabulary(path)))
+    return cached(("bpe", path), lambda: Words(Vocabulary(path)), large=True)
 
 
 def bpe_digest(text: Column, path: str) -> Column:

@@ -7,18 +7,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task works on at a time; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cached(key, make):
-    """One object per key and Python worker, kept between tasks."""
+def cached(key, make, large=False):
+    """One object per key and Python worker, kept between tasks; of large ones, the last used."""
     store = sys.__dict__.setdefault("_newsflow_llm", {})
+    if store.get("large") not in (None, key):
+        store.pop(store.pop("large"), None)
     if key not in store:
         store[key] = make()
+    if large:
+        store["large"] = key
     return store[key]
 
 

@@ -97,7 +97,7 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_
     """
     @F.arrow_udf(T.ArrayType(PIECE))
     def cut(texts: pa.Array) -> pa.Array:
-        runs = cached(("runs", path), lambda: Runs(path))
+        runs = cached(("runs", path), lambda: Runs(path), large=True)
         end, out = np.array([end_id], "<u4").tobytes(), []
         for text in texts:
             ids = runs.encode(text.as_py() or "") + end
