@@ -35,10 +35,10 @@ def parser() -> argparse.ArgumentParser:
     command("list-channels", help="list the sources that have messages")
     load = command("load-data", help="import JSONL files")
     load.add_argument("folder")
+    load.add_argument("--rejects", help="folder for lines that cannot be read")
     dump = command("dump", help="write the table to JSONL files by source")
     dump.add_argument("folder")
     dump.add_argument("--source")
-    dump.add_argument("--with-id", action="store_true")
     read = command("read", help="write a feed of JSON files to the table")
     read.add_argument("folder")
     read.add_argument("checkpoint")
@@ -65,9 +65,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         for row in unique_sources(store.scan_store(spark, args.store)).toLocalIterator():
             print(row.source)
     elif args.command == "load-data":
-        jobs.load_files(spark, args.folder, args.store)
+        bad = jobs.load_files(spark, args.folder, args.store, rejects=args.rejects)
+        print(f"{bad} lines could not be read")
     elif args.command == "dump":
-        jobs.dump_files(spark, args.store, args.folder, args.source, args.with_id)
+        jobs.dump_files(spark, args.store, args.folder, args.source)
     elif args.command == "read":
         channels = None
         if args.channels:
@@ -79,14 +80,27 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         _enrich(spark, args)
     elif args.command == "process":
         flows.enrich_forever(spark, args.store, _chain(spark, args), args.checkpoint,
-                             args.interval, args.limit).awaitTermination()
+                             args.interval, args.limit, WANTED).awaitTermination()
+
+
+#: Fields without which ``process`` takes a message up again.
+WANTED = ("cleared_text", "summary", "tonality", "category", "embedding_sts")
+
+
+def _by_step(function, names) -> dict:
+    """The model function for each step; it is told the step, and the kind of an embedding."""
+    steps = {name: function for name in names}
+    if "embeddings" in steps:
+        steps["embeddings"] = lambda texts, kind: function(
+            texts, {"step": "embeddings", "kind": kind})
+    return steps
 
 
 def _chain(spark: SparkSession, args: argparse.Namespace):
     """All steps as one function of messages."""
     if args.model:
         function = _function(args.model)
-        return lambda m: enrich.enrich_by_model(m, {n: function for n in enrich.CHAIN})
+        return lambda m: enrich.enrich_by_model(m, _by_step(function, enrich.CHAIN))
     if not (args.tonality_lexicon and args.category_lexicon):
         raise SystemExit("give both lexicons, or a model")
     lexicons = _lexicon(spark, args.tonality_lexicon), _lexicon(spark, args.category_lexicon)
@@ -99,7 +113,7 @@ def _enrich(spark: SparkSession, args: argparse.Namespace) -> None:
         names = [n for n in names if n != "embeddings"] + ["embeddings"]
     if args.model:
         function = _function(args.model)
-        failed = jobs.run_model_steps(spark, args.store, {n: function for n in names}, args.source)
+        failed = jobs.run_model_steps(spark, args.store, _by_step(function, names), args.source)
         print(f"{failed.count()} messages with failed steps")
         return
     steps = dict(jobs.RULES)
@@ -120,8 +134,10 @@ def main() -> None:
     args = parser().parse_args()
     spark = (SparkSession.builder.appName(f"newsflow {args.command}")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
-    run(spark, args)
-    drop_scratch(spark)
+    try:
+        run(spark, args)
+    finally:
+        drop_scratch(spark)
 
 
 if __name__ == "__main__":

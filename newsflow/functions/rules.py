@@ -13,7 +13,7 @@ from newsflow.schema import KEY
 # What counts as noise, the characters a cleaned message keeps
 # and the phrases that stand for an empty result.
 LINK = r"(?:https?://|www\.)[^\s]+"
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 TAG_OR_MENTION = r"[#@][\p{L}\p{N}_]+"
 PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
@@ -68,13 +68,15 @@ def label_by_lexicon(messages: DataFrame, lexicon: DataFrame, values, default: s
                      inline_limit: int = INLINE_LEXICON) -> DataFrame:
     """Add column ``name``: the value whose lexicon words weigh most in the text.
 
-    ``lexicon`` has columns ``word, value, weight`` (whole numbers), at most
-    one row per word and value. Ties go to the value that comes first in
+    ``lexicon`` has columns ``word, value, weight`` (whole numbers); rows of one
+    word and value add up, those without a weight count nothing. Ties go to the value that comes first in
     ``values``; without any hit, or if no sum is positive, ``default`` is given.
     ``tokens`` are the words to score, by default those of the initial text.
     """
     tokens = words(F.col("initial_text")) if tokens is None else tokens
-    lexicon = lexicon.filter(F.col("value").isin(list(values)) & F.col("word").isNotNull())
+    lexicon = (lexicon.filter(F.col("value").isin(list(values)) & F.col("word").isNotNull()
+                              & F.col("weight").isNotNull() & ~F.col("word").contains("\n"))
+               .groupBy("word", "value").agg(F.sum(F.col("weight").cast("long")).alias("weight")))
     entries = (lexicon.select("word", "value", "weight").limit(inline_limit + 1).collect())
     if len(entries) <= inline_limit:
         return messages.withColumn(
@@ -98,9 +100,9 @@ def _inline_label(tokens: Column, entries, values, default: str) -> Column:
 
     def score(hits, value):
         weight = F.map_from_arrays(listed(weights[value]),
-                                   listed(weights[value].values()).cast("array<int>"))
+                                   listed(weights[value].values()).cast("array<bigint>"))
         return F.aggregate(hits, F.lit(0).cast("long"), lambda total, hit: total + hit["times"]
-                           * F.coalesce(F.element_at(weight, hit["word"]), F.lit(0)))
+                           * F.coalesce(F.element_at(weight, hit["word"]), F.lit(0).cast("long")))
 
     def best(hits):
         return F.array_max(F.array(*[

@@ -1,5 +1,6 @@
 """Applying a user's model function to requests and to texts."""
 
+import random
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,12 +11,18 @@ from newsflow.operators.batches import EMBEDDING_BATCH
 
 
 def _paced(calls_per_minute: float | None) -> Callable[[], None]:
-    """A function that sleeps so that it returns at most so often; each task gets its own copy."""
-    due = 0.0
+    """A function that sleeps so that it returns at most so often; each task gets its own copy.
+
+    A task waits ahead of its first call too, as the last call may have been in the task before.
+    """
+    due = None
 
     def wait():
         nonlocal due
         now = time.monotonic()
+        if due is None:
+            due = now + (random.uniform(0.5, 1.5) * 60 / calls_per_minute
+                         if calls_per_minute else 0)
         if calls_per_minute and due > now:
             time.sleep(due - now)
             now = due

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newsflow.functions.text import clean_text_spaced, parse_ts
+from newsflow.operators.merge import keep_matching
 from newsflow.schema import JSONL, KEY, MESSAGE
 
 #: A channel list longer than this is joined by shuffle instead of broadcast.
@@ -58,20 +59,31 @@ def newest_first(messages: DataFrame, now: datetime.datetime, days_depth: int =
         F.desc("publish_date"), *[F.desc(c) for c in KEY])
 
 
-def is_unprocessed() -> Column:
-    """Null and empty both mean that a message has not been enriched."""
-    return F.coalesce("cleared_text", F.lit("")) == ""
+def is_unprocessed(fields=("cleared_text",)) -> Column:
+    """True if one of ``fields`` is still to come. For texts null and empty both mean that."""
+    missing = F.lit(False)
+    for field in fields:
+        missing = missing | (F.col(field).isNull() if field.startswith("embedding")
+                             else F.coalesce(field, F.lit("")) == "")
+    return missing
 
 
-def unprocessed(messages: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """Messages still to be enriched, oldest first, at most ``limit`` of them."""
-    waiting = messages.filter(is_unprocessed())
+def unprocessed(messages: DataFrame, limit: int | None = None,
+                fields=("cleared_text",)) -> DataFrame:
+    """Messages that lack one of ``fields``; with a ``limit`` the oldest so many of them."""
+    waiting = messages.filter(is_unprocessed(fields))
     return waiting if limit is None else limit_chunk(waiting, limit)
 
 
 def limit_chunk(messages: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` oldest messages."""
-    return messages.orderBy("publish_date", *KEY).limit(limit)
+    """The ``limit`` oldest messages.
+
+    Only keys are brought together to be picked; the rows that carry texts and
+    vectors join them. Of rows with one key and date, all or none are taken.
+    """
+    picked = (messages.select("publish_date", *KEY).orderBy("publish_date", *KEY).limit(limit)
+              .distinct())
+    return keep_matching(messages, picked, ("publish_date", *KEY))
 
 
 def skip_processed(messages: DataFrame, reprocess: bool = False) -> DataFrame:

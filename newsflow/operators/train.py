@@ -13,9 +13,12 @@ TRAINING_TENTHS = 8
 
 
 def label_index(df: DataFrame, label_col: str = "tonality") -> StringIndexerModel:
-    """Numbers for the class names, in alphabetical order; adds ``label`` on transform."""
+    """Numbers for the class names, in alphabetical order; adds ``label`` on transform.
+
+    A class that was not seen, or none, gets the number after the last.
+    """
     return StringIndexer(inputCol=label_col, outputCol="label",
-                         stringOrderType="alphabetAsc", handleInvalid="skip").fit(df)
+                         stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
 
 
 def in_training(*key: Column, tenths: int = TRAINING_TENTHS) -> Column:

@@ -1,7 +1,5 @@
 """The enrichment steps, by rules or by a model, alone and as one chain."""
 
-from dataclasses import asdict, dataclass
-
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,24 +12,15 @@ from newsflow.schema import CATEGORIES, KEY, MESSAGE, TONALITIES
 from newsflow.scratch import materialise
 
 
-@dataclass(frozen=True)
-class Setup:
-    """Generation options handed to the model function."""
-    temperature: float = 0.3
-    top_p: float | None = None
-    top_k: int | None = None
-    freq_penalty: float | None = None
-    pres_penalty: float | None = None
-    max_tokens: int | None = 1024
-    timeout: int | None = None
-
-
 # The generation options of the steps, the order of a full run,
 # the width of the vectors and the label given where no word of a lexicon hits.
-LOW = Setup(temperature=0.4, top_p=0.95, top_k=40)
-HIGH = Setup(temperature=0.8, top_p=0.8)
+LOW = {"temperature": 0.4, "top_p": 0.95, "top_k": 40}
+HIGH = {"temperature": 0.8, "top_p": 0.8}
 STEP_SETUPS = {"clean_ner": LOW, "summary": HIGH, "tonality": HIGH, "category": HIGH}
 CHAIN = ("tonality", "category", "summary", "clean_ner", "embeddings")
+FIELDS = {"clean_ner": ("cleared_text", "named_entities"), "summary": ("summary",),
+          "tonality": ("tonality",), "category": ("category",),
+          "embeddings": ("embedding_sts", "embedding_clf")}
 ALLOWED = {"tonality": TONALITIES, "category": CATEGORIES}
 DIMENSIONS = 768
 DEFAULT_TONALITY = "нейтральна"
@@ -90,13 +79,15 @@ def enrich_all_by_rules(messages: DataFrame, tonality_lexicon: DataFrame,
 # --- model ------------------------------------------------------------------
 
 def model_step(chunked: DataFrame, requests: DataFrame, step: str, batch_fn,
-               template: str = "{texts}", setup: Setup | None = None, **pace) -> DataFrame:
+               template: str = "{texts}", setup: dict | None = None, **pace) -> DataFrame:
     """One text step by a model, as rows ``(source, message_id, <fields>, <step>_error)``.
 
+    ``batch_fn`` gets the requests and the setup's options with the step's name under ``step``.
+
     The replies are written once before they are parsed: they cost money and
     would differ on a second call.
     """
-    setup = {k: v for k, v in asdict(setup or STEP_SETUPS[step]).items() if v is not None}
+    setup = {**(STEP_SETUPS[step] if setup is None else setup), "step": step}
     work = requests.transform(batches.to_prompt, template)
     answers = materialise(
         scoring.score_batches(work, lambda asked, _: batch_fn(asked, setup), **pace), "answers")
@@ -156,13 +147,19 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
 
 def setup_comparison(messages: DataFrame, batch_fn, setups, text_col: str = "initial_text",
                      **pace) -> DataFrame:
-    """Each message's answer under every setup, one column per setup."""
+    """Each message's answer under every setup: a column per setup, null where it failed, and
+    what went wrong then in ``<setup>_error``."""
     names = [str(setup["setup"]) for setup in setups]
     grid = batches.setup_grid(messages.select(*KEY, F.col(text_col).alias("request")), setups)
     scored = scoring.score_batches(grid, batch_fn, id_cols=KEY,
                                    setup_cols=list(setups[0]), **pace)
-    return (scored.groupBy(*KEY).pivot("setup", names)
-            .agg(F.max(F.coalesce("answer", "error"))))
+    failed = F.coalesce(text.answer_failed(F.col("answer")), F.lit(False))
+    told = scored.select(*KEY, "setup", F.when(~failed, F.col("answer")).alias("answer"),
+                         F.coalesce("error", F.when(failed, F.col("answer"))).alias("error"))
+    wide = told.groupBy(*KEY).pivot("setup", names).agg(
+        F.max("answer").alias("answer"), F.max("error").alias("error"))
+    return wide.select(*KEY, *[F.col(f"`{n}_answer`").alias(n) for n in names],
+                       *[F.col(f"`{n}_error`") for n in names])
 
 
 def enrich_by_source(messages: DataFrame, enrich, source: str | None = None) -> DataFrame:
@@ -170,6 +167,31 @@ def enrich_by_source(messages: DataFrame, enrich, source: str | None = None) ->
     return enrich(messages if source is None else by_source(messages, source))
 
 
+def keep_stored(done: DataFrame, messages: DataFrame, first: bool = False) -> DataFrame:
+    """``done`` with the fields of ``messages`` where a step failed.
+
+    A step's failure shows in its ``<step>_error``. With ``first``, a field that
+    ``messages`` has already stays whatever the step says now.
+    """
+    told = [s for s in CHAIN if f"{s}_error" in done.columns]
+    fields = {f: s for s in (CHAIN if first else told) for f in FIELDS[s]
+              if f in done.columns and f in messages.columns}
+    if not fields:
+        return done
+    old = messages.select(*KEY, *[F.col(f).alias(f"_old_{f}") for f in fields])
+    both = join_on_key(done, old, KEY, "left")
+    for field, step in fields.items():
+        before = F.col(f"_old_{field}")
+        if field in ("named_entities", "cleared_text"):
+            before = F.when(F.coalesce(F.col("_old_cleared_text"), F.lit("")) != "", before)
+        if first:
+            both = both.withColumn(field, F.coalesce(before, F.col(field)))
+        else:
+            both = both.withColumn(field, F.when(F.col(f"{step}_error").isNotNull(), F.coalesce(
+                F.col(field), before)).otherwise(F.col(field)))
+    return both.drop(*[f"_old_{f}" for f in fields])
+
+
 def message_columns(df: DataFrame) -> DataFrame:
     """``df`` cut to the columns of the message table."""
     return df.select(*[f.name for f in MESSAGE.fields if f.name in df.columns])

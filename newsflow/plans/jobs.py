@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsflow.operators.select import by_source, skip_processed
 from newsflow.plans import enrich
@@ -15,22 +15,30 @@ RULES = {
     "summary": enrich.summary_by_rules,
     "embeddings": enrich.embeddings_by_rules,
 }
-FIELDS = {"clean_ner": ("cleared_text", "named_entities"), "summary": ("summary",),
-          "tonality": ("tonality",), "category": ("category",),
-          "embeddings": ("embedding_sts", "embedding_clf")}
+FIELDS = enrich.FIELDS
 
 
-def load_files(spark: SparkSession, folder: str, path: str, pattern: str = "*.jsonl",
-               recursive: bool = False) -> None:
-    """Import JSONL files. Identical texts are one message, from whichever source they come."""
+def load_files(spark: SparkSession, folder: str, path: str, pattern: str = "*.json*",
+               recursive: bool = True, rejects: str | None = None) -> int:
+    """Import JSONL files and dumps; returns the number of lines that cannot be read.
+
+    Identical texts of import files are one message, from whichever source they
+    come; dumped messages keep their keys. Unreadable lines go to the folder
+    ``rejects``, if one is named.
+    """
     lines = jsonl.scan_jsonl(spark, folder, pattern, recursive)
-    store.write_messages(spark, path, jsonl.parse_message(lines), key_cols=("message_id",),
-                         order_cols=("publish_date", "source"))
+    dumped = F.col("message_id").isNotNull()
+    for part, key in ((lines.filter(~dumped), ("message_id",)), (lines.filter(dumped), KEY)):
+        store.write_messages(spark, path, jsonl.parse_message(part), key_cols=key,
+                             order_cols=("publish_date", "source"))
+    bad = jsonl.rejected(lines)
+    if rejects:
+        bad.write.mode("append").json(rejects)
+    return bad.count()
 
 
-def dump_files(spark: SparkSession, path: str, folder: str, source: str | None = None,
-               with_id: bool = False) -> None:
-    jsonl.dump_by_source(store.scan_store(spark, path), folder, source, with_id)
+def dump_files(spark: SparkSession, path: str, folder: str, source: str | None = None) -> None:
+    jsonl.dump_by_source(store.scan_store(spark, path), folder, source)
 
 
 def rule_steps(tonality_lexicon: DataFrame, category_lexicon: DataFrame) -> dict[str, Callable]:
@@ -55,7 +63,8 @@ def run_model_steps(spark: SparkSession, path: str, batch_fns: dict, source: str
     """The same by a model, for all steps in ``batch_fns``; returns what failed."""
     messages = store.scan_store(spark, path).drop("publish_day")
     chosen = messages if source is None else by_source(messages, source)
-    done = enrich.enrich_by_model(skip_processed(chosen, reprocess), batch_fns, **options)
+    asked = skip_processed(chosen, reprocess)
+    done = enrich.keep_stored(enrich.enrich_by_model(asked, batch_fns, **options), asked)
     errors = [c for c in done.columns if c.endswith("_error")]
     store.write_messages(spark, path, enrich.message_columns(done), fixed_dates=True, unique=True)
     return done.select(*KEY, *errors).dropna(how="all", subset=errors)

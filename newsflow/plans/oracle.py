@@ -3,11 +3,12 @@
 from newsflow.plans.tables import CATEGORY_WORDS, CHANNELS, TONALITY_WORDS
 from newsflow.schema import CATEGORIES, TONALITIES
 
+# The characters and the phrases that the cleaning and noise rules name.
 SPACE = r" \t\n\x0B\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 NOT_TEXT = "[^a-zA-Zа-яА-ЯІіЇїЄєҐґ—''/.,!?()\\p{Nd}" + SPACE + "]"
 NOISE = "|".join([
     r"(?:Фото|Відео|Джерело|Інфографіка): ?[^\n]*", r"(?:https?://|www\.)[^\s]+",
-    r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}",
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     r"\+[0-9][0-9 ().-]{7,}[0-9]", r"[#@][\p{L}\p{N}_]+",
     r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"])
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -148,9 +149,11 @@ ORACLE = {
     "scan_store": selected(PART_PROCESSED, f"""SELECT message_id, {ts()} AS publish_date, source,
         initial_text, cleared_text, CAST(0 AS BIGINT) AS entities,
         strftime(publish_date, '%Y-%m-%d') AS publish_day FROM part_processed"""),
-    "dump_by_source": selected(PART_PROCESSED, f"""SELECT md5(initial_text) AS message_id,
-        {ts()} AS publish_date, source, {f1('initial_text')} AS initial_text, cleared_text
-        FROM part_processed WHERE initial_text <> ''"""),
+    "dump_by_source": selected(PART_PROCESSED, f"""SELECT message_id,
+        {ts()} AS publish_date, source, initial_text, cleared_text FROM part_processed"""),
+    "rejected_lines": """SELECT 'no json: ' || doc_id AS line FROM documents WHERE doc_id % 3 = 0
+        UNION ALL SELECT '17 ["' || doc_id || '"]'
+        FROM documents WHERE doc_id % 3 = 1""",
     "live_source": selected(EVENTS, f"""SELECT message_id, {ts()} AS publish_date, source,
         initial_text FROM events_m WHERE channel_id IN ({WATCHED})"""),
     "backfill": selected(EVENTS, f"""SELECT message_id, {ts()} AS publish_date, source
@@ -328,3 +331,5 @@ ORACLE = {
         CAST('0x' || substr(md5(message_id), 1, 8) AS BIGINT) % 10 < 8 THEN 'training'
         ELSE 'validation' END AS part FROM vectors"""),
 }
+ORACLE["model_retry"] = ORACLE["enrich_clean_ner"]
+ORACLE["tonality_by_join"] = ORACLE["enrich_tonality"]

@@ -8,7 +8,7 @@ from newsflow.functions import rules, text
 from newsflow.operators import (batches, merge, report, scoring, search, select, train)
 from newsflow.plans import enrich
 from newsflow.plans.tables import (CATEGORY_WORDS, CHANNELS, TONALITY_WORDS, event_messages,
-                                   lexicon, part_processed, spread, table, text_feed, text_messages,
+                                   lexicon, part_processed, table, text_feed, text_messages,
                                    turns, vectors)
 from newsflow.schema import CATEGORIES, KEY, TONALITIES
 from newsflow.scratch import materialise, scratch_path
@@ -99,6 +99,19 @@ def dump_by_source(spark, sf):
         "message_id", _ts(), "source", "initial_text", "cleared_text")
 
 
+def rejected_lines(spark, sf):
+    """``documents`` as import lines of which two thirds cannot be read."""
+    path, n = scratch_path(spark, "bad-import"), F.col("doc_id")
+    line = F.when(n % 3 == 0, F.concat(F.lit("no json: "), n)).when(
+        n % 3 == 1, F.concat(F.lit('{"publish_date":17,"source":"s","text":["'), n, F.lit('"]}'))
+    ).otherwise(F.to_json(F.struct(F.lit("2024-03-23T12:40:27+00:00").alias("publish_date"),
+                                   "source", "text")))
+    table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    lines = jsonl.scan_jsonl(spark, path, "*.txt")
+    return jsonl.rejected(lines).select(F.coalesce(
+        F.col(jsonl.CORRUPT), F.concat_ws(" ", "publish_date", "text")).alias("line"))
+
+
 def live_source(spark, sf):
     stream = select.monitored(event_messages(_event_stream(spark, sf)), CHANNELS)
     return _drain(stream, "live").select("message_id", _ts(), "source", "initial_text")
@@ -360,7 +373,7 @@ def _judged(spark, sf):
     labels = table(spark, sf, "labels").select(
         "doc_id", F.col("quality").cast("string").alias("label"))
     long_text = F.length(text.clean_text(F.col("text"))) >= 1000
-    return spread(table(spark, sf, "documents")).join(labels, "doc_id").select(
+    return table(spark, sf, "documents").join(labels, "doc_id").select(
         "label", F.when(long_text, "1").otherwise("0").alias("predicted"))
 
 
@@ -433,6 +446,14 @@ def enrich_tonality(spark, sf):
         "message_id", "tonality")
 
 
+def tonality_by_join(spark, sf):
+    """The path of large lexicons, on the small one."""
+    words = _lexicons(spark)[0]
+    done = rules.label_by_lexicon(text_messages(spark, sf), words, TONALITIES,
+                                  enrich.DEFAULT_TONALITY, "tonality", inline_limit=0)
+    return done.select("message_id", "tonality")
+
+
 def enrich_category(spark, sf):
     return enrich.category_by_rules(text_messages(spark, sf), _lexicons(spark)[1]).select(
         "message_id", "category")
@@ -484,7 +505,8 @@ def setup_comparison(spark, sf):
     def measure(requests, setup):
         return [f"{setup['temperature']:.1f}/{len(request)}" for request in requests]
 
-    return enrich.setup_comparison(text_messages(spark, sf), measure, SETUPS, call_size=64)
+    told = enrich.setup_comparison(text_messages(spark, sf), measure, SETUPS, call_size=64)
+    return told.select(*KEY, *[setup["setup"] for setup in SETUPS])
 
 
 def enrich_by_model(spark, sf):
@@ -555,6 +577,26 @@ def enrich_incremental(spark, sf):
         "message_id", "source", "cleared_text", _joined("named_entities"))
 
 
+def model_retry(spark, sf):
+    """A step that fails for labelled messages in a first round and for none in the second."""
+    path = scratch_path(spark, "store")
+    store.write_messages(spark, path, text_messages(spark, sf))
+    labelled = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("_id"))
+
+    def failing(messages):
+        done = enrich.clean_ner_by_rules(messages).join(
+            labelled.distinct(), F.col("message_id") == F.col("_id"), "left")
+        failed = F.col("_id").isNotNull()
+        return (done.withColumn("clean_ner_error", F.when(failed, "no answer"))
+                .withColumn("cleared_text", F.when(~failed, F.col("cleared_text")))
+                .withColumn("named_entities", F.when(~failed, F.col("named_entities"))))
+
+    flows.enrich_incremental(spark, path, failing)
+    flows.enrich_incremental(spark, path, enrich.clean_ner_by_rules)
+    return store.scan_store(spark, path).select(
+        "message_id", "cleared_text", _joined("named_entities"))
+
+
 def stream_dedup(spark, sf):
     """History and live feed deliver the same events."""
     twice = event_messages(_event_stream(spark, sf)).union(
@@ -601,6 +643,7 @@ def predict(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
+    rejected_lines, model_retry, tonality_by_join,
     scan_jsonl, parse_message, scan_store, dump_by_source, live_source, backfill, ensure_store,
     source_catalogue, non_empty_text, by_source, by_date_range, unprocessed, skip_processed,
     monitored, to_body, from_stored, training_columns, limit_chunk, newest_first, upsert_merge,

@@ -1,6 +1,7 @@
 """Intermediate tables in the folder the cluster shares between its nodes."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Gives a :func:`materialise` whose tables are deleted at the end of the block."""
+    paths = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            drop(spark, path)

@@ -26,28 +26,36 @@ def _raw_text():
 def parse_message(lines: DataFrame) -> DataFrame:
     """Import lines and dumped lines as message rows.
 
-    The id is the md5 of the raw text unless the line brings one along. Lines
-    without text are left out, and so are those :func:`rejected` returns.
+    An import line's text is cleaned, and its id is the md5 of the raw text;
+    without text it is left out. A dumped line, which has an id, comes back as
+    it was. Lines that :func:`rejected` returns are left out.
     """
-    good = lines.filter((_raw_text() != "") & parse_ts(F.col("publish_date")).isNotNull())
+    good = lines.filter(~_is_rejected()
+                        & (F.col("message_id").isNotNull() | F.coalesce(_raw_text() != "",
+                                                                        F.lit(False))))
     derived = {
         "message_id": F.coalesce("message_id", content_id(_raw_text())),
         "publish_date": parse_ts(F.col("publish_date")),
-        "initial_text": clean_text(_raw_text()),
+        "initial_text": F.when(F.col("message_id").isNotNull(), F.col("initial_text")).otherwise(
+            clean_text(_raw_text())),
         "named_entities": F.coalesce("named_entities", F.array().cast("array<string>")),
     }
     return good.select(*[derived.get(f.name, F.col(f.name)).alias(f.name)
                          for f in MESSAGE.fields])
 
 
+def _is_rejected():
+    untimed = F.col("message_id").isNull() & (_raw_text() != "") \
+        & parse_ts(F.col("publish_date")).isNull()
+    return F.col(CORRUPT).isNotNull() | F.coalesce(untimed, F.lit(False))
+
+
 def rejected(lines: DataFrame) -> DataFrame:
-    """Lines that hold no JSON, or text without a valid time."""
-    return lines.filter(F.col(CORRUPT).isNotNull()
-                        | ((_raw_text() != "") & parse_ts(F.col("publish_date")).isNull()))
+    """Lines that hold no JSON or a field of another type, or text without a valid time."""
+    return lines.filter(_is_rejected())
 
 
-def dump_by_source(messages: DataFrame, folder: str, source: str | None = None,
-                   with_id: bool = False) -> None:
+def dump_by_source(messages: DataFrame, folder: str, source: str | None = None) -> None:
     """Replace ``folder`` by JSONL files, one subfolder per (sanitised) source.
 
     Range partitioning keeps small sources together in a task and spreads a
@@ -55,7 +63,7 @@ def dump_by_source(messages: DataFrame, folder: str, source: str | None = None,
     """
     chosen = messages if source is None else messages.filter(F.col("source") == source)
     body = [f.name for f in MESSAGE.fields
-            if f.name in messages.columns and (with_id or f.name != "message_id")]
+            if f.name in messages.columns]
     named = (chosen.withColumn("source_file",
                                sanitize_name(F.coalesce("source", F.lit("unknown"))))
              .repartitionByRange("source_file", "publish_date", "message_id"))

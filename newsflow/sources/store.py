@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsflow.operators.merge import (drop_matching, keep_matching, latest_per_key, upsert_merge,
                                       upsert_replace)
 from newsflow.schema import KEY, MESSAGE, STORED
-from newsflow.scratch import materialise
+from newsflow.scratch import temporary
 
 #: The partition of messages that have no date.
 NO_DAY = datetime.date(1970, 1, 1)
@@ -67,31 +67,32 @@ def write_messages(spark: SparkSession, path: str, new: DataFrame, mode: str = "
     unknown = set(new.columns) - set(MESSAGE.names)
     if unknown:
         raise ValueError(f"not a column of the table: {sorted(unknown)}")
-    increment = new if unique else latest_per_key(new, key_cols, order_cols)
-    dated = "publish_date" in new.columns
-    stored = scan_store(spark, path)
-    if stored.isEmpty():
-        return _append(path, increment, key_cols)
-    increment = materialise(increment, "increment")
-    searched = stored
-    if fixed_dates:
-        if not dated:
-            raise ValueError("fixed_dates needs publish_date")
-        searched = stored.filter(F.col("publish_day").isin(sorted(_days(_with_day(increment)))))
-    found = materialise(
-        keep_matching(searched.select(*key_cols, "publish_day"), increment, key_cols), "found")
-
-    days = _days(found)
-    if days:
-        changes = keep_matching(increment, found, key_cols)
-        if dated and not fixed_dates:
-            days |= _days(_with_day(changes))
-        _rewrite(spark, path, stored.filter(F.col("publish_day").isin(sorted(days))),
-                 changes, days, MODES[mode], key_cols, order_cols)
-
-    fresh = drop_matching(increment, found, key_cols)
-    if not fresh.isEmpty():
-        _append(path, fresh, key_cols)
+    with temporary(spark) as keep:
+        increment = new if unique else latest_per_key(new, key_cols, order_cols)
+        dated = "publish_date" in new.columns
+        stored = scan_store(spark, path)
+        if stored.isEmpty():
+            return _append(path, increment, key_cols)
+        increment = keep(increment, "increment")
+        searched = stored
+        if fixed_dates:
+            if not dated:
+                raise ValueError("fixed_dates needs publish_date")
+            searched = stored.filter(F.col("publish_day").isin(sorted(_days(_with_day(increment)))))
+        found = keep(
+            keep_matching(searched.select(*key_cols, "publish_day"), increment, key_cols), "found")
+
+        days = _days(found)
+        if days:
+            changes = keep_matching(increment, found, key_cols)
+            if dated and not fixed_dates:
+                days |= _days(_with_day(changes))
+            _rewrite(spark, path, stored.filter(F.col("publish_day").isin(sorted(days))),
+                     changes, days, MODES[mode], key_cols, order_cols, keep)
+
+        fresh = drop_matching(increment, found, key_cols)
+        if not fresh.isEmpty():
+            _append(path, fresh, key_cols)
 
 
 def _append(path, fresh, key_cols) -> None:
@@ -99,10 +100,10 @@ def _append(path, fresh, key_cols) -> None:
      .write.mode("append").partitionBy("publish_day").parquet(path))
 
 
-def _rewrite(spark, path, stored, changes, days, upsert, key_cols, order_cols) -> None:
+def _rewrite(spark, path, stored, changes, days, upsert, key_cols, order_cols, keep) -> None:
     merged = upsert(stored.drop("publish_day"), changes, key_cols, order_cols)
     # a table cannot be overwritten while it is read: stage the days first
-    staged = materialise(_spread(_complete(merged), key_cols), "days")
+    staged = keep(_spread(_complete(merged), key_cols), "days")
     kept = _days(staged)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("publish_day").parquet(path))

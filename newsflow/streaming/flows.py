@@ -3,14 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsflow.operators.select import is_unprocessed, non_empty_text, to_body, unprocessed
-from newsflow.plans.enrich import message_columns
+from newsflow.operators.merge import drop_matching
+from newsflow.operators.select import non_empty_text, to_body, unprocessed
+from newsflow.plans.enrich import keep_stored, message_columns
 from newsflow.schema import KEY
-from newsflow.scratch import materialise
+from newsflow.scratch import drop, materialise
 from newsflow.sources.store import scan_store, write_messages
 
 # How often the enrichment job looks for work when it runs on.
 IDLE = "1 hour"
+TOTALS = "day date, source string, messages long"
 
 
 def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
@@ -20,92 +22,121 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
 
 
 def stream_ingest(feed: DataFrame, store: str, checkpoint: str, interval: str | None = None,
-                  mode: str = "merge", key_cols=KEY) -> StreamingQuery:
+                  mode: str = "merge", key_cols=KEY,
+                  fixed_dates: bool = False) -> StreamingQuery:
     """Write a feed's messages to the table, batch by batch.
 
     Runs until the feed is read up, or on and on with an ``interval``. A batch
-    that is delivered twice changes nothing the second time. Feed messages keep
-    their date, so only the days of a batch are searched for its keys.
+    that is delivered twice changes nothing the second time. ``fixed_dates``
+    promises that a message never comes again with another date; then only the
+    days of a batch are searched for its keys.
     """
     def write(batch: DataFrame, _: int) -> None:
-        write_messages(batch.sparkSession, store, batch, mode, key_cols, fixed_dates=True)
+        write_messages(batch.sparkSession, store, batch, mode, key_cols, fixed_dates=fixed_dates)
 
     messages = feed.transform(non_empty_text).transform(to_body)
     return _start(messages.writeStream.foreachBatch(write), checkpoint, interval)
 
 
-def stream_dedup(messages: DataFrame, delay: str = "1 day", key_cols=KEY) -> DataFrame:
-    """Drop repeats of a key whose dates lie within ``delay``, with bounded state."""
-    return (messages.withWatermark("publish_date", delay)
-            .dropDuplicatesWithinWatermark(list(key_cols)))
+def stream_dedup(messages: DataFrame, key_cols=KEY) -> DataFrame:
+    """Drop repeats of a key, however late they come.
+
+    History arrives newest first, so no watermark could tell what is late. The
+    state is one key per message; give it the RocksDB state store.
+    """
+    return messages.dropDuplicates(list(key_cols))
 
 
-def stream_histogram(messages: DataFrame, folder: str, checkpoint: str, delay: str = "2 days",
+def stream_histogram(messages: DataFrame, folder: str, checkpoint: str,
                      interval: str | None = None) -> StreamingQuery:
-    """Messages per day and source, kept current in ``folder``.
+    """Messages per day and source, kept current in ``folder``, whatever order they come in.
 
-    Each batch brings the new totals of the days it touched. They go to a
-    folder per batch, and :func:`read_histogram` takes the latest of each day.
+    The state is one count per day and source. Each batch brings the new totals
+    of what it touched; with the other totals they become a folder of their own,
+    of which the last two stay.
     """
-    counts = (messages.withWatermark("publish_date", delay)
-              .groupBy(F.window("publish_date", "1 day"), "source")
-              .agg(F.count(F.lit(1)).alias("messages"))
-              .select(F.to_date("window.start").alias("day"), "source", "messages"))
+    counts = (messages.groupBy(F.to_date("publish_date").alias("day"), "source")
+              .agg(F.count(F.lit(1)).alias("messages")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # one folder per batch number: a repeated batch overwrites its own output
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = _snapshots(spark, folder)
+        older = [n for n in before if n < batch_id]
+        totals = batch
+        if older:
+            stored = spark.read.schema(TOTALS).parquet(f"{folder}/batch={max(older)}")
+            totals = batch.unionAll(drop_matching(stored, batch, ("day", "source")))
+        # a repeated batch overwrites its own output
+        totals.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        for n in older:
+            if n < batch_id - 1:
+                drop(spark, f"{folder}/batch={n}")
 
     return _start(counts.writeStream.outputMode("update").foreachBatch(write),
                   checkpoint, interval)
 
 
-def read_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest total of each day and source."""
-    written = spark.read.schema("day date, source string, messages long, batch long") \
-        .parquet(folder)
-    return (written.groupBy("day", "source")
-            .agg(F.max_by("messages", "batch").alias("messages")))
+def _snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches that have a finished folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found)
 
 
-def enrich_incremental(spark: SparkSession, store: str, enrich, limit: int | None = None) -> int:
-    """Enrich the table's unprocessed messages and merge the result; returns how many.
-
-    ``enrich`` takes messages and returns keys, ``publish_date`` and the new
-    columns. What it failed on stays unprocessed and is taken up by the next run.
+def read_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest total of each day and source."""
+    last = _snapshots(spark, folder)
+    if not last:
+        return spark.createDataFrame([], TOTALS)
+    return spark.read.schema(TOTALS).parquet(f"{folder}/batch={last[-1]}")
+
+
+def _enrich_round(spark, store, enrich, limit, fields, tried) -> DataFrame | None:
+    """Enrich unprocessed messages whose keys are not in ``tried``; their keys, if there are any."""
+    messages = scan_store(spark, store).drop("publish_day")
+    if tried is not None:
+        messages = drop_matching(messages, tried, KEY)
+    waiting = materialise(unprocessed(messages, limit, fields), "waiting")
+    if waiting.isEmpty():
+        return None
+    done = message_columns(keep_stored(enrich(waiting), waiting, first=True))
+    write_messages(spark, store, done.drop("initial_text"), fixed_dates=True, unique=True)
+    return waiting.select(*KEY)
+
+
+def enrich_incremental(spark: SparkSession, store: str, enrich, limit: int | None = None,
+                       fields=("cleared_text",)) -> int:
+    """Enrich the messages that lack one of ``fields`` and merge the result; returns how many.
+
+    ``enrich`` takes messages and returns keys, ``publish_date`` and new
+    columns. What it failed on stays unprocessed, and what a message has already
+    is kept; both hold for each field by itself.
     """
-    waiting = materialise(unprocessed(scan_store(spark, store), limit).drop("publish_day"),
-                          "waiting")
-    found = waiting.count()
-    if found:
-        fields = message_columns(enrich(waiting)).drop("initial_text")
-        write_messages(spark, store, fields, fixed_dates=True, unique=True)
-    return found
+    done = _enrich_round(spark, store, enrich, limit, fields, None)
+    return 0 if done is None else done.count()
 
 
-def enrich_backlog(spark: SparkSession, store: str, enrich, limit: int | None = None) -> None:
-    """Repeat :func:`enrich_incremental` as long as a round leaves fewer messages unprocessed.
+def enrich_backlog(spark: SparkSession, store: str, enrich, limit: int | None = None,
+                   fields=("cleared_text",)) -> None:
+    """Work through all unprocessed messages, ``limit`` at a time, each of them once.
 
-    With a ``limit`` every round is stored before the next begins, so a long
-    backlog survives the loss of the job.
+    Every round is stored before the next begins, so a long backlog survives the
+    loss of the job. Messages that fail wait for the next call and hold up none.
     """
-    def waiting() -> int:
-        return scan_store(spark, store).filter(is_unprocessed()).count()
-
-    left = waiting()
-    while left:
-        enrich_incremental(spark, store, enrich, limit)
-        before, left = left, waiting()
-        if left >= before or limit is None:
+    tried = None
+    while (keys := _enrich_round(spark, store, enrich, limit, fields, tried)) is not None:
+        if limit is None:
             break
+        tried = keys if tried is None else materialise(tried.unionAll(keys), "tried")
 
 
 def enrich_forever(spark: SparkSession, store: str, enrich, checkpoint: str,
-                   interval: str = IDLE, limit: int | None = None) -> StreamingQuery:
+                   interval: str = IDLE, limit: int | None = None,
+                   fields=("cleared_text",)) -> StreamingQuery:
     """Run :func:`enrich_backlog` at every ``interval`` until the query is stopped."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def run(batch: DataFrame, _: int) -> None:
-        enrich_backlog(batch.sparkSession, store, enrich, limit)
+        enrich_backlog(batch.sparkSession, store, enrich, limit, fields)
 
     return _start(ticks.writeStream.foreachBatch(run), checkpoint, interval)

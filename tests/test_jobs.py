@@ -60,7 +60,7 @@ def test_load_enrich_dump(spark, paths, capsys):
     with pytest.raises(SystemExit):
         run(spark, "enrich", paths["store"], "tonality")
 
-    run(spark, "dump", paths["store"], paths["dump"], "--with-id")
+    run(spark, "dump", paths["store"], paths["dump"])
     assert sorted(n for n in os.listdir(paths["dump"]) if "=" in n) == [
         "source_file=канал А", "source_file=канал Б"]
     again = paths["store"] + "2"

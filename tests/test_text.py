@@ -34,7 +34,7 @@ def test_sanitize_name(value):
 
 
 def test_content_id(value):
-    assert value(text.content_id, x="Внезапно... На бис???") == "7d11799d112f2a696c7f1faa095addb9"
+    assert value(text.content_id, x="Сніг уночі... Ні???") == "7422c23eee00a10b1035abc04729cdd8"
 
 
 @pytest.mark.parametrize("raw, hour", [
