@@ -3,6 +3,7 @@
 import argparse
 import importlib
 import json
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -66,7 +67,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             print(row.source)
     elif args.command == "load-data":
         bad = jobs.load_files(spark, args.folder, args.store, rejects=args.rejects)
-        print(f"{bad} lines could not be read")
+        print(f"{bad} lines could not be read", file=sys.stderr)
     elif args.command == "dump":
         jobs.dump_files(spark, args.store, args.folder, args.source)
     elif args.command == "read":

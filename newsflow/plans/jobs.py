@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsflow.operators.select import by_source, skip_processed
 from newsflow.plans import enrich
 from newsflow.schema import KEY
+from newsflow.scratch import materialise
 from newsflow.sources import jsonl, store
 
 #: Steps by rules that need no lexicon; each takes and returns messages.
@@ -64,7 +65,9 @@ def run_model_steps(spark: SparkSession, path: str, batch_fns: dict, source: str
     messages = store.scan_store(spark, path).drop("publish_day")
     chosen = messages if source is None else by_source(messages, source)
     asked = skip_processed(chosen, reprocess)
-    done = enrich.keep_stored(enrich.enrich_by_model(asked, batch_fns, **options), asked)
+    # written before the table changes, which both the result and the report read
+    done = materialise(
+        enrich.keep_stored(enrich.enrich_by_model(asked, batch_fns, **options), asked), "done")
     errors = [c for c in done.columns if c.endswith("_error")]
     store.write_messages(spark, path, enrich.message_columns(done), fixed_dates=True, unique=True)
     return done.select(*KEY, *errors).dropna(how="all", subset=errors)
