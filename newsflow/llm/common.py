@@ -4,6 +4,7 @@ import sys
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task works on at a time; a longer text is a block of its own.
@@ -26,6 +27,13 @@ def cached(key, make, large=False):
     return store[key]
 
 
+def release():
+    """Give back what only an earlier stage needed: the large object, and freed Arrow memory."""
+    store = sys.__dict__.setdefault("_newsflow_llm", {})
+    store.pop(store.pop("large", None), None)
+    pa.default_memory_pool().release_unused()
+
+
 def held_out(id_column):
     """Rows of the test fold: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(id_column.cast("string")) % 5 == 0, F.lit(False))
@@ -33,6 +41,7 @@ def held_out(id_column):
 
 def blocks(texts, limit=BLOCK_BYTES):
     """Lists of texts as bytes (null: empty), each list of ``limit`` bytes or one text."""
+    release()
     block, size = [], 0
     for text in texts:
         raw = (text.as_py() or "").encode() if hasattr(text, "as_py") else (text or "").encode()

@@ -20,7 +20,7 @@ from newsflow.scratch import materialise
 
 CAPACITY, END_ID = 2048, 0
 #: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBER = 500_000
+REMEMBER = 250_000
 PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                       T.StructField("length", T.LongType()),
                       T.StructField("ids_crc32", T.LongType())])

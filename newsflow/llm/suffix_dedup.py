@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from newsflow.llm.common import table
+from newsflow.llm.common import release, table
 
 LENGTH, GRAM = 50, 20
 #: A window's anchor starts at most this many bytes after the window.
@@ -28,7 +28,7 @@ REACH = LENGTH - GRAM
 #: Bytes of a suffix: ahead, back, and the lengths of both.
 WIDTH = LENGTH + REACH + 2
 #: Bytes of text per run and, about, of suffixes per part.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 #: Window starts worked on at a time.
 CHUNK = 1 << 18
 NO_DOC = np.iinfo(np.int64).max
@@ -99,6 +99,7 @@ class Run:
     """
 
     def __init__(self, texts: pa.Table, parts: int):
+        release()
         text = pc.fill_null(texts["text"], "").cast(pa.large_binary()).combine_chunks()
         if isinstance(text, pa.ChunkedArray):
             text = text.chunk(0) if text.num_chunks else pa.array([], pa.large_binary())
