@@ -1,5 +1,6 @@
 """Helpers shared by the operators: blocks of texts, per-worker caches, word codes."""
 
+import ctypes
 import sys
 from collections import defaultdict
 
@@ -27,11 +28,19 @@ def cached(key, make, large=False):
     return store[key]
 
 
+def trim():
+    """Give freed memory back to the machine, which other workers on it may need."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if give_back:
+        give_back(0)
+
+
 def release():
-    """Give back what only an earlier stage needed: the large object, and freed Arrow memory."""
+    """Drop the large object of an earlier stage, and give freed memory back."""
     store = sys.__dict__.setdefault("_newsflow_llm", {})
     store.pop(store.pop("large", None), None)
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def held_out(id_column):
@@ -52,6 +61,7 @@ def blocks(texts, limit=BLOCK_BYTES):
         size += len(raw)
     if block:
         yield block
+    trim()
 
 
 def word_codes(block):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from newsflow.llm.common import cached, table
+from newsflow.llm.common import cached, table, trim
 from newsflow.scratch import materialise
 
 CAPACITY, END_ID = 2048, 0
@@ -106,9 +106,11 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_
             out.append([{"piece": i, "start": a, "length": b - a,
                          "ids_crc32": zlib.crc32(ids[4 * a:4 * b])}
                         for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-        return pa.array(out, pa.list_(pa.struct(
+        done = pa.array(out, pa.list_(pa.struct(
             [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
              ("ids_crc32", pa.int64())])))
+        trim()
+        return done
 
     return cut.asNondeterministic()(text)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from newsflow.llm.common import release, table
+from newsflow.llm.common import release, table, trim
 
 LENGTH, GRAM = 50, 20
 #: A window's anchor starts at most this many bytes after the window.
@@ -401,6 +401,7 @@ def _merge_part(messages: pa.Table) -> pa.Table:
         out.append((row["run"], row["part"], single.astype(np.int32).tobytes(),
                     one[at[single]].tobytes(), inside[useful].astype(np.int32).tobytes(),
                     zlib.compress(lists[useful].tobytes(), 1)))
+    trim()
     return _rows(None, out)
 
 
