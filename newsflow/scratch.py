@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 def _folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``; where that is unset, below the
     warehouse, which a cluster shares too."""
-    root = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all nodes")
+        root = warehouse.rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/newsflow/{spark.conf.get('spark.app.id')}"
 
 
