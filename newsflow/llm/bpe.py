@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F, types as T
 
-from newsflow.llm.common import cached, table
+from newsflow.llm.common import bounded_batches, cached, table
 
 #: Distinct words and token pairs a worker remembers before it starts anew.
 REMEMBER = 500_000
@@ -262,6 +262,7 @@ def bpe_decode(ids: Column, path: str) -> Column:
 def op2_bpe(spark, sf_dir):
     import public_tokenizers
 
+    bounded_batches(spark)
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     return (table(spark, sf_dir, "documents")
             .select("doc_id", bpe_digest(F.col("text"), path).alias("_e"))

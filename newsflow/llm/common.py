@@ -10,12 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task works on at a time; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at a time; a larger row goes alone.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches sent to Python by size, not by rows alone, unless the session does so."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cached(key, make, large=False):
     """One object per key and Python worker, kept between tasks; of large ones, the last used."""
     store = sys.__dict__.setdefault("_newsflow_llm", {})

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsflow.llm.common import table
+from newsflow.llm.common import bounded_batches, table
 from newsflow.scratch import materialise
 
 SHARD_SIZE, QUERY_BLOCK = 4096, 1024
@@ -202,7 +202,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col="vec_id",
     can hold of them. Vectors of another dimension are never compared; those that are null, zero or
     hold null or non-finite components take no part, as queries neither.
     """
-    spark = vectors.sparkSession
+    bounded_batches(vectors.sparkSession)
     all_ = usable(vectors, id_col, vector_col).withColumn("key", F.xxhash64("vector"))
     smallest = Window.partitionBy("key", "vector").orderBy("id")
     nodes = materialise(

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from newsflow.llm.common import BLOCK_BYTES, cached, held_out, table
+from newsflow.llm.common import BLOCK_BYTES, bounded_batches, cached, held_out, table
 
 #: Training documents per language, taken in the order of a hash of their ids.
 SAMPLE_DOCS = 400
@@ -112,6 +112,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
 
     The n-grams that come to the driver number a few times those of ``sample_docs`` texts a language.
     """
+    bounded_batches(docs.sparkSession)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = (docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()
                           & F.col("text").isNotNull() & F.col("doc_id").isNotNull())

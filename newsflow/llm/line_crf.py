@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from newsflow.llm.common import blocks, held_out, table, word_codes
+from newsflow.llm.common import blocks, bounded_batches, held_out, table, word_codes
 
 #: Labelled documents the field is fitted on, taken in the order of a hash of their ids.
 SAMPLE_DOCS = 3000
@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS):
 
     A document with several labels counts as bad. None if there are not both classes.
     """
+    bounded_batches(docs.sparkSession)
     sample = (labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()
                             & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.min("quality").alias("_good"))

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from newsflow.llm.common import BLOCK_BYTES, blocks, cached, table, word_codes
+from newsflow.llm.common import BLOCK_BYTES, blocks, bounded_batches, cached, table, word_codes
 from newsflow.llm.components import components
 from newsflow.scratch import materialise
 
@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     linked with nothing. A row without an id is linked with nothing either and has no component.
     Rows of one id should be copies of each other: the id counts once.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = materialise(docs.select("doc_id", sketch(F.col("text")).alias("_s"))
                            .select("doc_id", "_s.*"), "sketches")

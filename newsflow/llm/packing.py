@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from newsflow.llm.common import cached, table, trim
+from newsflow.llm.common import bounded_batches, cached, table, trim
 from newsflow.scratch import materialise
 
 CAPACITY, END_ID = 2048, 0
@@ -236,6 +236,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed_pieces(docs: DataFrame, path: str, text_col="text", capacity=CAPACITY) -> DataFrame:
     """One row per piece of each document with its place. Without rows, none come back."""
+    bounded_batches(docs.sparkSession)
     cut = (docs.select("doc_id", F.explode(pieces(F.col(text_col), path, capacity)).alias("_c"))
            .select("doc_id", *[F.col(f"_c.{name}") for name in PIECE.names]))
     return pack(cut, capacity)

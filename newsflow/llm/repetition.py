@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from newsflow.llm.common import blocks, per_row, table, word_codes
+from newsflow.llm.common import blocks, bounded_batches, per_row, table, word_codes
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -133,12 +133,14 @@ def keep_unrepetitive(docs: DataFrame, text_col: str = "text", **limits) -> Data
 
     Rows with null, empty or very short text fail. Repeated rows are judged alike, each by itself.
     """
+    bounded_batches(docs.sparkSession)
     columns = [F.col(f"_row.`{c}`") for c in docs.columns]
     return (docs.select(F.struct("*").alias("_row"), repetition(F.col(text_col)).alias("_m"))
             .filter(passes(**limits)).select(*columns))
 
 
 def op1_quality_rules(spark, sf_dir):
+    bounded_batches(spark)
     return (table(spark, sf_dir, "documents")
             .select("doc_id", repetition(F.col("text")).alias("_m"))
             .select("doc_id", *[F.col(f"_m.{name}") for name in MEASURES],

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from newsflow.llm.common import release, table, trim
+from newsflow.llm.common import bounded_batches, release, table, trim
 
 LENGTH, GRAM = 50, 20
 #: A window's anchor starts at most this many bytes after the window.
@@ -480,6 +480,7 @@ def cut_repeats(docs: DataFrame, id_col="doc_id", text_col="text", kept_text=Fal
     Null texts count as empty. A row without an id counts as later than all others, and rows of one
     id as one document. Removal may cut a character; ``text`` leaves out what is left of it.
     """
+    bounded_batches(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     parts = max(1, -(-n_bytes // run_bytes))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
