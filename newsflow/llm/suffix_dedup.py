@@ -31,6 +31,8 @@ WIDTH = LENGTH + REACH + 2
 RUN_BYTES = 8 << 20
 #: Window starts worked on at a time.
 CHUNK = 1 << 18
+#: Suffixes compared with their neighbours at a time.
+COMPARED = 1 << 14
 NO_DOC = np.iinfo(np.int64).max
 
 MESSAGE = T.StructType([T.StructField("run", T.LongType()), T.StructField("part", T.LongType()),
@@ -104,7 +106,10 @@ class Run:
         if isinstance(text, pa.ChunkedArray):
             text = text.chunk(0) if text.num_chunks else pa.array([], pa.large_binary())
         sizes = np.array(pc.binary_length(text).to_numpy(False), np.int64)
-        self.flat = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+        _, offsets, data = text.buffers()
+        begin = int(np.frombuffer(offsets, np.int64)[text.offset]) if len(text) else 0
+        flat = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        self.flat = flat[begin:begin + int(sizes.sum())]  # the texts lie one after the other
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
         self.docs = texts["doc"].combine_chunks().to_numpy(zero_copy_only=False)
@@ -134,10 +139,11 @@ class Run:
         return zip(parts.tolist(), [slice(a, b) for a, b in
                                     zip(begins, [*begins[1:], len(parts_of)])])
 
-    def suffixes(self, shared):
+    def suffixes(self, shared, rows=True):
         """Set up the sorted distinct suffixes at anchors whose k-gram is shared.
 
-        ``matrix`` has a row per suffix, ordered by part first; ``suffix`` gives each anchor's.
+        ``matrix`` has a row per suffix, ordered by part first, if ``rows`` are asked for;
+        ``suffix`` gives each anchor's.
         """
         use = shared[self.gram]
         self.at, self.row, self.part = self.at[use], self.row[use], self.part[use]
@@ -152,19 +158,21 @@ class Run:
         for i in range(REACH):
             matrix[:, LENGTH + i] = np.where(i < self.n_left, padded[self.at + REACH - 1 - i], 0)
         matrix[:, -2], matrix[:, -1] = self.n_right, self.n_left
+        del padded
         order = np.argsort(matrix.view(f"S{WIDTH}").ravel(), kind="stable")
         order = order[np.argsort(self.part[order], kind="stable")]
         part = self.part[order]
         new = np.ones(n, bool)
         new[1:] = part[1:] != part[:-1]
-        for begin in range(1, n, CHUNK):  # compared in pieces: the matrix is the largest thing here
-            at = order[begin - 1:begin + CHUNK]
-            new[begin:begin + CHUNK] |= (matrix[at[1:]] != matrix[at[:-1]]).any(1)
+        for begin in range(1, n, COMPARED):  # in pieces: the matrix is the largest thing here
+            at = order[begin - 1:begin + COMPARED]
+            new[begin:begin + COMPARED] |= (matrix[at[1:]] != matrix[at[:-1]]).any(1)
         self.suffix = np.empty(n, np.int64)
         self.suffix[order] = np.cumsum(new) - 1
-        self.matrix, self.suffix_part = matrix[order[new]], part[new]
+        self.matrix, self.suffix_part = matrix[order[new]] if rows else None, part[new]
+        del matrix
         doc = self.docs[self.row]
-        self.least = np.full(len(self.matrix), NO_DOC)
+        self.least = np.full(len(self.suffix_part), NO_DOC)
         np.minimum.at(self.least, self.suffix, doc)
 
 
@@ -446,8 +454,8 @@ def _cut(parts, kept_text):
         bits = [row for row in rows if row["kind"] == 0]
         gone = np.zeros(len(run.flat), bool)
         if bits:
-            run.suffixes(_read_shared(run, bits))
-            del run.matrix, run.gram, run.key
+            run.suffixes(_read_shared(run, bits), rows=False)
+            del run.gram, run.key
             gone = _covered(run, [row for row in rows if row["kind"] == 1])
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
