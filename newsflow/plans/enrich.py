@@ -136,7 +136,9 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
             continue
         if step == "embeddings":
             texts = result if "cleared_text" in result.columns else messages
-            rows = embeddings_step(texts.select(*KEY, "cleared_text"), batch_fns[step], **pace)
+            # a call takes a batch of texts, so call_size is for the text steps
+            rows = embeddings_step(texts.select(*KEY, "cleared_text"), batch_fns[step],
+                                   **{k: v for k, v in pace.items() if k != "call_size"})
         else:
             rows = model_step(chunked, requests, step, batch_fns[step],
                               (templates or {}).get(step, "{texts}"),

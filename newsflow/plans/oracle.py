@@ -333,3 +333,8 @@ ORACLE = {
 }
 ORACLE["model_retry"] = ORACLE["enrich_clean_ner"]
 ORACLE["tonality_by_join"] = ORACLE["enrich_tonality"]
+ORACLE["enrich_all_vectors"] = ORACLE["enrich_embeddings"]
+ORACLE["enrich_by_source_vectors"] = ORACLE["enrich_embeddings"] + " WHERE source = 'src7'"
+ORACLE["enrich_by_model_vectors"] = selected(MESSAGES + f""", bodies AS (SELECT message_id, source,
+    length({strip('initial_text')}) AS n FROM messages)""", """SELECT message_id, source,
+    n || ';' || length(n || ' знаків') AS embedding_sts, n % 7 || ';1' AS embedding_clf FROM bodies""")

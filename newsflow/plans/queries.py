@@ -460,8 +460,10 @@ def enrich_category(spark, sf):
 
 
 def enrich_embeddings(spark, sf):
-    done = enrich.embeddings_by_rules(enrich.clean_ner_by_rules(text_messages(spark, sf)))
+    return _norms(enrich.embeddings_by_rules(enrich.clean_ner_by_rules(text_messages(spark, sf))))
 
+
+def _norms(done):
     def norm(vector):
         return F.round(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda sum, v: sum + v * v)), 4)
     return done.select("message_id", F.size("embedding_sts").cast("long").alias("dims"),
@@ -469,21 +471,31 @@ def enrich_embeddings(spark, sf):
                        norm("embedding_clf").alias("norm_clf"))
 
 
-def _enrich_texts(messages):
-    return enrich.enrich_all_by_rules(messages, *_lexicons(messages.sparkSession),
-                                      embeddings=False)
+def _texts(done):
+    return done.select("message_id", "source", "tonality", "category", "summary", "cleared_text",
+                       _joined("named_entities"))
+
+
+def _all_steps(messages):
+    """All five steps, written with the vectors: a plan would skip columns that nobody reads."""
+    return materialise(enrich.enrich_all_by_rules(
+        messages, *_lexicons(messages.sparkSession)), "enriched")
 
 
 def enrich_all(spark, sf):
-    return _enrich_texts(text_messages(spark, sf)).select(
-        "message_id", "source", "tonality", "category", "summary", "cleared_text",
-        _joined("named_entities"))
+    return _texts(_all_steps(text_messages(spark, sf)))
+
+
+def enrich_all_vectors(spark, sf):
+    return _norms(_all_steps(text_messages(spark, sf)))
 
 
 def enrich_by_source(spark, sf):
-    return enrich.enrich_by_source(text_messages(spark, sf), _enrich_texts, "src7").select(
-        "message_id", "source", "tonality", "category", "summary", "cleared_text",
-        _joined("named_entities"))
+    return _texts(enrich.enrich_by_source(text_messages(spark, sf), _all_steps, "src7"))
+
+
+def enrich_by_source_vectors(spark, sf):
+    return _norms(enrich.enrich_by_source(text_messages(spark, sf), _all_steps, "src7"))
 
 
 def score_batches(spark, sf):
@@ -509,8 +521,8 @@ def setup_comparison(spark, sf):
     return told.select(*KEY, *[setup["setup"] for setup in SETUPS])
 
 
-def enrich_by_model(spark, sf):
-    """The four text steps by a stand-in for a model: batches out, replies back to their messages."""
+def _by_model(spark, sf):
+    """All five steps by a stand-in for a model: batches out, replies back to their messages."""
     def numbered(requests, reply):
         return ["".join(reply(number, body.strip()) for number, body in
                         (part.split(": ", 1) for part in request.split("Текст #")[1:]))
@@ -519,7 +531,14 @@ def enrich_by_model(spark, sf):
     def answer(reply):
         return lambda requests, setup: numbered(requests, reply)
 
-    done = enrich.enrich_by_model(text_messages(spark, sf), {
+    def embed(texts, kind):
+        """From ``<n> знаків``: n and the length, or n's remainder and 1."""
+        counts = [float(body.split(" ")[0]) for body in texts]
+        if kind == "similarity":
+            return [[n, float(len(body))] for n, body in zip(counts, texts)]
+        return [[n % 7, 1.0] for n in counts]
+
+    return enrich.enrich_by_model(text_messages(spark, sf), {
         "tonality": answer(lambda n, body: f"Текст #{n}: "
                            f"{'Позитивна' if len(body) >= 1000 else 'невідома'}\n"),
         "category": answer(lambda n, body: f"Текст {n} : "
@@ -527,9 +546,21 @@ def enrich_by_model(spark, sf):
         "summary": answer(lambda n, body: f"Текст #{n}: Разом {len(body)}\n"),
         "clean_ner": answer(lambda n, body: f"|||Текст #{n}\nДія 1: {len(body)} знаків\n"
                                             f"Дія 2: {body[:1]}; Київ; {body[-3:]}\n\n"),
+        "embeddings": embed,
     }, call_size=16)
-    return done.select("message_id", "source", "tonality", "tonality_error", "category", "summary",
-                       "cleared_text", _joined("named_entities"))
+
+
+def enrich_by_model(spark, sf):
+    return _by_model(spark, sf).select(
+        "message_id", "source", "tonality", "tonality_error", "category", "summary",
+        "cleared_text", _joined("named_entities"))
+
+
+def enrich_by_model_vectors(spark, sf):
+    def listed(vector):
+        return _joined(F.col(vector).cast("array<long>").cast("array<string>"), vector)
+    return _by_model(spark, sf).select(
+        "message_id", "source", listed("embedding_sts"), listed("embedding_clf"))
 
 
 # --- search ------------------------------------------------------------------------------
@@ -653,6 +684,7 @@ QUERIES = {f.__name__: f for f in (
     date_histogram, confusion_matrix, accuracy, clean_text, clean_text_spaced, sanitize_name,
     content_id, parse_ts, kyiv_hms, extract_noise, enrich_clean_ner, enrich_summary,
     enrich_tonality, enrich_category, enrich_embeddings, enrich_all, enrich_by_source,
+    enrich_all_vectors, enrich_by_source_vectors, enrich_by_model_vectors,
     score_batches, enrich_by_model, setup_comparison, similar_topk, text_search, stream_ingest, enrich_incremental,
     stream_dedup, stream_histogram, label_index, split, train_classifier, predict)}
 
