@@ -114,6 +114,29 @@ def embeddings_step(messages: DataFrame, embed_fn, **pace) -> DataFrame:
         .withColumnRenamed("error", "embeddings_error"), "vectors")
 
 
+def _texts_to_embed(result: DataFrame, messages: DataFrame) -> DataFrame:
+    """Keys and the cleared text that each message will have: the new one, or where its step
+    failed or was not asked the one that ``messages`` holds."""
+    if "cleared_text" not in result.columns:
+        return messages.select(*KEY, "cleared_text")
+    if "cleared_text" not in messages.columns:
+        return result.select(*KEY, "cleared_text")
+    both = join_on_key(result.select(*KEY, "cleared_text"), messages.select(
+        *KEY, F.col("cleared_text").alias("_stored")), KEY, "left")
+    return both.select(*KEY, F.coalesce(
+        F.nullif("cleared_text", F.lit("")), "_stored").alias("cleared_text"))
+
+
+def _name_missing_vectors(texts: DataFrame, made: DataFrame) -> DataFrame:
+    """``made`` for every message of ``texts``; where a vector is missing, the error says why."""
+    rows = join_on_key(texts, made, KEY, "left")
+    no_text = F.coalesce("cleared_text", F.lit("")) == ""
+    missing = F.col("embedding_sts").isNull() | F.col("embedding_clf").isNull()
+    return rows.select(*KEY, "embedding_sts", "embedding_clf", F.coalesce(
+        "embeddings_error", F.when(no_text, "no cleared text"),
+        F.when(missing, "not answered")).alias("embeddings_error"))
+
+
 def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None = None,
                     setups: dict | None = None, batch: int = batches.BATCH, **pace) -> DataFrame:
     """The steps named in ``batch_fns`` (an ``embeddings`` entry takes ``(texts, kind)``).
@@ -135,10 +158,11 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
         if step not in batch_fns:
             continue
         if step == "embeddings":
-            texts = result if "cleared_text" in result.columns else messages
+            texts = _texts_to_embed(result, messages)
             # a call takes a batch of texts, so call_size is for the text steps
-            rows = embeddings_step(texts.select(*KEY, "cleared_text"), batch_fns[step],
+            made = embeddings_step(texts, batch_fns[step],
                                    **{k: v for k, v in pace.items() if k != "call_size"})
+            rows = _name_missing_vectors(texts, made)
         else:
             rows = model_step(chunked, requests, step, batch_fns[step],
                               (templates or {}).get(step, "{texts}"),

@@ -1,8 +1,11 @@
 """The queries of the whole chain run all of its steps."""
 
+import datetime
+
 import pytest
 
-from newsflow.plans import enrich, queries
+from newsflow.plans import enrich, jobs, queries
+from newsflow.sources import store
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,3 +25,28 @@ def test_chain_by_model_asks_for_every_step(spark, monkeypatch):
         asked.extend(fns), run(messages, fns, **options))[1])
     queries.enrich_by_model(spark, SF_DIR)
     assert set(asked) == set(enrich.CHAIN)
+
+
+def _stored(spark, path, rows):
+    store.write_messages(spark, path, spark.createDataFrame(
+        rows, "source string, message_id string, publish_date timestamp, initial_text string, "
+        "cleared_text string, named_entities array<string>, summary string, "
+        "embedding_sts array<float>, embedding_clf array<float>"))
+
+
+def test_failed_clean_ner_keeps_stored_vectors(spark, tmp_path):
+    path, day = str(tmp_path / "store"), datetime.datetime(2024, 1, 1)
+    _stored(spark, path, [("s", "1", day, "x", "old", [], None, [1.0], [2.0]),
+                          ("s", "2", day, "x", None, None, None, [3.0], [4.0]),
+                          ("s", "3", day, "x", None, None, None, None, None)])
+
+    def down(requests, setup):
+        raise RuntimeError("down")
+
+    failed = jobs.run_model_steps(spark, path, {
+        "clean_ner": down, "embeddings": lambda texts, kind: [[float(len(t))] for t in texts]})
+    assert {r.message_id: r.embeddings_error for r in failed.collect()} == {
+        "1": None, "2": "no cleared text", "3": "no cleared text"}
+    got = {r.message_id: (r.cleared_text, r.embedding_sts, r.embedding_clf)
+           for r in store.scan_store(spark, path).collect()}
+    assert got == {"1": ("old", [3.0], [3.0]), "2": (None, [3.0], [4.0]), "3": (None, None, None)}
