@@ -63,7 +63,8 @@ def is_unprocessed(fields=("cleared_text",)) -> Column:
     """True if one of ``fields`` is still to come. For texts null and empty both mean that."""
     missing = F.lit(False)
     for field in fields:
-        missing = missing | (F.col(field).isNull() if field.startswith("embedding")
+        missing = missing | (F.col(field).isNull()
+                             if field.startswith("embedding") or field == "named_entities"
                              else F.coalesce(field, F.lit("")) == "")
     return missing
 
@@ -86,8 +87,9 @@ def limit_chunk(messages: DataFrame, limit: int) -> DataFrame:
     return keep_matching(messages, picked, ("publish_date", *KEY))
 
 
-def skip_processed(messages: DataFrame, reprocess: bool = False) -> DataFrame:
-    return messages if reprocess else messages.filter(is_unprocessed())
+def skip_processed(messages: DataFrame, reprocess: bool = False,
+                   fields=("cleared_text",)) -> DataFrame:
+    return messages if reprocess else messages.filter(is_unprocessed(fields))
 
 
 def channel_table(spark: SparkSession, channels: Mapping[str, Sequence[int]]) -> DataFrame:

@@ -51,20 +51,27 @@ def rule_steps(tonality_lexicon: DataFrame, category_lexicon: DataFrame) -> dict
 
 def run_step(spark: SparkSession, path: str, name: str, step: Callable[[DataFrame], DataFrame],
              source: str | None = None, reprocess: bool = True) -> None:
-    """Enrich the stored messages of one source, or of all, by one step and merge the result."""
+    """Enrich the stored messages of one source, or of all, by one step and merge the result.
+
+    Without ``reprocess`` only those that lack one of the step's fields.
+    """
     messages = store.scan_store(spark, path).drop("publish_day")
     chosen = messages if source is None else by_source(messages, source)
-    done = step(skip_processed(chosen, reprocess))
+    done = step(skip_processed(chosen, reprocess, FIELDS[name]))
     store.write_messages(spark, path, done.select(*KEY, "publish_date", *FIELDS[name]),
                          fixed_dates=True, unique=True)
 
 
 def run_model_steps(spark: SparkSession, path: str, batch_fns: dict, source: str | None = None,
                     reprocess: bool = True, **options) -> DataFrame:
-    """The same by a model, for all steps in ``batch_fns``; returns what failed."""
+    """The same by a model, for all steps in ``batch_fns``; returns what failed.
+
+    Without ``reprocess`` a message that lacks a field of any of the steps goes through all of them.
+    """
     messages = store.scan_store(spark, path).drop("publish_day")
     chosen = messages if source is None else by_source(messages, source)
-    asked = skip_processed(chosen, reprocess)
+    fields = [field for step in batch_fns for field in FIELDS.get(step, ())]
+    asked = skip_processed(chosen, reprocess, fields)
     # written before the table changes, which both the result and the report read
     done = materialise(
         enrich.keep_stored(enrich.enrich_by_model(asked, batch_fns, **options), asked), "done")

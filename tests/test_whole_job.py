@@ -50,3 +50,22 @@ def test_failed_clean_ner_keeps_stored_vectors(spark, tmp_path):
     got = {r.message_id: (r.cleared_text, r.embedding_sts, r.embedding_clf)
            for r in store.scan_store(spark, path).collect()}
     assert got == {"1": ("old", [3.0], [3.0]), "2": (None, [3.0], [4.0]), "3": (None, None, None)}
+
+
+def test_without_reprocess_what_lacks_a_field_is_taken_up(spark, tmp_path):
+    path, day = str(tmp_path / "store"), datetime.datetime(2024, 1, 1)
+    _stored(spark, path, [("s", "1", day, "x", "old", [], None, [1.0], [2.0]),
+                          ("s", "2", day, "x", "old", [], "had", [1.0], None)])
+    sent = spark.sparkContext.accumulator(0)
+
+    def answer(requests, setup):
+        sent.add(len(requests))
+        return ["Текст #1: Разом" for _ in requests]
+
+    def stored(field):
+        return {r.message_id: r[field] for r in store.scan_store(spark, path).collect()}
+
+    jobs.run_model_steps(spark, path, {"summary": answer}, reprocess=False)
+    assert stored("summary") == {"1": "разом", "2": "had"} and sent.value == 1
+    jobs.run_step(spark, path, "embeddings", jobs.RULES["embeddings"], reprocess=False)
+    assert {i: len(v) for i, v in stored("embedding_sts").items()} == {"1": 1, "2": 768}
