@@ -129,12 +129,15 @@ def _joined_label(messages, lexicon, values, default, name, tokens, key_cols):
                               places[F.col("value")].alias("place")))
     if lexicon.count() <= BROADCAST_LEXICON:
         lexicon = F.broadcast(lexicon)
-    found = explode_words(messages.select(*key_cols, tokens.alias("word")), "word")
-    sums = (found.join(lexicon, "word").groupBy(*key_cols, "place", "value")
+    # one key may have several texts; equal texts of a key add up alike, which changes no order
+    messages = messages.withColumn("_words_hash", F.xxhash64(tokens))
+    row = [*key_cols, "_words_hash"]
+    found = explode_words(messages.select(*row, tokens.alias("word")), "word")
+    sums = (found.join(lexicon, "word").groupBy(*row, "place", "value")
             .agg(F.sum("weight").alias("score")))
-    best = (sums.groupBy(*key_cols)
+    best = (sums.groupBy(*row)
             .agg(F.max(F.struct("score", "place", "value")).alias("best"))
             .filter(F.col("best.score") > 0)
-            .select(*key_cols, F.col("best.value").alias("_label")))
-    return (join_on_key(messages, best, key_cols, "left")
-            .withColumn(name, F.coalesce("_label", F.lit(default))).drop("_label"))
+            .select(*row, F.col("best.value").alias("_label")))
+    return (join_on_key(messages, best, row, "left")
+            .withColumn(name, F.coalesce("_label", F.lit(default))).drop("_label", "_words_hash"))

@@ -4,7 +4,9 @@ import datetime
 
 import pytest
 
+from newsflow.functions import rules
 from newsflow.plans import enrich, jobs, queries
+from newsflow.schema import TONALITIES
 from newsflow.sources import store
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -69,3 +71,18 @@ def test_without_reprocess_what_lacks_a_field_is_taken_up(spark, tmp_path):
     assert stored("summary") == {"1": "разом", "2": "had"} and sent.value == 1
     jobs.run_step(spark, path, "embeddings", jobs.RULES["embeddings"], reprocess=False)
     assert {i: len(v) for i, v in stored("embedding_sts").items()} == {"1": 1, "2": 768}
+
+
+@pytest.mark.parametrize("inline_limit", [500, 0])
+def test_texts_of_one_key_have_their_own_labels(spark, inline_limit):
+    texts = ["добре", "погано погано", "добре", "нічого", None]
+    messages = spark.createDataFrame([("s", "1", t) for t in texts],
+                                     "source string, message_id string, initial_text string")
+    words = spark.createDataFrame([("добре", "позитивна", 1), ("погано", "негативна", 1)],
+                                  "word string, value string, weight int")
+    done = rules.label_by_lexicon(messages, words, TONALITIES, "нейтральна", "tonality",
+                                  inline_limit=inline_limit)
+    assert done.columns == [*messages.columns, "tonality"]
+    assert sorted((r.initial_text or "", r.tonality) for r in done.collect()) == [
+        ("", "нейтральна"), ("добре", "позитивна"), ("добре", "позитивна"),
+        ("нічого", "нейтральна"), ("погано погано", "негативна")]
