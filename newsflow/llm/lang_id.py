@@ -2,6 +2,7 @@
 
 Word j of the filter holds bit j of every language's Bloom filter, so the words at an n-gram's
 hash positions, taken together with AND, are the mask of all languages that contain the n-gram.
+Every 64 languages have words of their own, one array of them after the other.
 """
 
 import numpy as np
@@ -14,11 +15,11 @@ from newsflow.llm.common import BLOCK_BYTES, bounded_batches, cached, held_out,
 SAMPLE_DOCS = 400
 #: A language contains an n-gram that is this often, of the largest share any language has ...
 RELATIVE_SHARE = 0.3
-#: ... and that so many of its sampled documents have at least.
+#: ... and that so many of its sampled documents have at least, or all where there are fewer.
 MIN_DOCS = 3
 LENGTHS, HASHES = (2, 3, 4), 2
 UNKNOWN = "und"
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -58,18 +59,20 @@ def build(members, n_languages):
     """Bit-sliced filter from (language number, key) arrays, about 16 words per distinct key."""
     language, keys = members
     size = 1 << max(10, int(16 * max(1, len(np.unique(keys)))).bit_length())
-    words = np.zeros(size, np.uint64)
-    bits = np.uint64(1) << language.astype(np.uint64)
+    words = np.zeros((-(-n_languages // WORD_BITS), size), np.uint64)
+    bits = np.uint64(1) << (language % WORD_BITS).astype(np.uint64)
     for at in positions(keys, size):
-        np.bitwise_or.at(words, at, bits)
-    fill = np.array([((words >> np.uint64(i)) & np.uint64(1)).mean() for i in range(n_languages)])
-    return words, fill ** HASHES
+        np.bitwise_or.at(words, (language // WORD_BITS, at), bits)
+    fill = np.array([((words[i // WORD_BITS] >> np.uint64(i % WORD_BITS)) & np.uint64(1)).mean()
+                     for i in range(n_languages)])
+    return words.ravel(), fill ** HASHES
 
 
 def hits(texts, words, n_languages):
     """Per text: n-grams, n-grams in each language's filter, and whether it has a letter."""
     total, found = np.zeros(len(texts)), np.zeros((len(texts), n_languages))
     has_letter = np.zeros(len(texts), bool)
+    slices = words.reshape(-(-n_languages // WORD_BITS), -1)
     for i, text in enumerate(texts):
         for begin in range(0, len(text), BLOCK_BYTES):  # pieces overlap by what an n-gram needs
             piece = text[max(0, begin - max(LENGTHS) + 1):begin + BLOCK_BYTES]
@@ -77,12 +80,15 @@ def hits(texts, words, n_languages):
             has_letter[i] |= letter
             for length in LENGTHS if letter else ():
                 keys = grams(points, length)
-                mask = np.full(len(keys), ~np.uint64(0))
-                for at in positions(keys, len(words)):
-                    mask &= words[at]
                 total[i] += len(keys)
-                found[i] += [np.count_nonzero(mask & (np.uint64(1) << np.uint64(k)))
-                             for k in range(n_languages)]
+                at_all = list(positions(keys, slices.shape[1]))
+                for first, slice_ in zip(range(0, n_languages, WORD_BITS), slices):
+                    mask = np.full(len(keys), ~np.uint64(0))
+                    for at in at_all:
+                        mask &= slice_[at]
+                    last = min(first + WORD_BITS, n_languages)
+                    found[i, first:last] += [np.count_nonzero(mask & (np.uint64(1) << np.uint64(k)))
+                                             for k in range(last - first)]
     return total, found, has_letter
 
 
@@ -118,11 +124,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
                           & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
               .select("doc_id", "lang", F.row_number().over(by_hash).alias("_n"))
               .filter(F.col("_n") <= sample_docs).select("doc_id", "lang").distinct())
-    languages = sorted(row["lang"] for row in sample.select("lang").distinct().collect())
+    sampled = {row["lang"]: row["count"] for row in sample.groupBy("lang").count().collect()}
+    languages = sorted(sampled)
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"a filter word has {MAX_LANGUAGES} bits; {len(languages)} languages")
+    few = {lang: n for lang, n in sampled.items() if n < MIN_DOCS}
+    least = F.lit(MIN_DOCS)
+    if few:
+        fewer = F.create_map(*[F.lit(x) for pair in few.items() for x in pair])
+        least = F.coalesce(fewer[F.col("lang")].cast("int"), least)
     pairs = F.col("_keys")
     counted = (docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
                .select("lang", _counted(F.col("text")).alias("_keys"))
@@ -136,7 +146,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
     in_lang, of_key = Window.partitionBy("lang"), Window.partitionBy("key")
     rows = (counted.withColumn("share", F.col("n") / F.sum("n").over(in_lang))
             .withColumn("most", F.max("share").over(of_key))
-            .filter((F.col("docs") >= MIN_DOCS) & (F.col("share") >= RELATIVE_SHARE * F.col("most")))
+            .filter((F.col("docs") >= least) & (F.col("share") >= RELATIVE_SHARE * F.col("most")))
             .select("lang", "key").toPandas())
     number = rows["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(np.int64)
     return languages, *build((number, rows["key"].to_numpy(np.int64).view(np.uint64)),
@@ -144,8 +154,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
 
 
 def language(text: Column, model) -> Column:
-    """Struct of ``lang`` and ``score``; ``und`` and 0 for null, for texts without a letter and
-    where nothing was learned."""
+    """Struct of ``lang`` and ``score``; ``und`` and 0 for null, for texts without a letter, where
+    no language's filter holds more than chance and where nothing was learned."""
     kind = T.StructType([T.StructField("lang", T.StringType()),
                          T.StructField("score", T.DoubleType())])
 
@@ -158,8 +168,8 @@ def language(text: Column, model) -> Column:
             names_of, words, false_rate = model
             total, found, letter = hits(rows, words, len(names_of))
             best, score = decide(total, found, false_rate)
-            names = [names_of[b] if ok else UNKNOWN for b, ok in zip(best, letter)]
             score = np.where(letter, score, 0.0)
+            names = [names_of[b] if s > 0 else UNKNOWN for b, s in zip(best, score)]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()),
                                            pa.array(score, pa.float64())], ["lang", "score"])
 
