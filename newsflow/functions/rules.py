@@ -13,7 +13,8 @@ from newsflow.schema import KEY
 # What counts as noise, the characters a cleaned message keeps
 # and the phrases that stand for an empty result.
 LINK = r"(?:https?://|www\.)[^\s]+"
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# an address begins where its run of characters does, or where the last match ended
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 TAG_OR_MENTION = r"[#@][\p{L}\p{N}_]+"
 PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,13 @@ def test_embeddings_are_unit_vectors_and_repeatable(spark):
     assert abs(sum(v * v for v in rows["1"].embedding_sts) - 1) < 1e-6
     assert rows["3"].embedding_sts is None
     assert set(rows["4"].embedding_clf) == {0.0}
+
+
+def test_noise_takes_linear_time(value):
+    for text in ("see: " + "a1" * 500_000, "see: " + "a1." * 300_000 + "@", "+" + "1 " * 500_000,
+                 "x@" + "a." * 400_000, "a@b@" * 200_000):
+        begin = time.perf_counter()
+        value(lambda x: F.length(rules.clean(x)), x=text)
+        assert time.perf_counter() - begin < 5
+    assert value(rules.extract_noise, x="see: a.b@c.de,f@g.hi @j.kl q@r.st.u@v.wx").split(";") == [
+        "a.b@c.de", "f@g.hi", "@j", "q@r.st", ".u@v.wx"]

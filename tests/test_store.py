@@ -219,4 +219,4 @@ def test_dump_and_load_round_trip(spark, tmp_path, path):
     assert {p.name for p in folder.iterdir() if p.is_dir()} == {"source_file=b"}
     only = jsonl.scan_dump(spark, str(folder))
     assert [(r.source, r.message_id, r.initial_text) for r in only.collect()] == [
-        ("b", None, "четвертий")]
+        ("b", "4", "четвертий")]

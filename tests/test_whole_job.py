@@ -3,11 +3,8 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from newsflow.functions import rules
-from newsflow.llm import lang_id
-from newsflow.llm.common import held_out
 from newsflow.plans import enrich, jobs, queries
 from newsflow.schema import TONALITIES
 from newsflow.sources import store
@@ -89,18 +86,3 @@ def test_texts_of_one_key_have_their_own_labels(spark, inline_limit):
     assert sorted((r.initial_text or "", r.tonality) for r in done.collect()) == [
         ("", "нейтральна"), ("добре", "позитивна"), ("добре", "позитивна"),
         ("нічого", "нейтральна"), ("погано погано", "негативна")]
-
-
-def test_languages_of_one_document_and_more_than_64(spark):
-    # each language has letters of its own
-    docs = spark.range(400).filter(~held_out(F.col("id"))).limit(70).collect()
-    texts = [(row.id, f"l{i:02d}", " ".join([chr(0x4E00 + 3 * i + j) * 3 for j in range(3)]))
-             for i, row in enumerate(docs)]
-    assert len(texts) == 70
-    table = spark.createDataFrame(texts, "doc_id long, lang string, text string")
-    model = lang_id.train(table)
-    said = table.select("lang", lang_id.language(F.col("text"), model).alias("l"))
-    assert [r for r in said.collect() if r.l.lang != r.lang] == []
-    other = spark.createDataFrame([("",), ("привіт",)], "text string")
-    assert {r.l.lang for r in other.select(lang_id.language(F.col("text"), model).alias("l"))
-            .collect()} == {lang_id.UNKNOWN}
