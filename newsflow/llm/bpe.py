@@ -16,8 +16,9 @@ from pyspark.sql import Column, functions as F, types as T
 
 from newsflow.llm.common import bounded_batches, cached, table
 
-#: Distinct words and token pairs a worker remembers before it starts anew.
-REMEMBER = 500_000
+#: Steps of the automaton and token pairs a worker remembers before it starts anew, and bytes of
+#: words, and of runs, with the objects that hold them.
+REMEMBER, REMEMBER_BYTES, ENTRY_BYTES = 500_000, 96 << 20, 250
 NEVER = 1 << 40
 RESULT = T.StructType([T.StructField("n_tokens", T.LongType()),
                        T.StructField("ids_sha256", T.StringType()),
@@ -158,6 +159,11 @@ class Vocabulary:
         return ids[::-1]
 
 
+def _held(text, found):
+    """Bytes that an entry of a cache takes, about."""
+    return ENTRY_BYTES + 2 * (len(text) + len(found[1]) + len(found[2]))
+
+
 class Words(dict):
     """Encoded words by their text, and encoded runs without white space, made when asked for.
 
@@ -166,16 +172,19 @@ class Words(dict):
 
     def __init__(self, vocabulary):
         self.vocabulary, self.words = vocabulary, {}
+        self.size = self.words_size = 0
 
     def one(self, word):
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > REMEMBER:
+            if self.words_size > REMEMBER_BYTES:
                 self.words.clear()
+                self.words_size = 0
             ids = self.vocabulary.encode(self.vocabulary.word(word))
             names = self.vocabulary.names
             found = self.words[word] = (len(ids), " ".join(map(str, ids)),
                                         " ".join([names[i] for i in ids]))
+            self.words_size += _held(word, found)
         return found
 
     def run(self, text):
@@ -191,9 +200,11 @@ class Words(dict):
 
     def __missing__(self, text):
         found = self.run(text)
-        if len(self) > REMEMBER:
+        if self.size > REMEMBER_BYTES:
             self.clear()
+            self.size = 0
         self[text] = found
+        self.size += _held(text, found)
         return found
 
 
@@ -217,7 +228,8 @@ def encodings(path):
 def bpe_digest(text: Column, path: str) -> Column:
     """Number of tokens, digest of the ids, and digest of the text decoded from them.
 
-    Null counts as empty: no tokens, and the digests of the empty string.
+    Null counts as empty: no tokens, and the digests of the empty string. A text may be of any
+    length; what a worker remembers is bounded in bytes.
     """
     @F.arrow_udf(RESULT)
     def digest(texts: pa.Array) -> pa.Array:

@@ -93,11 +93,16 @@ def hits(texts, words, n_languages):
 
 
 def decide(total, found, false_rate):
-    """Best language and its part of all languages' shares, corrected for false positives."""
+    """Best language and its part of all languages' shares, corrected for false positives.
+
+    Where no corrected share is above 0, the best raw share decides, with score 0; of equal
+    languages the first in order.
+    """
     share = found / np.maximum(total, 1)[:, None]
     true = np.clip((share - false_rate) / np.maximum(1 - false_rate, 1e-9), 0, 1)
-    best = true.argmax(1)
-    top, all_ = true[np.arange(len(best)), best], true.sum(1)
+    all_ = true.sum(1)
+    best = np.where(all_ > 0, true.argmax(1), share.argmax(1))
+    top = true[np.arange(len(best)), best]
     return best, np.where(all_ > 0, top / np.maximum(all_, 1e-300), 0.0)
 
 
@@ -154,8 +159,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
 
 
 def language(text: Column, model) -> Column:
-    """Struct of ``lang`` and ``score``; ``und`` and 0 for null, for texts without a letter, where
-    no language's filter holds more than chance and where nothing was learned."""
+    """Struct of ``lang`` and ``score``; ``und`` and 0 for null, for texts without a letter and
+    where no language was learned. A text in letters that no language has gets one with score 0."""
     kind = T.StructType([T.StructField("lang", T.StringType()),
                          T.StructField("score", T.DoubleType())])
 
@@ -169,7 +174,7 @@ def language(text: Column, model) -> Column:
             total, found, letter = hits(rows, words, len(names_of))
             best, score = decide(total, found, false_rate)
             score = np.where(letter, score, 0.0)
-            names = [names_of[b] if s > 0 else UNKNOWN for b, s in zip(best, score)]
+            names = [names_of[b] if has else UNKNOWN for b, has in zip(best, letter)]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()),
                                            pa.array(score, pa.float64())], ["lang", "score"])
 

@@ -19,8 +19,12 @@ from newsflow.llm.common import bounded_batches, cached, table, trim
 from newsflow.scratch import materialise
 
 CAPACITY, END_ID = 2048, 0
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBER = 250_000
+#: Bytes of words and ids, with the objects that hold them, that a worker remembers before it
+#: starts anew.
+REMEMBER_BYTES, ENTRY_BYTES = 64 << 20, 150
+# What the word pattern counts as white space. Its matcher cannot go over a run of
+# a million, so runs from this length on are cut out before.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                       T.StructField("length", T.LongType()),
                       T.StructField("ids_crc32", T.LongType())])
@@ -53,13 +57,25 @@ class Runs(dict):
                    r"|\s+(?!\S)|\s+")
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks,
                                           special_tokens=special)
+        self.piece = tiktoken.Encoding("piece", pat_str=r"(?s).+", mergeable_ranks=ranks,
+                                       special_tokens={})
+        self.size = 0
         self.sizes = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
         for token, i in ranks.items():
             self.sizes[i] = len(token)
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
     def whole(self, text):
-        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+        """Ids of a text by the vocabulary's words; of a long blank run, the word pattern leaves the
+        last character to what follows."""
+        ids, begin = [], 0
+        for blank in LONG_BLANK.finditer(text):
+            end = blank.end() if blank.end() == len(text) else blank.end() - 1
+            ids += self.encoding.encode(text[begin:blank.start()], allowed_special="all")
+            ids += self.piece.encode_ordinary(text[blank.start():end])
+            begin = end
+        ids += self.encoding.encode(text[begin:], allowed_special="all")
+        return np.array(ids, "<u4").tobytes()
 
     def learn(self, words):
         """Encode new words in one call; token lengths tell where each word's ids end."""
@@ -69,14 +85,16 @@ class Runs(dict):
         raw, begin = ids.tobytes(), 0
         for word, cut in zip(words, cuts.tolist()):
             self[word] = raw[4 * begin:4 * cut]
+            self.size += ENTRY_BYTES + 2 * len(word) + 4 * (cut - begin)
             begin = cut
 
     def encode(self, text):
         """Ids of a text, as bytes."""
-        if self.odd.search(text) or self.special.search(text):
+        if self.odd.search(text) or self.special.search(text) or LONG_BLANK.search(text):
             return self.whole(text)
-        if len(self) > REMEMBER:
+        if self.size > REMEMBER_BYTES:
             self.clear()
+            self.size = 0
         first, *words = text.split(" ")
         unknown = [word for word in dict.fromkeys(words) if word not in self]
         if unknown:
@@ -93,7 +111,8 @@ def _byte_letters():
 def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> Column:
     """A text's pieces: its ids and the end id, cut so that only the first may be shorter.
 
-    Null counts as empty, which is one piece that holds the end id alone.
+    Null counts as empty, which is one piece that holds the end id alone. A text may be of any
+    length, and so may its words and runs of blanks.
     """
     @F.arrow_udf(T.ArrayType(PIECE))
     def cut(texts: pa.Array) -> pa.Array:

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from newsflow.llm import (bpe, chat, components, graph_ann, lang_id, line_crf, near_dedup, packing,
                           queries, repetition, suffix_dedup, urls)
-from newsflow.llm.common import blocks
+from newsflow.llm.common import blocks, held_out
 
 SF = "/root/testdata/sf0.001"
 WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -116,6 +116,28 @@ def test_packing(spark):
     assert len(by_sequence) <= least + 2
 
 
+@pytest.mark.parametrize("text", [
+    "a" + " " * 2_000_000 + "b c", "w x" + "\n" * 1_100_000 + " y z", "e f" + " \n" * 4000 + "z",
+    "a" + " " * 5000 + "\n" + "b <|endoftext|>" + "\t" * 6000, "q" + "\xa0" * 5000 + "z  z",
+    "a" * 1_000_000, " " * 5000, "x" + "\x1c" * 5000 + "y"], ids=range(8))
+def test_ids_of_long_runs(text):
+    assert packing.Runs(BYTE_BPE).encode(text) == np.array(
+        Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBER_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "REMEMBER_BYTES", 20_000)
+    runs, words_ = packing.Runs(BYTE_BPE), bpe.Words(bpe.Vocabulary(WORD_BPE))
+    library = [Tokenizer.from_file(p) for p in (BYTE_BPE, WORD_BPE)]
+    for i in range(60):
+        text = " ".join(chr(0x4E00 + i * 40 + j) * 30 + f"x{j}" for j in range(40))
+        assert runs.encode(text) == np.array(library[0].encode(text).ids, "<u4").tobytes()
+        ids = " ".join(p[1] for p in bpe.encode_text(text, words_))
+        assert ids == " ".join(map(str, library[1].encode(text, add_special_tokens=False).ids))
+        assert len(runs) < 200 and len(words_) < 200 and len(words_.words) < 200
+
+
 def test_plan_packs_two_where_greedy_packs_one():
     assert packing.plan({6: 1, 3: 1, 2: 2}, 10) == [(1, [6, 2, 2]), (1, [3])]
     assert sum(t for t, _ in packing.plan({5: 7, 1: 3}, 10)) == 4
@@ -283,6 +305,22 @@ def test_language_edges(spark, edge_docs, no_docs):
     assert lang_id.train(no_docs) is None
 
 
+def test_languages_of_one_document_and_more_than_64(spark):
+    # each language has letters of its own
+    docs = spark.range(400).filter(~held_out(F.col("id"))).limit(70).collect()
+    texts = [(row.id, f"l{i:02d}", " ".join([chr(0x4E00 + 3 * i + j) * 3 for j in range(3)]))
+             for i, row in enumerate(docs)]
+    assert len(texts) == 70
+    table = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    model = lang_id.train(table)
+    said = table.select("lang", lang_id.language(F.col("text"), model).alias("l"))
+    assert [r for r in said.collect() if r.l.lang != r.lang] == []
+    other = spark.createDataFrame([("",), ("12 +",), ("привіт",), ("Ωμέγα",)], "text string")
+    said = [tuple(r.l) for r in other.select(lang_id.language(F.col("text"), model).alias("l"))
+            .collect()]
+    assert said == [(lang_id.UNKNOWN, 0.0)] * 2 + [("l00", 0.0)] * 2
+
+
 def test_filters_hold_every_member():
     keys = np.arange(5000, dtype=np.uint64) * np.uint64(977)
     words_, rate = lang_id.build((np.arange(5000) % 3, keys), 3)
