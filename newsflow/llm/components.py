@@ -27,16 +27,16 @@ def _print(links: DataFrame):
     return row["n"], row["s"]
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep=materialise) -> DataFrame:
     """``id`` and ``component``, the smallest id reachable, of all that ``links`` (a, b) join.
 
-    Each round is written to the shared folder. A node's smallest neighbour is aggregated before
+    Each round is written to the shared folder, by ``keep``. A node's smallest neighbour is aggregated before
     rows meet, and a hot node's links join its one value, which Spark splits where it is skewed.
     """
-    links = materialise(links.filter("a <> b").distinct(), "links")
+    links = keep(links.filter("a <> b").distinct(), "links")
     seen = _print(links)
     while seen[0]:
-        links = materialise(_small_star(_large_star(links)), "links")
+        links = keep(_small_star(_large_star(links)), "links")
         now = _print(links)
         if now == seen:
             break

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from newsflow.llm.common import BLOCK_BYTES, blocks, bounded_batches, cached, table, word_codes
 from newsflow.llm.components import components
-from newsflow.scratch import materialise
+from newsflow.scratch import materialise, temporary
 
 WORDS, PERCENT = 5, 85
 #: A pair at the threshold shares no band with a probability below 3e-7.
@@ -28,6 +28,8 @@ BATCH, MISS = 32, 1e-7
 #: Members of a bucket that meet in one task.
 BLOCK = 512
 
+PARTNERED = ("g bigint, i int, j int, bucket bigint, block int, component bigint, id bigint, "
+             "signature binary")
 SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()),
                        T.StructField("set_key", T.BinaryType()),
                        T.StructField("signature", T.BinaryType())])
@@ -175,6 +177,29 @@ def _buckets(signatures: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), flat)
 
 
+def _with_partner(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of two blocks whose signatures leave a chance to be similar to a row of another
+    component in the same bucket."""
+    keep = np.zeros(len(pdf), bool)
+    pdf = pdf.reset_index(drop=True)
+    for _, rows in pdf.groupby("bucket", sort=False):
+        left, right = rows["i"].iloc[0], rows["j"].iloc[0]
+        at, block = rows.index.to_numpy(), rows["block"].to_numpy()
+        part, size = rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
+        signatures = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
+        for a in np.flatnonzero(block == left):
+            others = np.flatnonzero((block == right) & (part != part[a]) & (
+                100 * np.minimum(size, size[a]) >= PERCENT * np.maximum(size, size[a])))
+            if left == right:
+                others = others[others > a]
+            if len(others):
+                others = others[likely(np.broadcast_to(signatures[a], signatures[others].shape),
+                                       signatures[others])]
+                keep[at[others]] = True
+                keep[at[a]] |= len(others) > 0
+    return pdf.loc[keep, ["g", "i", "j", "bucket", "block", "component", "id", "signature"]]
+
+
 def _link_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links that join up the components of each bucket's members in two of its blocks."""
     links = []
@@ -211,40 +236,49 @@ def _link_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def _star_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _star_links(members: DataFrame, signatures: DataFrame, texts: DataFrame, keep) -> DataFrame:
     """Links between a bucket's smallest id and its others."""
     pairs = (members.filter(F.col("id") != F.col("leader"))
              .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    of_a, of_b = (texts.select(F.col("id").alias(k), F.col("signature").alias(f"s{k}"))
-                  for k in "ab")
-    pairs = materialise(pairs.join(of_a, "a").join(of_b, "b").filter(_likely("sa", "sb"))
-                        .select("a", "b"), "pairs")
+    of_a, of_b = (signatures.select(F.col("id").alias(k), F.col("signature").alias(f"s{k}"),
+                                    F.col("n_shingles").alias(f"n{k}")) for k in "ab")
+    close = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    pairs = keep(pairs.join(of_a, "a").join(of_b, "b").filter(close).filter(_likely("sa", "sb"))
+                 .select("a", "b"), "pairs")
     of_a, of_b = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
     return (pairs.join(of_a, "a").join(of_b, "b").filter(_similar("ta", "tb")).select("a", "b"))
 
 
-def _block_links(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+def _block_links(members: DataFrame, parts: DataFrame, signatures: DataFrame, texts: DataFrame,
+                 keep) -> DataFrame:
     """Links between different components that share a bucket, whatever its size.
 
     A large bucket is dealt into blocks, and each pair of blocks is a task's work; small ones go
-    together. Every pair of members meets in exactly one place.
+    together. Every pair of members meets in exactly one place. They meet by signature first: a
+    text goes only where it has a likely partner.
     """
     known = members.join(parts, "id", "left").select(
         "bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     open_ = known.groupBy("bucket").agg(F.min("component").alias("_least"),
                                         F.max("component").alias("_most"))
-    known = materialise(known.filter("n > 2").join(
+    known = keep(known.filter("n > 2").join(
         open_.filter("_least <> _most").select("bucket"), "bucket"), "unresolved")
     groups = max(1, -(-known.count() // BLOCK))
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (known.withColumn("_blocks", n_blocks)
+    dealt = (known.join(signatures, "id").withColumn("_blocks", n_blocks)
              .withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.col("_blocks")).cast("int"))
              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
              .withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
              .withColumn("g", F.when(F.col("_blocks") == 1, F.pmod("bucket", F.lit(groups)))
-                         .otherwise(F.col("bucket"))))
-    return (dealt.select("g", "i", "j", "bucket", "block", "component", "id").join(texts, "id")
-            .groupBy("g", "i", "j").applyInPandas(_link_block, "a bigint, b bigint"))
+                         .otherwise(F.col("bucket")))
+             .select("g", "i", "j", "bucket", "block", "component", "id", "n_shingles",
+                     "signature"))
+    partnered = keep(dealt.groupBy("g", "i", "j").applyInPandas(_with_partner, PARTNERED),
+                     "partnered")
+    if partnered.isEmpty():
+        return partnered.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return (partnered.join(texts, "id").groupBy("g", "i", "j")
+            .applyInPandas(_link_block, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -256,32 +290,32 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = materialise(docs.select("doc_id", sketch(F.col("text")).alias("_s"))
-                           .select("doc_id", "_s.*"), "sketches")
-    linked = sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialise(linked.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    heads = linked.join(classes, [linked.doc_id == classes.id,
-                                  linked.set_key == classes.set_key], "left_semi")
-    dealt = heads.select(F.col("doc_id").alias("id"),
-                         F.explode(_buckets("signature")).alias("bucket")).distinct()
-    shared = (dealt.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n"))
-              .filter("n > 1"))
-    members = materialise(dealt.join(shared, "bucket"), "members")
-    wanted = members.select("id").distinct()
-    texts = materialise(
-        docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-        .join(sketches.select("doc_id", "signature").dropDuplicates(["doc_id"]), "doc_id")
-        .withColumnRenamed("doc_id", "id"), "texts")
-    links = materialise(_star_links(members, texts), "star-links")
-    parts = materialise(components(links), "parts")
-    more = materialise(_block_links(members, parts, texts), "block-links")
-    if not more.isEmpty():
-        parts = components(links.unionAll(more))
-    ids = linked.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "id")
-    of_id = ids.join(parts, "id", "left").groupBy("doc_id").agg(
-        F.min(F.coalesce("component", "id")).alias("component_id"))
-    return (sketches.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")
-            .withColumn("component_id", F.coalesce("component_id", "doc_id")))
+    with temporary(docs.sparkSession) as keep:
+        sketches = keep(docs.select("doc_id", sketch(F.col("text")).alias("_s"))
+                        .select("doc_id", "_s.*"), "sketches")
+        linked = sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+        # equal sets have equal signatures
+        classes = keep(linked.groupBy("set_key").agg(
+            F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature")), "classes")
+        dealt = classes.select("id", F.explode(_buckets("signature")).alias("bucket"))
+        shared = (dealt.groupBy("bucket")
+                  .agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
+        members = keep(dealt.join(shared, "bucket"), "members")
+        signatures = classes.select("id", "n_shingles", "signature").dropDuplicates(["id"])
+        texts = keep(docs.withColumnRenamed("doc_id", "id").join(
+            members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+        links = keep(_star_links(members, signatures, texts, keep), "star-links")
+        parts = keep(components(links, keep), "parts")
+        more = keep(_block_links(members, parts, signatures, texts, keep), "block-links")
+        if not more.isEmpty():
+            parts = components(links.unionAll(more), keep)
+        ids = linked.select("doc_id", "set_key").join(classes.select("set_key", "id"), "set_key")
+        of_id = ids.join(parts, "id", "left").groupBy("doc_id").agg(
+            F.min(F.coalesce("component", "id")).alias("component_id"))
+        return materialise(
+            sketches.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")
+            .withColumn("component_id", F.coalesce("component_id", "doc_id")), "near-duplicates")
 
 
 def keep_first(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

@@ -238,7 +238,7 @@ def test_a_chain_of_links_is_found_without_its_ends_being_similar(spark):
 
 
 def test_blocks_join_what_stars_leave_apart(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "_star_links", lambda members, texts: spark.createDataFrame(
+    monkeypatch.setattr(near_dedup, "_star_links", lambda *_: spark.createDataFrame(
         [], "a long, b long"))
     base = " ".join(f"w{i}" for i in range(300))
     docs = spark.createDataFrame([(i, f"{base} x{i}") for i in range(60)], "doc_id long, text string")
