@@ -25,7 +25,7 @@ TOP = 20
 #: Items, and bytes of their texts, of a block; an item that is longer is a block by itself.
 ITEMS, ITEM_BYTES = 512, 1 << 16
 #: Children of a node, and bytes of the coordinates that a task holds at a time.
-FAN, DENSE_BYTES = 16, 16 << 20
+FAN, DENSE_BYTES = 4, 16 << 20
 #: One of so many documents goes first.
 FIRST = 64
 #: Whole numbers below this are exact in doubles.

@@ -224,7 +224,7 @@ def test_node_pairs_are_pruned():
     draw = np.random.default_rng(2)
     items = np.zeros((64, 640), np.int64)
     for i in range(64):  # four groups of items, with terms of their own
-        items[i, i % 4 * 160 + draw.integers(0, 160, 10)] = draw.integers(1, 9000, 10)
+        items[i, i % 4 * 160 + draw.integers(0, 160, 50)] = draw.integers(1, 9000, 50)
     docs = np.zeros((2048, 640), np.int64)
     for i in range(2048):
         at = draw.integers(0, 4) * 160 + draw.integers(0, 160, 5)
