@@ -10,13 +10,13 @@ documents, then its levels. Segments are numbered within parts, and parts in the
 """
 
 import os
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from newsflow.llm.bpe import _byte_letters
 from newsflow.llm.common import bounded_batches, cached, table, trim
 from newsflow.scratch import scratch_path
 
@@ -24,7 +24,7 @@ END_ID = 1
 #: Tokens after which a segment ends with its last document, and bits between two known ranks.
 SEGMENT, RANK_BITS = 1 << 18, 512
 #: Bytes of runs and their ids that a worker remembers, with what a dictionary takes for each.
-REMEMBER_BYTES, ENTRY_BYTES = 128 << 20, 170
+REMEMBER_BYTES, ENTRY_BYTES = 256 << 20, 170
 #: Places read at a time.
 READ = 1 << 16
 
@@ -102,17 +102,25 @@ class Codes:
 
 # -- ids -------------------------------------------------------------------------------------
 
-def _letters(raw):
-    """Whether a word consists of letters, and does so once it is normalised."""
-    return raw.isalpha() or not raw.isascii() and \
-        unicodedata.normalize("NFC", raw.decode()).lower().isalpha()
+def _latin(raw):
+    """A word of Latin letters, lower-cased; None for anything else.
+
+    Letters of these ranges are composed already, and each has one lower-case letter.
+    """
+    if raw.isascii():
+        return raw.lower() if raw.isalpha() else None
+    word = raw.decode()
+    word = word.lower() if max(word) < "\u0250" else ""
+    return word.encode() if word.isalpha() else None
 
 
-class Encoder:
-    """Ids by the tokenizers library.
+class Encoder(dict):
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and joins nothing over it, so a text's ids are those of its
-    runs of other characters, one after the other; a run met before is not encoded again.
+    runs of other characters, one after the other. A run met before is not encoded again, and a run
+    that is one word, with or without marks, skips the library's normaliser and word pattern. When
+    the entries take too many bytes, those used again since the last time stay.
     """
 
     # What separates runs for the vocabulary; str.split() would take more.
@@ -127,39 +135,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = {byte: letter for byte, letter in _byte_letters().items() if byte > 127}
         self.to_blank = bytes.maketrans(self.BLANK.encode(), b" " * len(self.BLANK))
-        self.known, self.size = {b"": b""}, 0
-
-    def _learn(self, runs):
-        """Encode new runs; of letters with marks after them, the letters and the marks apart."""
-        known, parts = self.known, {}
-        for run in runs:
-            body = run.rstrip(self.MARKS)
-            parts[run] = (body, run[len(body):]) if body != run and _letters(body) else (run,)
-        new = [part for part in dict.fromkeys(p for ps in parts.values() for p in ps)
-               if part not in known]
-        for begin in range(0, len(new), 4096):
-            some = new[begin:begin + 4096]
-            found = self.tokenizer.encode_batch_fast([part.decode() for part in some],
-                                                     add_special_tokens=False)
-            for part, encoding in zip(some, found):
-                known[part] = np.array(encoding.ids, "<u4").tobytes()
-        for run, own in parts.items():
-            if len(own) > 1:
-                known[run] = known[own[0]] + known[own[1]]
-        self.size += sum(ENTRY_BYTES + len(key) + len(known[key]) for key in {*parts, *new})
+        self.older, self.size = {}, 0
+
+    def _encode(self, run):
+        body = run.rstrip(self.MARKS)
+        word = _latin(body) if body else None
+        if word is None:
+            ids = self.tokenizer.encode(run.decode(), add_special_tokens=False).ids
+        elif word != run:
+            return self[word] + self[run[len(body):]]
+        else:
+            symbols = word.decode("latin-1").translate(self.letters)
+            ids = [token.id for token in self.model.tokenize(symbols)]
+        return np.array(ids, "<u4").tobytes()
+
+    def __missing__(self, run):
+        found = self.older.get(run)
+        if found is None:
+            found = self._encode(run) if run else b""
+        self[run] = found
+        self.size += ENTRY_BYTES + len(run) + len(found)
+        return found
 
     def __call__(self, text):
-        """Ids of a text as little-endian unsigned 32-bit bytes."""
-        if self.size > REMEMBER_BYTES:
-            self.known, self.size = {b"": b""}, 0
-        runs = text.encode().translate(self.to_blank).split(b" ")
-        known = self.known
-        try:
-            return b"".join([known[run] for run in runs])
-        except KeyError:
-            self._learn([run for run in dict.fromkeys(runs) if run not in known])
-        return b"".join([known[run] for run in runs])
+        """Ids of a text."""
+        if self.size > REMEMBER_BYTES // 2:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        return b"".join([self[run] for run in text.encode().translate(self.to_blank).split(b" ")])
 
 
 def _segments(path, end_id, segment):
