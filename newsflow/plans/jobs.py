@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsflow.operators.select import by_source, skip_processed
 from newsflow.plans import enrich
 from newsflow.schema import KEY
-from newsflow.scratch import materialise
+from newsflow.scratch import materialise, scoped, scratch_path, temporary
 from newsflow.sources import jsonl, store
 
 #: Steps by rules that need no lexicon; each takes and returns messages.
@@ -27,15 +27,18 @@ def load_files(spark: SparkSession, folder: str, path: str, pattern: str = "*.js
     come; dumped messages keep their keys. Unreadable lines go to the folder
     ``rejects``, if one is named.
     """
-    lines = jsonl.scan_jsonl(spark, folder, pattern, recursive)
-    dumped = F.col("message_id").isNotNull()
-    for part, key in ((lines.filter(~dumped), ("message_id",)), (lines.filter(dumped), KEY)):
-        store.write_messages(spark, path, jsonl.parse_message(part), key_cols=key,
-                             order_cols=("publish_date", "source"))
-    bad = jsonl.rejected(lines)
-    if rejects:
-        bad.write.mode("append").json(rejects)
-    return bad.count()
+    with temporary(spark) as keep:
+        # parsed once: imports, dumps and rejects are read from the staged lines
+        lines = keep(jsonl.staged(jsonl.scan_jsonl(spark, folder, pattern, recursive)), "lines")
+        for state, key in (("import", ("message_id",)), ("dump", KEY)):
+            part = lines.filter(F.col("state") == state).select("message.*")
+            if not part.isEmpty():
+                store.write_messages(spark, path, part, key_cols=key,
+                                     order_cols=("publish_date", "source"))
+        bad = lines.filter(F.col("state") == "rejected").select("line.*")
+        if rejects:
+            bad.write.mode("append").json(rejects)
+        return bad.count()
 
 
 def dump_files(spark: SparkSession, path: str, folder: str, source: str | None = None) -> None:
@@ -68,13 +71,22 @@ def run_model_steps(spark: SparkSession, path: str, batch_fns: dict, source: str
 
     Without ``reprocess`` a message that lacks a field of any of the steps goes through all of them.
     """
+    with scoped(spark):
+        done = _model_steps(spark, path, batch_fns, source, reprocess, options)
+        errors = [c for c in done.columns if c.endswith("_error")]
+        store.write_messages(spark, path, enrich.message_columns(done), fixed_dates=True,
+                             unique=True)
+        failed = done.select(*KEY, *errors).dropna(how="all", subset=errors)
+        out = scratch_path(spark, "failed")
+        failed.write.parquet(out)
+    return spark.read.schema(failed.schema).parquet(out)
+
+
+def _model_steps(spark, path, batch_fns, source, reprocess, options) -> DataFrame:
     messages = store.scan_store(spark, path).drop("publish_day")
     chosen = messages if source is None else by_source(messages, source)
     fields = [field for step in batch_fns for field in FIELDS.get(step, ())]
     asked = skip_processed(chosen, reprocess, fields)
     # written before the table changes, which both the result and the report read
-    done = materialise(
+    return materialise(
         enrich.keep_stored(enrich.enrich_by_model(asked, batch_fns, **options), asked), "done")
-    errors = [c for c in done.columns if c.endswith("_error")]
-    store.write_messages(spark, path, enrich.message_columns(done), fixed_dates=True, unique=True)
-    return done.select(*KEY, *errors).dropna(how="all", subset=errors)

@@ -42,9 +42,22 @@ def _events(spark, sf):
     return event_messages(table(spark, sf, "events"))
 
 
-def _event_stream(spark, sf):
-    return feed.live_source(spark, sf, schema=EVENTS, fmt="parquet",
-                            pathGlobFilter="events.parquet")
+def _event_stream(spark, sf, repeats=False):
+    """``events`` as they come: in four portions, newest first, one file at a time.
+
+    With ``repeats`` a portion brings some messages of the one before again.
+    """
+    folder, events = scratch_path(spark, "events"), table(spark, sf, "events")
+    first, last = events.agg(F.min("ts").cast("timestamp").cast("long"),
+                             F.max("ts").cast("timestamp").cast("long")).first()
+    portion = F.least(F.lit(3), F.floor(
+        (F.lit(last) - F.col("ts").cast("timestamp").cast("long")) * 4 / max(1, last - first)))
+    for i in range(4):
+        delivered = portion == i
+        if repeats:
+            delivered |= (portion == i - 1) & (F.col("event_type") == "purchase")
+        events.filter(delivered).write.mode("append").parquet(folder)
+    return feed.live_source(spark, folder, schema=EVENTS, fmt="parquet", maxFilesPerTrigger=1)
 
 
 def _drain(stream: DataFrame, label: str) -> DataFrame:
@@ -589,7 +602,7 @@ def text_search(spark, sf):
 # --- streams -----------------------------------------------------------------------------
 
 def _event_feed(spark, sf):
-    return event_messages(_event_stream(spark, sf)).select(
+    return event_messages(_event_stream(spark, sf, repeats=True)).select(
         "message_id", "publish_date", "source", F.col("initial_text").alias("text"),
         F.lit("").alias("message"))
 
@@ -630,9 +643,9 @@ def model_retry(spark, sf):
 
 def stream_dedup(spark, sf):
     """History and live feed deliver the same events."""
-    twice = event_messages(_event_stream(spark, sf)).union(
-        event_messages(_event_stream(spark, sf)))
-    return _drain(flows.stream_dedup(twice), "dedup").select(
+    stream, folder = event_messages(_event_stream(spark, sf, repeats=True)), scratch_path(spark, "once")
+    flows.stream_dedup(stream, folder, scratch_path(spark, "dedup-checkpoint")).awaitTermination()
+    return flows.read_once(spark, folder, stream.schema).select(
         "message_id", _ts(), "source", "initial_text")
 
 

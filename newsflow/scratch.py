@@ -1,19 +1,26 @@
 """Intermediate tables in the folder the cluster shares between its nodes."""
 
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def _folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``; where that is unset, below the
-    warehouse, which a cluster shares too."""
+    warehouse, unless that is on the driver's own disk while executors are elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
         if not warehouse:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all nodes")
+        master = spark.conf.get("spark.master", None) or "local"
+        if warehouse.startswith(("file:", "/")) and not (master == "local"
+                                                         or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is on a local disk")
         root = warehouse.rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/newsflow/{spark.conf.get('spark.app.id')}"
 
@@ -42,10 +49,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for paths in getattr(_open, "scopes", [])[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scoped(spark: SparkSession):
+    """Delete at the end of the block what :func:`materialise` wrote in it, in this thread; for
+    jobs whose results are stored by then."""
+    paths = []
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append(paths)
+    try:
+        yield
+    finally:
+        scopes.pop()
+        for path in paths:
+            drop(spark, path)
+
+
 @contextmanager
 def temporary(spark: SparkSession):
     """Gives a :func:`materialise` whose tables are deleted at the end of the block."""

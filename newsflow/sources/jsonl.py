@@ -30,9 +30,15 @@ def parse_message(lines: DataFrame) -> DataFrame:
     without text it is left out. A dumped line, which has an id, comes back as
     it was. Lines that :func:`rejected` returns are left out.
     """
-    good = lines.filter(~_is_rejected()
-                        & (F.col("message_id").isNotNull() | F.coalesce(_raw_text() != "",
-                                                                        F.lit(False))))
+    return lines.filter(_is_message()).select(*_as_message())
+
+
+def _is_message():
+    has_text = F.coalesce(_raw_text() != "", F.lit(False))
+    return ~_is_rejected() & (F.col("message_id").isNotNull() | has_text)
+
+
+def _as_message() -> list:
     derived = {
         "message_id": F.coalesce("message_id", content_id(_raw_text())),
         "publish_date": parse_ts(F.col("publish_date")),
@@ -40,8 +46,21 @@ def parse_message(lines: DataFrame) -> DataFrame:
             clean_text(_raw_text())),
         "named_entities": F.coalesce("named_entities", F.array().cast("array<string>")),
     }
-    return good.select(*[derived.get(f.name, F.col(f.name)).alias(f.name)
-                         for f in MESSAGE.fields])
+    return [derived.get(f.name, F.col(f.name)).alias(f.name) for f in MESSAGE.fields]
+
+
+def staged(lines: DataFrame) -> DataFrame:
+    """Each line once, with its ``state``: ``import`` and ``dump`` lines as a ``message``, ``rejected``
+    ones as the ``line``. Lines without text have no row."""
+    state = (F.when(_is_rejected(), "rejected")
+             .when(_is_message() & F.col("message_id").isNull(), "import")
+             .when(_is_message(), "dump"))
+    judged = lines.select(state.alias("state"), F.struct(*_as_message()).alias("_message"),
+                          F.struct(*lines.columns).alias("_line"))
+    bad = F.col("state") == "rejected"
+    return judged.filter("state IS NOT NULL").select(
+        "state", F.when(~bad, F.col("_message")).alias("message"),
+        F.when(bad, F.col("_line")).alias("line"))
 
 
 def _is_rejected():

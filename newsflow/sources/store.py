@@ -8,6 +8,7 @@ from newsflow.operators.merge import (drop_matching, keep_matching, latest_per_k
                                       upsert_replace)
 from newsflow.schema import KEY, MESSAGE, STORED
 from newsflow.scratch import temporary
+from newsflow.sources import key_index
 
 #: The partition of messages that have no date.
 NO_DAY = datetime.date(1970, 1, 1)
@@ -51,48 +52,77 @@ def _days(df: DataFrame) -> set:
 
 def write_messages(spark: SparkSession, path: str, new: DataFrame, mode: str = "merge",
                    key_cols=KEY, order_cols=("publish_date",), fixed_dates: bool = False,
-                   unique: bool = False) -> None:
-    """Upsert ``new`` into the table.
+                   unique: bool = False) -> set:
+    """Upsert ``new`` into the table; returns the days whose rows it changed or added to.
 
     ``merge`` overwrites the columns ``new`` has, ``replace`` the whole row.
     Messages with a new key are appended as files of their own. Only days that
     hold a stored row to be changed are rewritten. Writing the same rows again
     changes nothing, so a batch may be repeated after a failure.
 
+    Stored keys are found by the key index, which reads only what may hold one
+    of ``new``'s; keys without ``message_id`` are searched in the table itself.
     ``fixed_dates`` says that ``new`` brings each message's stored date. Then
-    only its days are searched for existing keys, else those of the whole table.
-    ``unique`` says that no key occurs twice in ``new``.
+    only its days are searched. ``unique`` says that no key occurs twice in ``new``.
     """
     ensure_store(spark, path)
     unknown = set(new.columns) - set(MESSAGE.names)
     if unknown:
         raise ValueError(f"not a column of the table: {sorted(unknown)}")
+    dated = "publish_date" in new.columns
+    if fixed_dates and not dated:
+        raise ValueError("fixed_dates needs publish_date")
     with temporary(spark) as keep:
-        increment = new if unique else latest_per_key(new, key_cols, order_cols)
-        dated = "publish_date" in new.columns
+        increment = keep(new if unique else latest_per_key(new, key_cols, order_cols), "increment")
+        located = _complete(increment).select("source", "message_id",
+                                              F.col("publish_day").alias("day"))
         stored = scan_store(spark, path)
         if stored.isEmpty():
-            return _append(path, increment, key_cols)
-        increment = keep(increment, "increment")
-        searched = stored
-        if fixed_dates:
-            if not dated:
-                raise ValueError("fixed_dates needs publish_date")
-            searched = stored.filter(F.col("publish_day").isin(sorted(_days(_with_day(increment)))))
-        found = keep(
-            keep_matching(searched.select(*key_cols, "publish_day"), increment, key_cols), "found")
+            # the index comes first: it may know more than the table, never less
+            key_index.rebuild(spark, path, located)
+            _append(path, increment, key_cols)
+            return _days(located.withColumnRenamed("day", "publish_day"))
+        if not key_index.exists(spark, path):
+            build_key_index(spark, path)
+        found = keep(_find(spark, path, stored, increment, key_cols, fixed_dates), "found")
+        fresh = keep(drop_matching(increment, found, key_cols), "fresh")
+        placed = located if dated else _complete(fresh).select(
+            "source", "message_id", F.col("publish_day").alias("day"))
+        key_index.add(spark, path, key_index.not_indexed(
+            placed, found.withColumnRenamed("publish_day", "day")))
 
         days = _days(found)
         if days:
             changes = keep_matching(increment, found, key_cols)
             if dated and not fixed_dates:
                 days |= _days(_with_day(changes))
+            elif not dated and mode == "replace":
+                days.add(NO_DAY)  # where rows that lose their date go
             _rewrite(spark, path, stored.filter(F.col("publish_day").isin(sorted(days))),
                      changes, days, MODES[mode], key_cols, order_cols, keep)
-
-        fresh = drop_matching(increment, found, key_cols)
         if not fresh.isEmpty():
             _append(path, fresh, key_cols)
+            days |= _days(_complete(fresh))
+        return days
+
+
+def build_key_index(spark: SparkSession, path: str, buckets: int | None = None) -> None:
+    """Index the keys of a table anew, e.g. with more buckets, or after other writers."""
+    key_index.rebuild(spark, path, scan_store(spark, path).select(
+        "source", "message_id", F.col("publish_day").alias("day")), buckets)
+
+
+def _find(spark, path, stored, increment, key_cols, fixed_dates) -> DataFrame:
+    """Keys of ``increment`` that are stored, with their days."""
+    if fixed_dates:
+        days = sorted(_days(_with_day(increment)))
+        searched = stored.filter(F.col("publish_day").isin(days))
+    elif "message_id" in key_cols:
+        return key_index.lookup(spark, path, increment, key_cols).withColumnRenamed(
+            "day", "publish_day")
+    else:
+        searched = stored
+    return keep_matching(searched.select(*{*key_cols, *KEY}, "publish_day"), increment, key_cols)
 
 
 def _append(path, fresh, key_cols) -> None:

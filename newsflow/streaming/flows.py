@@ -3,16 +3,19 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsflow.operators.merge import drop_matching
+from newsflow.operators.merge import drop_matching, latest_per_key
 from newsflow.operators.select import non_empty_text, to_body, unprocessed
 from newsflow.plans.enrich import keep_stored, message_columns
 from newsflow.schema import KEY
-from newsflow.scratch import drop, materialise
+from newsflow.scratch import drop, materialise, scoped, temporary
+from newsflow.sources import key_index
 from newsflow.sources.store import scan_store, write_messages
 
 # How often the enrichment job looks for work when it runs on.
 IDLE = "1 hour"
 TOTALS = "day date, source string, messages long"
+#: Tables of counts that a histogram may consist of.
+MERGE_EVERY = 20
 
 
 def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
@@ -38,57 +41,88 @@ def stream_ingest(feed: DataFrame, store: str, checkpoint: str, interval: str |
     return _start(messages.writeStream.foreachBatch(write), checkpoint, interval)
 
 
-def stream_dedup(messages: DataFrame, key_cols=KEY) -> DataFrame:
-    """Drop repeats of a key, however late they come.
+def stream_dedup(messages: DataFrame, folder: str, checkpoint: str,
+                 interval: str | None = None) -> StreamingQuery:
+    """Keep each key's first message in ``folder``, however late repeats come.
 
-    History arrives newest first, so no watermark could tell what is late. The
-    state is one key per message; give it the RocksDB state store.
+    What was seen is known to a key index in the folder, not to the state of the
+    query: history arrives newest first, so no watermark could tell what is late,
+    and the index may grow as the table does. A batch reads the buckets that may
+    hold one of its keys. Of repeats within a batch the latest stays.
     """
-    return messages.dropDuplicates(list(key_cols))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        out = f"{folder}/batch={batch_id}"
+        if batch_id not in _finished(spark, folder, "batch"):
+            with temporary(spark) as keep:
+                once = keep(latest_per_key(batch), "once")
+                if key_index.exists(spark, folder):
+                    once = drop_matching(once, key_index.lookup(spark, folder, once), KEY)
+                once.write.mode("overwrite").parquet(out)
+        # the index follows the messages: a batch that is run again finds them written
+        seen = spark.read.schema(batch.schema).parquet(out).select(
+            *KEY, F.to_date("publish_date").alias("day"))
+        update = key_index.add if key_index.exists(spark, folder) else key_index.rebuild
+        update(spark, folder, seen)
+
+    return _start(messages.writeStream.foreachBatch(write), checkpoint, interval)
+
+
+def read_once(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The messages that :func:`stream_dedup` kept."""
+    batches = _finished(spark, folder, "batch")
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/batch={n}" for n in batches])
 
 
 def stream_histogram(messages: DataFrame, folder: str, checkpoint: str,
-                     interval: str | None = None) -> StreamingQuery:
+                     interval: str | None = None, merge_every: int = MERGE_EVERY) -> StreamingQuery:
     """Messages per day and source, kept current in ``folder``, whatever order they come in.
 
-    The state is one count per day and source. Each batch brings the new totals
-    of what it touched; with the other totals they become a folder of their own,
-    of which the last two stay.
+    Each batch adds its own counts as a small table, and readers add the tables
+    up: no state, no watermark, and a late message counts on its day. Now and
+    then the tables become one.
     """
-    counts = (messages.groupBy(F.to_date("publish_date").alias("day"), "source")
-              .agg(F.count(F.lit(1)).alias("messages")))
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _snapshots(spark, folder)
-        older = [n for n in before if n < batch_id]
-        totals = batch
-        if older:
-            stored = spark.read.schema(TOTALS).parquet(f"{folder}/batch={max(older)}")
-            totals = batch.unionAll(drop_matching(stored, batch, ("day", "source")))
-        # a repeated batch overwrites its own output
-        totals.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-        for n in older:
-            if n < batch_id - 1:
-                drop(spark, f"{folder}/batch={n}")
-
-    return _start(counts.writeStream.outputMode("update").foreachBatch(write),
-                  checkpoint, interval)
-
-
-def _snapshots(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the batches that have a finished folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
+        counts = (batch.groupBy(F.to_date("publish_date").alias("day"), "source")
+                  .agg(F.count(F.lit(1)).alias("messages")))
+        # a repeated batch overwrites its own counts
+        counts.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        parts = _parts(spark, folder)
+        if len(parts) > merge_every:
+            read_histogram(spark, folder).write.mode("overwrite").parquet(
+                f"{folder}/merged={batch_id}")
+            # readers leave alone what is merged, whether it is deleted yet or not
+            for path in parts:
+                drop(spark, path)
+
+    return _start(messages.writeStream.foreachBatch(write), checkpoint, interval)
+
+
+def _finished(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the subfolders ``name=...`` that are complete."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
     return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found)
 
 
+def _parts(spark: SparkSession, folder: str) -> list[str]:
+    """The last merged counts and those of the batches after them."""
+    merged = _finished(spark, folder, "merged")[-1:]
+    return [f"{folder}/merged={n}" for n in merged] + [
+        f"{folder}/batch={n}" for n in _finished(spark, folder, "batch")
+        if not merged or n > merged[0]]
+
+
 def read_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest total of each day and source."""
-    last = _snapshots(spark, folder)
-    if not last:
+    """The total of each day and source."""
+    parts = _parts(spark, folder)
+    if not parts:
         return spark.createDataFrame([], TOTALS)
-    return spark.read.schema(TOTALS).parquet(f"{folder}/batch={last[-1]}")
+    return (spark.read.schema(TOTALS).parquet(*parts)
+            .groupBy("day", "source").agg(F.sum("messages").alias("messages")))
 
 
 def _enrich_round(spark, store, enrich, limit, fields, tried) -> DataFrame | None:
@@ -112,8 +146,9 @@ def enrich_incremental(spark: SparkSession, store: str, enrich, limit: int | Non
     columns. What it failed on stays unprocessed, and what a message has already
     is kept; both hold for each field by itself.
     """
-    done = _enrich_round(spark, store, enrich, limit, fields, None)
-    return 0 if done is None else done.count()
+    with scoped(spark):
+        done = _enrich_round(spark, store, enrich, limit, fields, None)
+        return 0 if done is None else done.count()
 
 
 def enrich_backlog(spark: SparkSession, store: str, enrich, limit: int | None = None,
@@ -122,12 +157,16 @@ def enrich_backlog(spark: SparkSession, store: str, enrich, limit: int | None =
 
     Every round is stored before the next begins, so a long backlog survives the
     loss of the job. Messages that fail wait for the next call and hold up none.
+    What a round leaves in the scratch folder, but its keys, goes with it.
     """
-    tried = None
-    while (keys := _enrich_round(spark, store, enrich, limit, fields, tried)) is not None:
-        if limit is None:
-            break
-        tried = keys if tried is None else materialise(tried.unionAll(keys), "tried")
+    with temporary(spark) as keep:
+        tried = None
+        while True:
+            with scoped(spark):
+                keys = _enrich_round(spark, store, enrich, limit, fields, tried)
+                if keys is None or limit is None:
+                    break
+                tried = keep(keys if tried is None else tried.unionAll(keys), "tried")
 
 
 def enrich_forever(spark: SparkSession, store: str, enrich, checkpoint: str,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsflow import __main__ as command
 from newsflow.plans import jobs
 from newsflow.scratch import drop_scratch, materialise
-from newsflow.sources import store
+from newsflow.sources import jsonl, store
 
 LINES = {
     "a.jsonl": [("2024-01-01T10:00:00+00:00", "канал А", "Добре. Міста Київ та Львів святкують! Далі."),
@@ -115,3 +115,60 @@ def test_a_cluster_needs_a_shared_folder():
             get = staticmethod(lambda key, default=None: {"spark.master": "yarn"}.get(key, default))
     with pytest.raises(ValueError):
         scratch_path(Session, "x")
+
+
+def test_a_local_warehouse_serves_one_machine_only():
+    from newsflow.scratch import scratch_path
+
+    def session(**conf):
+        class Session:
+            class conf_:
+                get = staticmethod(lambda key, default=None: conf.get(key[6:].replace(".", "_"),
+                                                                      default))
+        Session.conf = Session.conf_
+        return Session
+    for warehouse in ("file:/work/warehouse", "/work/warehouse"):
+        with pytest.raises(ValueError):
+            scratch_path(session(master="yarn", sql_warehouse_dir=warehouse), "x")
+        assert scratch_path(session(master="local[4]", sql_warehouse_dir=warehouse), "x")
+    assert scratch_path(session(master="yarn", sql_warehouse_dir="hdfs://n/w"), "x")
+    assert scratch_path(session(master="yarn", checkpoint_dir="hdfs://n/c"), "x")
+
+
+def test_scoped_scratch_goes_with_its_block(spark):
+    from newsflow.scratch import scoped
+    with scoped(spark):
+        inner = materialise(spark.range(3), "inner")
+        files = [f.removeprefix("file://") for f in inner.inputFiles()]
+        assert all(os.path.exists(f) for f in files)
+    assert not any(os.path.exists(f) for f in files)
+    outer = materialise(spark.range(3), "outer")
+    assert outer.count() == 3
+
+
+def test_each_file_is_read_once(spark, tmp_path):
+    folder = tmp_path / "import"
+    folder.mkdir()
+    lines = [{"publish_date": "2023-05-06T07:08:09+00:00", "source": "s", "text": f"t{i}"}
+             for i in range(20)] + [{"message_id": "k", "source": "s", "initial_text": "так"}]
+    (folder / "a.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nno json\n")
+    reads = []
+    scan = jsonl.scan_jsonl
+
+    def counted(*args, **kwargs):
+        seen = spark.sparkContext.accumulator(0)
+        reads.append(seen)
+
+        def count(rows):
+            for row in rows:
+                seen.add(len(row))
+                yield row
+        found = scan(*args, **kwargs)
+        return found.mapInPandas(count, found.schema)
+    jobs.jsonl.scan_jsonl = counted
+    try:
+        assert jobs.load_files(spark, str(folder), str(tmp_path / "store")) == 1
+    finally:
+        jobs.jsonl.scan_jsonl = scan
+    assert [r.value for r in reads] == [22]
+    assert store.scan_store(spark, str(tmp_path / "store")).count() == 21

@@ -75,9 +75,9 @@ def test_a_message_may_move_to_another_day(spark, path):
 
 def test_only_touched_days_are_rewritten(spark, path, tmp_path):
     store.write_messages(spark, path, raw(spark, ("a", "1", at(1), "x"), ("a", "2", at(2), "y")))
-    files = {p for p in (tmp_path / "store").rglob("*.parquet")}
+    files = {p for p in (tmp_path / "store").glob("publish_day=*/*.parquet")}
     store.write_messages(spark, path, raw(spark, ("a", "1", at(1), "x2"), ("a", "9", at(2), "w")))
-    kept = {p for p in (tmp_path / "store").rglob("*.parquet")} & files
+    kept = {p for p in (tmp_path / "store").glob("publish_day=*/*.parquet")} & files
     assert kept and all("2024-01-02" in str(p) for p in kept)
 
 

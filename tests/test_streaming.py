@@ -74,23 +74,40 @@ def test_stream_resumes_and_a_repeat_changes_nothing(spark, folders, tmp_path):
     assert set(stored(spark, folders)) == set(after)
 
 
-def test_dedup_within_the_delay(spark, folders):
-    stream = feed.live_source(spark, folders["in"], maxFilesPerTrigger=1)
-    once = flows.stream_dedup(stream, key_cols=("source", "message_id"))
-    (once.writeStream.format("parquet").option("path", folders["out"])
-     .option("checkpointLocation", folders["checkpoint"]).trigger(availableNow=True)
-     .start().awaitTermination())
-    rows = spark.read.parquet(folders["out"]).collect()
-    assert sorted(r.message_id for r in rows) == [1, 2, 3, 4, 5, 6, 7]
-
-
-def test_histogram_equals_batch(spark, folders):
-    stream = feed.live_source(spark, folders["in"], maxFilesPerTrigger=1)
-    flows.stream_histogram(stream, folders["out"], folders["checkpoint"]).awaitTermination()
-    batch = report.date_histogram(spark.read.schema(FEED).json(folders["in"]))
-    assert {tuple(r) for r in flows.read_histogram(spark, folders["out"])
-            .select("day", "source", "messages").collect()} == \
-        {tuple(r) for r in batch.select("day", "source", "messages").collect()}
+def test_dedup_knows_all_that_came_before(spark, folders, tmp_path):
+    def run():
+        stream = feed.live_source(spark, folders["in"], maxFilesPerTrigger=1).withColumn(
+            "message_id", F.col("message_id").cast("string"))
+        flows.stream_dedup(stream, folders["out"], folders["checkpoint"]).awaitTermination()
+        return flows.read_once(spark, folders["out"], stream.schema).collect()
+    assert sorted(r.message_id for r in run()) == ["1", "2", "3", "4", "5", "6", "7"]
+    # months later, and older than all the rest: only the new one is added
+    write_files(tmp_path / "in", {"d.json": [record(1, day=31), record(9), record(7, 10, day=3)]})
+    assert sorted(r.message_id for r in run()) == ["1", "2", "3", "4", "5", "6", "7", "9"]
+    assert [r.publish_date.day for r in run() if r.message_id == "1"] == [1]
+    assert not list((tmp_path / "checkpoint").glob("state/*"))
+    # the last batch again, as after a failure between its output and its commit
+    last = max((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    last.unlink()
+    assert sorted(r.message_id for r in run()) == ["1", "2", "3", "4", "5", "6", "7", "9"]
+
+
+@pytest.mark.parametrize("merge_every", [1, 20])
+def test_histogram_equals_batch(spark, folders, tmp_path, merge_every):
+    def run():
+        stream = feed.live_source(spark, folders["in"], maxFilesPerTrigger=1)
+        flows.stream_histogram(stream, folders["out"], folders["checkpoint"],
+                               merge_every=merge_every).awaitTermination()
+        batch = report.date_histogram(spark.read.schema(FEED).json(folders["in"]))
+        assert {tuple(r) for r in flows.read_histogram(spark, folders["out"])
+                .select("day", "source", "messages").collect()} == \
+            {tuple(r) for r in batch.select("day", "source", "messages").collect()}
+    run()
+    write_files(tmp_path / "in", {"d.json": [record(10, day=1), record(11, day=9)]})
+    run()
+    assert not list((tmp_path / "checkpoint").glob("state/*"))
+    assert len(list((tmp_path / "out").glob("merged=*"))) == (merge_every == 1)
 
 
 def test_incremental_enrichment_takes_up_what_failed(spark, folders):
