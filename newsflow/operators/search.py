@@ -1,7 +1,7 @@
 """Nearest messages by vector and ranked messages by words."""
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,67 +16,92 @@ K1 = 1.2
 B = 0.75
 
 
-def similar_topk(messages: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], k: int = 10,
-                 vector_col: str = "embedding_sts", id_cols=KEY) -> DataFrame:
+#: Queries and messages that meet in a task, and parts in which a query's finds are cut first.
+QUERY_BLOCK, MESSAGE_BLOCK, SALTS = 512, 8192, 16
+
+
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length one, or zero."""
+    rows = vectors.combine_chunks()
+    values = rows.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(rows), -1)
+    norms = np.linalg.norm(values, axis=1, keepdims=True)
+    return np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
+
+
+def similar_topk(messages: DataFrame, queries: DataFrame | Sequence[tuple[str, Sequence[float]]],
+                 k: int = 10, vector_col: str = "embedding_sts", id_cols=KEY,
+                 query_block: int = QUERY_BLOCK, message_block: int = MESSAGE_BLOCK) -> DataFrame:
     """The ``k`` messages nearest to each query vector by cosine, exactly.
 
-    Adds ``query``, ``score`` and ``rank``; equal scores are ordered by id.
-    Each task compares its messages with all queries in one matrix product and
-    passes on its own best ``k`` per query, so little is shuffled.
+    ``queries`` is a table of ``query`` and ``vector``, of any size, or a list of
+    such pairs. Adds ``query``, ``score`` and ``rank``; equal scores are ordered
+    by id. Vectors of other lengths are not compared; zero vectors score 0.
+
+    Blocks of queries meet blocks of messages, one pair of blocks in a task and
+    one matrix product each, and pass on ``k`` messages per query. These are cut
+    to ``k`` per query and part, then per query.
     """
-    id_cols = list(id_cols)
-    names = [name for name, _ in queries]
-    matrix = np.array([vector for _, vector in queries], dtype="float64")
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+    id_cols, spark = list(id_cols), messages.sparkSession
+    if not isinstance(queries, DataFrame):
+        queries = spark.createDataFrame([(name, [float(x) for x in v]) for name, v in queries],
+                                        "query string, vector array<double>")
+    asked = queries.filter(F.col("vector").isNotNull()).select(
+        "query", F.col("vector").cast("array<double>").alias("vector"))
+    with_vector = messages.filter(F.col(vector_col).isNotNull()).select(
+        *id_cols, F.col(vector_col).alias("_vector"))
+    q_blocks = max(1, -(-asked.count() // query_block))
+    m_blocks = max(1, -(-with_vector.count() // message_block))
+
+    def everywhere(n, name):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    blocks = ["_dim", "_m", "_q"]
+    left = with_vector.select(
+        *id_cols, "_vector", F.size("_vector").alias("_dim"),
+        F.pmod(F.xxhash64(*id_cols), F.lit(m_blocks)).cast("int").alias("_m"),
+        everywhere(q_blocks, "_q"))
+    right = asked.select(
+        "query", "vector", F.size("vector").alias("_dim"),
+        F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int").alias("_q"),
+        everywhere(m_blocks, "_m"))
     ids = [messages.schema[c] for c in id_cols]
-    schema = T.StructType([T.StructField("query", T.StringType()), *ids,
-                           T.StructField("score", T.DoubleType())])
-
-    def best(rows: pa.Table) -> pa.Table:
-        ordered = rows.sort_by([("query", "ascending"), ("score", "descending"),
-                                *[(c, "ascending") for c in id_cols]])
-        query = ordered["query"].to_numpy(zero_copy_only=False)
-        first = np.searchsorted(query, query, side="left") if len(query) else query
-        return ordered.filter(pa.array(np.arange(len(query)) - first < k))
-
-    def nearest(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in found:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            vectors = table[vector_col].combine_chunks()
-            values = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
-            values = values.reshape(batch.num_rows, matrix.shape[1])
-            norms = np.linalg.norm(values, axis=1, keepdims=True)
-            values = np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
-            scores = values @ matrix.T
-            for place, _ in enumerate(names):
-                column = scores[:, place]
-                if len(column) > k:
-                    # everything at or above the k-th best score: ties are settled by id
-                    bound = np.partition(column, len(column) - k)[len(column) - k]
-                    chosen = np.flatnonzero(column >= bound)
-                else:
-                    chosen = np.arange(len(column))
-                part = table.select(id_cols).take(pa.array(chosen)) \
-                    .append_column("query", pa.array(np.full(len(chosen), place, dtype="int32"))) \
-                    .append_column("score", pa.array(column[chosen]))
-                kept = part if kept is None else pa.concat_tables([kept, part])
-            kept = best(kept)
-        if kept is not None:
-            query = pa.array([names[i] for i in kept["query"].to_pylist()], pa.string())
-            kept = kept.set_column(kept.schema.get_field_index("query"), "query", query)
-            yield from kept.select(["query", *id_cols, "score"]).combine_chunks().to_batches()
-
-    with_vector = messages.filter(F.col(vector_col).isNotNull()).select(*id_cols, vector_col)
-    by_rank = Window.partitionBy("query").orderBy(F.desc("score"), *id_cols)
-    return (with_vector.mapInArrow(nearest, schema)
-            .withColumn("rank", F.row_number().over(by_rank))
+    schema = T.StructType([queries.schema["query"], *ids, T.StructField("score", T.DoubleType())])
+    by_id = [(c, "ascending") for c in id_cols]
+
+    def nearest(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows = rows.sort_by(by_id)  # of equal scores the first ids stay
+        found = []
+        if rows.num_rows and wanted.num_rows:
+            scores = _units(wanted["vector"]) @ _units(rows["_vector"]).T
+            for i, own in enumerate(scores):
+                at = np.arange(len(own))
+                if len(own) > k:
+                    at = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
+                at = at[np.argsort(-own[at], kind="stable")[:k]]
+                found.append(rows.select(id_cols).take(pa.array(at))
+                             .add_column(0, "query", wanted["query"].take(pa.array(np.full(len(at), i))))
+                             .append_column("score", pa.array(own[at])))
+        if found:
+            return pa.concat_tables(found)
+        return pa.table([wanted["query"].slice(0, 0), *[rows[c].slice(0, 0) for c in id_cols],
+                         pa.array([], pa.float64())], names=["query", *id_cols, "score"])
+
+    best = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(nearest, schema)
+    salt = F.pmod(F.xxhash64(*id_cols), F.lit(SALTS)).alias("_salt")
+    order = [F.desc("score"), *id_cols]
+    first = Window.partitionBy("query", "_salt").orderBy(*order)
+    best = (best.select("*", salt).withColumn("rank", F.row_number().over(first))
+            .filter(F.col("rank") <= k).drop("_salt", "rank"))
+    return (best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
             .filter(F.col("rank") <= k))
 
 
+def asked_words(query: str | Sequence[str]) -> list[str]:
+    """The words of a search, each once."""
+    listed = re.findall(r"[^\W_]+", query) if isinstance(query, str) else query
+    return sorted({word.lower() for word in listed})
+
+
 def text_search(messages: DataFrame, query: str | Sequence[str], k: int = 10,
                 text_col: str = "initial_text", id_cols=KEY) -> DataFrame:
     """The ``k`` messages that match any of the words best, by BM25.
@@ -84,8 +109,7 @@ def text_search(messages: DataFrame, query: str | Sequence[str], k: int = 10,
     The texts are read once: each message is reduced to its length and the
     counts of the words asked for, and the rest works on those numbers.
     """
-    listed = re.findall(r"[^\W_]+", query) if isinstance(query, str) else query
-    asked = sorted({word.lower() for word in listed})
+    asked = asked_words(query)
     counts = [f"_tf{i}" for i in range(len(asked))]
     counted = materialise(
         messages.select(*id_cols, words(F.col(text_col)).alias("_tokens"))

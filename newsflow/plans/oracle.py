@@ -312,7 +312,14 @@ ORACLE = {
         SELECT query, message_id, round(score, 6) AS score, row_number() OVER
             (PARTITION BY query ORDER BY scored.score DESC, message_id) AS rank
         FROM scored QUALIFY rank <= 10""",
+    "similar_to_each": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        scored AS (SELECT q.vec_id AS query, list_cosine_similarity(q.e, v.e) AS score
+            FROM v q CROSS JOIN v)
+        SELECT query, round(score, 6) AS score, row_number() OVER
+            (PARTITION BY query ORDER BY scored.score DESC) AS rank
+        FROM scored QUALIFY rank <= 3""",
     "text_search": bm25(["mail5", "nicht", "que", "the"], 20),
+    "text_search_index": bm25(["mail5", "nicht", "que", "the"], 20),
     "stream_ingest": selected(EVENTS, f"""SELECT message_id, {ts()} AS publish_date, source,
         initial_text FROM events_m WHERE initial_text <> ''"""),
     "enrich_incremental": selected(PART_PROCESSED + f""", cleaned AS (SELECT *,

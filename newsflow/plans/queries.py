@@ -12,7 +12,7 @@ from newsflow.plans.tables import (CATEGORY_WORDS, CHANNELS, TONALITY_WORDS, eve
                                    turns, vectors)
 from newsflow.schema import CATEGORIES, KEY, TONALITIES
 from newsflow.scratch import materialise, scratch_path
-from newsflow.sources import feed, jsonl, store
+from newsflow.sources import feed, jsonl, store, word_index
 from newsflow.streaming import flows
 
 NOW = datetime.datetime(2024, 1, 31, 10, 0)
@@ -585,15 +585,36 @@ def similar_topk(spark, sf):
                .groupBy("label", "place").agg(F.avg("value").alias("value"))
                .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "value")))
                                      .alias("centre"))
-               .select(F.col("label").cast("string"),
-                       F.transform("centre", lambda c: c["value"]).alias("centre")))
-    queries = [(row[0], row[1]) for row in centres.collect()]
+               .select(F.col("label").cast("string").alias("query"),
+                       F.transform("centre", lambda c: c["value"]).alias("vector")))
     messages = embeddings.select(F.col("vec_id").alias("message_id"),
                                  F.col("embedding").alias("embedding_sts"))
-    return search.similar_topk(messages, queries, 10, id_cols=["message_id"]).select(
+    return search.similar_topk(messages, centres, 10, id_cols=["message_id"]).select(
         "query", "message_id", F.round("score", 6).alias("score"), _long("rank"))
 
 
+def similar_to_each(spark, sf):
+    """How near the three messages nearest to each message are: as many queries as messages."""
+    embeddings = table(spark, sf, "embeddings")
+    queries = embeddings.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    messages = embeddings.select(F.col("vec_id").alias("message_id"),
+                                 F.col("embedding").alias("embedding_sts"))
+    return search.similar_topk(messages, queries, 3, id_cols=["message_id"]).select(
+        "query", F.round("score", 6).alias("score"), _long("rank"))
+
+
+def text_search_index(spark, sf):
+    """The same search as :func:`text_search` by a word index, of which half came later."""
+    path, index = scratch_path(spark, "store"), scratch_path(spark, "words")
+    messages = text_messages(spark, sf).drop("cleared_text")
+    late = F.col("source").isin("src1", "src3", "src5")
+    store.write_messages(spark, path, messages.filter(~late))
+    word_index.build(spark, path, index)
+    word_index.update(spark, path, index, store.write_messages(spark, path, messages.filter(late)))
+    return word_index.search(spark, index, SEARCH, 20).select(
+        "message_id", "source", F.round("score", 6).alias("score"))
+
+
 def text_search(spark, sf):
     return search.text_search(text_messages(spark, sf), SEARCH, 20).select(
         "message_id", "source", F.round("score", 6).alias("score"))
@@ -698,7 +719,8 @@ QUERIES = {f.__name__: f for f in (
     content_id, parse_ts, kyiv_hms, extract_noise, enrich_clean_ner, enrich_summary,
     enrich_tonality, enrich_category, enrich_embeddings, enrich_all, enrich_by_source,
     enrich_all_vectors, enrich_by_source_vectors, enrich_by_model_vectors,
-    score_batches, enrich_by_model, setup_comparison, similar_topk, text_search, stream_ingest, enrich_incremental,
+    score_batches, enrich_by_model, setup_comparison, similar_topk,
+    similar_to_each, text_search, text_search_index, stream_ingest, enrich_incremental,
     stream_dedup, stream_histogram, label_index, split, train_classifier, predict)}
 
 

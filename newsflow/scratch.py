@@ -30,6 +30,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(status.getPath().toString() for status in files.globStatus(path) or [])
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table, once nothing reads it any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from newsflow.operators.merge import join_on_key, keep_matching
 from newsflow.schema import KEY
-from newsflow.scratch import drop
+from newsflow.scratch import drop, matching
 
 FOLDER = "_keys"
 #: Buckets of a new index. A table of many millions of messages wants more.
@@ -38,12 +38,6 @@ FILTER = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("
 
 # -- places of the index ---------------------------------------------------------------------
 
-def _matching(spark: SparkSession, pattern: str) -> list[str]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(status.getPath().toString() for status in files.globStatus(path) or [])
-
-
 def _named(path: str, name: str) -> int:
     """The number in a folder's name, as in ``bucket=7``."""
     return int(path.split(f"{name}=")[1].split("/")[0])
@@ -52,7 +46,7 @@ def _named(path: str, name: str) -> int:
 def _current(spark: SparkSession, store: str) -> tuple[str, int] | None:
     """Folder and number of buckets of the last complete version."""
     root = f"{store.rstrip('/')}/{FOLDER}"
-    ready = _matching(spark, f"{root}/version=*/buckets=*/filters/_SUCCESS")
+    ready = matching(spark, f"{root}/version=*/buckets=*/filters/_SUCCESS")
     if not ready:
         return None
     last = max(ready, key=lambda path: _named(path, "version"))
@@ -108,7 +102,7 @@ def add(spark: SparkSession, store: str, entries: DataFrame) -> None:
     if not n:
         return
     _write(entries, folder, buckets, n, "append")
-    if len(_matching(spark, f"{folder}/entries/bucket=*/*.parquet")) > MOST_FILES * buckets:
+    if len(matching(spark, f"{folder}/entries/bucket=*/*.parquet")) > MOST_FILES * buckets:
         rebuild(spark, store, _entries(spark, folder).drop("bucket").distinct(), buckets)
 
 
@@ -116,7 +110,7 @@ def rebuild(spark: SparkSession, store: str, entries: DataFrame, buckets: int |
     """A new version of the index from ``entries``; older versions go once it is complete."""
     now = _current(spark, store)
     root = f"{store.rstrip('/')}/{FOLDER}"
-    old = _matching(spark, f"{root}/version=*")
+    old = matching(spark, f"{root}/version=*")
     version = max((_named(path, "version") for path in old), default=-1) + 1
     buckets = buckets or (now[1] if now else BUCKETS)
     _write(entries, f"{root}/version={version}/buckets={buckets}", buckets, entries.count(),
@@ -140,7 +134,7 @@ def _entries(spark: SparkSession, folder: str, buckets=None) -> DataFrame:
 def possible_buckets(spark: SparkSession, store: str, keys: DataFrame) -> list[int]:
     """Buckets in which one of the keys may be: at most as many numbers as there are buckets."""
     folder, buckets = _current(spark, store)
-    sizes = sorted({_named(path, "words") for path in _matching(spark, f"{folder}/filters/words=*")})
+    sizes = sorted({_named(path, "words") for path in matching(spark, f"{folder}/filters/words=*")})
     if not sizes:
         return []
     asked = (keys.select("message_id").distinct()

@@ -7,8 +7,8 @@ from newsflow.operators.merge import drop_matching, latest_per_key
 from newsflow.operators.select import non_empty_text, to_body, unprocessed
 from newsflow.plans.enrich import keep_stored, message_columns
 from newsflow.schema import KEY
-from newsflow.scratch import drop, materialise, scoped, temporary
-from newsflow.sources import key_index
+from newsflow.scratch import drop, matching, materialise, scoped, temporary
+from newsflow.sources import key_index, word_index
 from newsflow.sources.store import scan_store, write_messages
 
 # How often the enrichment job looks for work when it runs on.
@@ -26,8 +26,9 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
 
 def stream_ingest(feed: DataFrame, store: str, checkpoint: str, interval: str | None = None,
                   mode: str = "merge", key_cols=KEY,
-                  fixed_dates: bool = False) -> StreamingQuery:
-    """Write a feed's messages to the table, batch by batch.
+                  fixed_dates: bool = False, words: str | None = None) -> StreamingQuery:
+    """Write a feed's messages to the table, batch by batch; with ``words``, keep that word index
+    of the table up to date as well.
 
     Runs until the feed is read up, or on and on with an ``interval``. A batch
     that is delivered twice changes nothing the second time. ``fixed_dates``
@@ -35,7 +36,11 @@ def stream_ingest(feed: DataFrame, store: str, checkpoint: str, interval: str |
     days of a batch are searched for its keys.
     """
     def write(batch: DataFrame, _: int) -> None:
-        write_messages(batch.sparkSession, store, batch, mode, key_cols, fixed_dates=fixed_dates)
+        spark = batch.sparkSession
+        days = write_messages(spark, store, batch, mode, key_cols, fixed_dates=fixed_dates)
+        if words:
+            # a batch that is run again changes no row, so all of its days are brought up to date
+            word_index.update(spark, store, words, days)
 
     messages = feed.transform(non_empty_text).transform(to_body)
     return _start(messages.writeStream.foreachBatch(write), checkpoint, interval)
@@ -103,9 +108,8 @@ def stream_histogram(messages: DataFrame, folder: str, checkpoint: str,
 
 def _finished(spark: SparkSession, folder: str, name: str) -> list[int]:
     """Numbers of the subfolders ``name=...`` that are complete."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found)
+    found = matching(spark, f"{folder}/{name}=*/_SUCCESS")
+    return sorted(int(path.rsplit("/", 2)[1].split("=")[1]) for path in found)
 
 
 def _parts(spark: SparkSession, folder: str) -> list[str]:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsflow.scratch import matching
 from newsflow.sources import key_index, store
 
 DAY = datetime.datetime(2023, 7, 1, tzinfo=datetime.timezone.utc)
@@ -87,7 +88,7 @@ def test_many_writes_are_folded(spark, path, monkeypatch):
         want |= set(map(str, ids))
         store.write_messages(spark, path, messages(spark, ids, day=i % 2))
     assert {r[0] for r in rows(spark, path)} == want and len(rows(spark, path)) == len(want)
-    assert len(key_index._matching(spark, f"{path}/_keys/version=*")) == 1
+    assert len(matching(spark, f"{path}/_keys/version=*")) == 1
 
 
 def test_null_and_other_keys(spark, path):

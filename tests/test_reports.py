@@ -63,6 +63,25 @@ def test_similar_topk_matches_brute_force(spark, k):
         assert {int(key) for _, key, _ in mine} == set(order)
 
 
+def test_many_queries_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    vectors, asked = rng.normal(size=(300, 6)), rng.normal(size=(90, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(999, [1.0])],
+                               "message_id long, embedding_sts array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)] + [(900, None)],
+                                    "query long, vector array<double>")
+    found = search.similar_topk(df, queries, 4, id_cols=["message_id"], query_block=7,
+                                message_block=40)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r.message_id
+    scores = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ \
+        (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+    assert {q: [ranks[i] for i in range(1, 5)] for q, ranks in got.items()} == {
+        q: np.argsort(-own)[:4].tolist() for q, own in enumerate(scores)}
+    assert search.similar_topk(df, queries.limit(0), 4, id_cols=["message_id"]).count() == 0
+
+
 def test_text_search_matches_brute_force(spark):
     texts = ["Київ чекає на матч", "матч матч матч", "сьогодні у місті дощ", "Київ. Київ! дощ",
              "", "довгий текст про матч та ще багато інших слів поспіль"]
