@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from newsflow.llm.common import BLOCK_BYTES, blocks, bounded_batches, cached, table, word_codes
+from newsflow.llm.common import blocks, bounded_batches, cached, table, word_codes
 from newsflow.llm.components import components
 from newsflow.scratch import materialise, temporary
 
@@ -146,25 +146,6 @@ def _likely(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(likely(_matrix(left), _matrix(right)))
 
 
-@F.arrow_udf(T.BooleanType())
-def _similar(left: pa.Array, right: pa.Array) -> pa.Array:
-    out, known, size = [], {}, 0
-
-    def shingles(text):
-        nonlocal size
-        if text not in known:
-            if size > BLOCK_BYTES:
-                known.clear()
-                size = 0
-            known[text] = shingle_sets([text.encode()])[0]
-            size += len(text)
-        return known[text]
-
-    for a, b in zip(left, right):
-        out.append(similar(shingles(a.as_py()), shingles(b.as_py())))
-    return pa.array(out, pa.bool_())
-
-
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _buckets(signatures: pa.Array) -> pa.Array:
     """One 64-bit key per band of a signature."""
@@ -236,8 +217,24 @@ def _link_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def _star_links(members: DataFrame, signatures: DataFrame, texts: DataFrame, keep) -> DataFrame:
-    """Links between a bucket's smallest id and its others."""
+def _link_star(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of each leader with the rows that come with it."""
+    links = []
+    for leader, rows in pdf.groupby("a", sort=False):
+        own = rows["id"] == leader
+        head = shingle_sets([(rows["text"][own].iloc[0] or "").encode()])[0]
+        for id_, text in zip(rows["id"][~own], rows["text"][~own]):
+            if similar(head, shingle_sets([(text or "").encode()])[0]):
+                links.append((leader, id_))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def _star_links(members: DataFrame, signatures: DataFrame, docs: DataFrame, keep) -> DataFrame:
+    """Links between a bucket's smallest id and its others.
+
+    The texts of a leader and of those that are likely similar to it meet in one exchange, a leader
+    with many of them in several parts.
+    """
     pairs = (members.filter(F.col("id") != F.col("leader"))
              .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     of_a, of_b = (signatures.select(F.col("id").alias(k), F.col("signature").alias(f"s{k}"),
@@ -245,8 +242,16 @@ def _star_links(members: DataFrame, signatures: DataFrame, texts: DataFrame, kee
     close = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
     pairs = keep(pairs.join(of_a, "a").join(of_b, "b").filter(close).filter(_likely("sa", "sb"))
                  .select("a", "b"), "pairs")
-    of_a, of_b = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return (pairs.join(of_a, "a").join(of_b, "b").filter(_similar("ta", "tb")).select("a", "b"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    stars = pairs.join(parts, "a").select(
+        "a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    heads = parts.select("a", F.col("a").alias("id"),
+                         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    groups = max(1, -(-pairs.count() // BLOCK))
+    met = docs.join(stars.unionAll(heads), "id").withColumn("g", F.pmod("a", F.lit(groups)))
+    # as many leaders go together as make a block; a part of a large one is a block by itself
+    return (met.withColumn("big", F.when(F.col("part") > 0, F.col("a")).otherwise(F.lit(-1)))
+            .groupBy("g", "big", "part").applyInPandas(_link_star, "a bigint, b bigint"))
 
 
 def _block_links(members: DataFrame, parts: DataFrame, signatures: DataFrame, texts: DataFrame,
@@ -277,7 +282,8 @@ def _block_links(members: DataFrame, parts: DataFrame, signatures: DataFrame, te
                      "partnered")
     if partnered.isEmpty():
         return partnered.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    return (partnered.join(texts, "id").groupBy("g", "i", "j")
+    # rows of one id are copies, and a bucket takes each id once
+    return (texts.join(partnered, "id").groupBy("g", "i", "j")
             .applyInPandas(_link_block, "a bigint, b bigint"))
 
 
@@ -303,8 +309,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
                   .agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
         members = keep(dealt.join(shared, "bucket"), "members")
         signatures = classes.select("id", "n_shingles", "signature").dropDuplicates(["id"])
-        texts = keep(docs.withColumnRenamed("doc_id", "id").join(
-            members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+        texts = docs.withColumnRenamed("doc_id", "id")
         links = keep(_star_links(members, signatures, texts, keep), "star-links")
         parts = keep(components(links, keep), "parts")
         more = keep(_block_links(members, parts, signatures, texts, keep), "block-links")

@@ -28,7 +28,7 @@ REACH = LENGTH - GRAM
 #: Bytes of a suffix: ahead, back, and the lengths of both.
 WIDTH = LENGTH + REACH + 2
 #: Bytes of text per run and, about, of suffixes per part.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 6 << 20
 #: Window starts worked on at a time.
 CHUNK = 1 << 18
 #: Suffixes compared with their neighbours at a time.
