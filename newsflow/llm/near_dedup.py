@@ -27,6 +27,9 @@ BANDS, ROWS = 32, 6
 BATCH, MISS = 32, 1e-7
 #: Members of a bucket that meet in one task.
 BLOCK = 512
+#: Rows of a few numbers up to which a table is sent to all executors, 30 MB or so; beyond it, both
+#: sides of its join are exchanged.
+SENT_ROWS = 300_000
 
 PARTNERED = ("g bigint, i int, j int, bucket bigint, block int, component bigint, id bigint, "
              "signature binary")
@@ -229,14 +232,22 @@ def _link_star(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def _sent(table_: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(table_) if table_.count() <= SENT_ROWS else table_
+
+
 def _star_links(members: DataFrame, signatures: DataFrame, docs: DataFrame, keep) -> DataFrame:
     """Links between a bucket's smallest id and its others.
 
     The texts of a leader and of those that are likely similar to it meet in one exchange, a leader
     with many of them in several parts.
     """
-    pairs = (members.filter(F.col("id") != F.col("leader"))
-             .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    pairs = keep(members.filter(F.col("id") != F.col("leader"))
+                 .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "met")
+    wanted = keep(pairs.select(F.col("a").alias("id")).unionAll(
+        pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    signatures = keep(signatures.join(_sent(wanted), "id", "left_semi"), "signatures")
     of_a, of_b = (signatures.select(F.col("id").alias(k), F.col("signature").alias(f"s{k}"),
                                     F.col("n_shingles").alias(f"n{k}")) for k in "ab")
     close = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
@@ -248,7 +259,8 @@ def _star_links(members: DataFrame, signatures: DataFrame, docs: DataFrame, keep
     heads = parts.select("a", F.col("a").alias("id"),
                          F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     groups = max(1, -(-pairs.count() // BLOCK))
-    met = docs.join(stars.unionAll(heads), "id").withColumn("g", F.pmod("a", F.lit(groups)))
+    met = docs.join(_sent(keep(stars.unionAll(heads), "stars")), "id").withColumn(
+        "g", F.pmod("a", F.lit(groups)))
     # as many leaders go together as make a block; a part of a large one is a block by itself
     return (met.withColumn("big", F.when(F.col("part") > 0, F.col("a")).otherwise(F.lit(-1)))
             .groupBy("g", "big", "part").applyInPandas(_link_star, "a bigint, b bigint"))
@@ -283,7 +295,8 @@ def _block_links(members: DataFrame, parts: DataFrame, signatures: DataFrame, te
     if partnered.isEmpty():
         return partnered.select(F.col("id").alias("a"), F.col("id").alias("b"))
     # rows of one id are copies, and a bucket takes each id once
-    return (texts.join(partnered, "id").groupBy("g", "i", "j")
+    wanted = keep(partnered.select("id").distinct(), "wanted")
+    return (texts.join(_sent(wanted), "id", "left_semi").join(partnered, "id").groupBy("g", "i", "j")
             .applyInPandas(_link_block, "a bigint, b bigint"))
 
 
@@ -305,9 +318,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
             F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature")), "classes")
         dealt = classes.select("id", F.explode(_buckets("signature")).alias("bucket"))
-        shared = (dealt.groupBy("bucket")
-                  .agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
-        members = keep(dealt.join(shared, "bucket"), "members")
+        shared = keep(dealt.groupBy("bucket").agg(F.min("id").alias("leader"),
+                                                  F.count("*").alias("n")).filter("n > 1"), "shared")
+        members = keep(dealt.join(_sent(shared), "bucket"), "members")
         signatures = classes.select("id", "n_shingles", "signature").dropDuplicates(["id"])
         texts = docs.withColumnRenamed("doc_id", "id")
         links = keep(_star_links(members, signatures, texts, keep), "star-links")
