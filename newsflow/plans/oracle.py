@@ -334,6 +334,8 @@ ORACLE = {
         source, count(*) AS messages FROM events_m GROUP BY ALL"""),
     "label_index": selected(VECTORS, """SELECT message_id, tonality,
         dense_rank() OVER (ORDER BY tonality) - 1 AS label FROM vectors"""),
+    "predict": selected(VECTORS, """SELECT message_id, tonality, CAST(1 AS BIGINT) AS known
+        FROM vectors WHERE CAST('0x' || substr(md5(message_id), 1, 8) AS BIGINT) % 10 >= 8"""),
     "split": selected(VECTORS, """SELECT message_id, CASE WHEN
         CAST('0x' || substr(md5(message_id), 1, 8) AS BIGINT) % 10 < 8 THEN 'training'
         ELSE 'validation' END AS part FROM vectors"""),

@@ -704,7 +704,10 @@ def train_classifier(spark, sf):
 def predict(spark, sf):
     training, validation = train.split(vectors(spark, sf), ["message_id"])
     model = train.train_classifier(training, linear=True)
-    return train.predict(model, validation).select("message_id", "tonality", "predicted")
+    known = [row[0] for row in training.select("tonality").distinct().collect()]  # the classes
+    return train.predict(model, validation).select(
+        "message_id", "tonality", F.col("predicted").isin(known).cast("int").cast("long")
+        .alias("known"))
 
 
 QUERIES = {f.__name__: f for f in (
