@@ -336,6 +336,13 @@ ORACLE = {
         dense_rank() OVER (ORDER BY tonality) - 1 AS label FROM vectors"""),
     "predict": selected(VECTORS, """SELECT message_id, tonality, CAST(1 AS BIGINT) AS known
         FROM vectors WHERE CAST('0x' || substr(md5(message_id), 1, 8) AS BIGINT) % 10 >= 8"""),
+    "train_classifier": selected(VECTORS, """SELECT CASE WHEN
+        CAST('0x' || substr(md5(message_id), 1, 8) AS BIGINT) % 10 < 8 THEN 'training'
+        ELSE 'validation' END AS part, count(*) AS messages, count(*) AS predicted
+        FROM vectors GROUP BY 1"""),
+    "training_curve": selected(VECTORS, """SELECT CAST(1 AS BIGINT) AS loss_falls,
+        CAST(1 AS BIGINT) AS beats_majority, CAST(1 AS BIGINT) AS kept_epochs
+        FROM vectors HAVING count(*) > 0"""),
     "split": selected(VECTORS, """SELECT message_id, CASE WHEN
         CAST('0x' || substr(md5(message_id), 1, 8) AS BIGINT) % 10 < 8 THEN 'training'
         ELSE 'validation' END AS part FROM vectors"""),

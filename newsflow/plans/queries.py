@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newsflow.functions import rules, text
-from newsflow.operators import (batches, merge, report, scoring, search, select, train)
+from newsflow.operators import (batches, merge, network, report, scoring, search, select, train)
 from newsflow.plans import enrich
 from newsflow.plans.tables import (CATEGORY_WORDS, CHANNELS, TONALITY_WORDS, event_messages,
                                    lexicon, part_processed, table, text_feed, text_messages,
@@ -692,13 +692,30 @@ def split(spark, sf):
         validation.select("message_id", F.lit("validation").alias("part")))
 
 
-def train_classifier(spark, sf):
+def _fitted(spark, sf):
     training, validation = train.split(vectors(spark, sf), ["message_id"])
-    model = train.train_classifier(training)
-    return train.accuracy(train.predict(model, training)) \
-        .withColumn("part", F.lit("training")).unionByName(
-            train.accuracy(train.predict(model, validation))
-            .withColumn("part", F.lit("validation")))
+    return training, validation, network.train_network(training, validation)
+
+
+def train_classifier(spark, sf):
+    training, validation, fitted = _fitted(spark, sf)
+    known = F.col("predicted").isin(fitted.classes) & F.col("probability").between(0, 1)
+    return network.predict_by_network(fitted, training.withColumn("part", F.lit("training"))
+                                      .unionByName(validation.withColumn("part", F.lit("validation")))
+                                      ).groupBy("part").agg(
+        F.count(F.lit(1)).alias("messages"), F.count_if(known).alias("predicted"))
+
+
+def training_curve(spark, sf):
+    training, _, fitted = _fitted(spark, sf)
+    share = training.groupBy("tonality").count().agg((F.max("count") / F.sum("count")).alias("share"))
+    curve = fitted.curve_table(spark).agg(
+        F.min_by("loss", "epoch").alias("first"), F.max_by("loss", "epoch").alias("last"),
+        F.max("accuracy").alias("best"), F.count_if("kept").alias("kept_epochs"))
+    return curve.select(
+        (F.col("last") < F.col("first")).cast("int").cast("long").alias("loss_falls"),
+        (F.col("best") > F.lit(share.first().share)).cast("int").cast("long")
+        .alias("beats_majority"), "kept_epochs")
 
 
 def predict(spark, sf):
@@ -724,7 +741,8 @@ QUERIES = {f.__name__: f for f in (
     enrich_all_vectors, enrich_by_source_vectors, enrich_by_model_vectors,
     score_batches, enrich_by_model, setup_comparison, similar_topk,
     similar_to_each, text_search, text_search_index, stream_ingest, enrich_incremental,
-    stream_dedup, stream_histogram, label_index, split, train_classifier, predict)}
+    stream_dedup, stream_histogram, label_index, split, train_classifier,
+    training_curve, predict)}
 
 
 def in_utc(query):
