@@ -32,7 +32,7 @@ BLOCK = 512
 SENT_ROWS = 300_000
 
 PARTNERED = ("g bigint, i int, j int, bucket bigint, block int, component bigint, id bigint, "
-             "signature binary")
+             "signature binary, first boolean")
 SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()),
                        T.StructField("set_key", T.BinaryType()),
                        T.StructField("signature", T.BinaryType())])
@@ -181,12 +181,20 @@ def _with_partner(pdf: pd.DataFrame) -> pd.DataFrame:
                                        signatures[others])]
                 keep[at[others]] = True
                 keep[at[a]] |= len(others) > 0
-    return pdf.loc[keep, ["g", "i", "j", "bucket", "block", "component", "id", "signature"]]
+    pdf = pdf.loc[keep, ["g", "i", "j", "bucket", "block", "component", "id", "signature"]]
+    pdf["first"] = ~pdf["id"].duplicated()
+    pdf["signature"] = pdf["signature"].where(pdf["first"], None)
+    return pdf
 
 
 def _link_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join up the components of each bucket's members in two of its blocks."""
+    """Links that join up the components of each bucket's members in two of its blocks.
+
+    A member of several buckets has its signature and text in the row that is its first.
+    """
     links = []
+    held = pdf[pdf["first"]].drop_duplicates("id").set_index("id")[["signature", "text"]]
+    pdf = pdf.drop(columns=["signature", "text"]).join(held, on="id")
     for _, rows in pdf.groupby("bucket", sort=False):
         rows = rows.drop_duplicates("id").reset_index(drop=True)
         left, right = rows["i"].iloc[0], rows["j"].iloc[0]
@@ -237,17 +245,12 @@ def _sent(table_: DataFrame) -> DataFrame:
     return F.broadcast(table_) if table_.count() <= SENT_ROWS else table_
 
 
-def _star_links(members: DataFrame, signatures: DataFrame, docs: DataFrame, keep) -> DataFrame:
-    """Links between a bucket's smallest id and its others.
+def _star_links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, keep) -> DataFrame:
+    """Links between a bucket's smallest id and its others, the pairs (a, b).
 
     The texts of a leader and of those that are likely similar to it meet in one exchange, a leader
     with many of them in several parts.
     """
-    pairs = keep(members.filter(F.col("id") != F.col("leader"))
-                 .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "met")
-    wanted = keep(pairs.select(F.col("a").alias("id")).unionAll(
-        pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    signatures = keep(signatures.join(_sent(wanted), "id", "left_semi"), "signatures")
     of_a, of_b = (signatures.select(F.col("id").alias(k), F.col("signature").alias(f"s{k}"),
                                     F.col("n_shingles").alias(f"n{k}")) for k in "ab")
     close = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
@@ -270,24 +273,29 @@ def _block_links(members: DataFrame, parts: DataFrame, signatures: DataFrame, te
                  keep) -> DataFrame:
     """Links between different components that share a bucket, whatever its size.
 
-    A large bucket is dealt into blocks, and each pair of blocks is a task's work; small ones go
-    together. Every pair of members meets in exactly one place. They meet by signature first: a
-    text goes only where it has a likely partner.
+    A large bucket is dealt into blocks, and each pair of blocks is a task's work; small ones of one
+    leader, which are as many as bands at most, go together. Every pair of members meets in exactly
+    one place. They meet by signature first: a text goes only where it has a likely partner, once
+    for all buckets that are there.
     """
     known = members.join(parts, "id", "left").select(
-        "bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("_least"),
-                                        F.max("component").alias("_most"))
-    known = keep(known.filter("n > 2").join(
-        open_.filter("_least <> _most").select("bucket"), "bucket"), "unresolved")
+        "bucket", "leader", "id", "n", F.coalesce("component", "id").alias("component"))
+    ids = [F.sum(F.xxhash64("id", F.lit(seed)).cast("decimal(38,0)")).alias(f"_ids{seed}")
+           for seed in (0, 1)]
+    open_ = known.filter("n > 2").groupBy("bucket").agg(
+        F.count("*").alias("_rows"), F.min("component").alias("_least"),
+        F.max("component").alias("_most"), *ids).filter("_least <> _most")
+    # copies share many buckets; of those with the same members, told by 128 bits, one is enough
+    open_ = open_.groupBy("_rows", "_ids0", "_ids1").agg(F.min("bucket").alias("bucket"))
+    known = keep(known.join(open_.select("bucket"), "bucket"), "unresolved")
     groups = max(1, -(-known.count() // BLOCK))
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (known.join(signatures, "id").withColumn("_blocks", n_blocks)
              .withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.col("_blocks")).cast("int"))
              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
              .withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
-             .withColumn("g", F.when(F.col("_blocks") == 1, F.pmod("bucket", F.lit(groups)))
-                         .otherwise(F.col("bucket")))
+             .withColumn("g", F.when(F.col("_blocks") == 1, F.pmod(
+                 F.xxhash64("leader"), F.lit(groups))).otherwise(F.col("bucket")))
              .select("g", "i", "j", "bucket", "block", "component", "id", "n_shingles",
                      "signature"))
     partnered = keep(dealt.groupBy("g", "i", "j").applyInPandas(_with_partner, PARTNERED),
@@ -296,8 +304,10 @@ def _block_links(members: DataFrame, parts: DataFrame, signatures: DataFrame, te
         return partnered.select(F.col("id").alias("a"), F.col("id").alias("b"))
     # rows of one id are copies, and a bucket takes each id once
     wanted = keep(partnered.select("id").distinct(), "wanted")
-    return (texts.join(_sent(wanted), "id", "left_semi").join(partnered, "id").groupBy("g", "i", "j")
-            .applyInPandas(_link_block, "a bigint, b bigint"))
+    with_text = texts.join(_sent(wanted), "id", "left_semi").join(partnered.filter("first"), "id")
+    return (with_text.unionByName(partnered.filter("not first")
+                                  .withColumn("text", F.lit(None).cast("string")))
+            .groupBy("g", "i", "j").applyInPandas(_link_block, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -321,9 +331,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         shared = keep(dealt.groupBy("bucket").agg(F.min("id").alias("leader"),
                                                   F.count("*").alias("n")).filter("n > 1"), "shared")
         members = keep(dealt.join(_sent(shared), "bucket"), "members")
-        signatures = classes.select("id", "n_shingles", "signature").dropDuplicates(["id"])
+        pairs = keep(members.filter(F.col("id") != F.col("leader"))
+                     .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "met")
+        wanted = keep(pairs.select(F.col("a").alias("id")).unionAll(
+            pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+        # only ids that met another have a use for their signatures
+        signatures = keep(classes.select("id", "n_shingles", "signature").join(
+            _sent(wanted), "id", "left_semi").dropDuplicates(["id"]), "signatures")
         texts = docs.withColumnRenamed("doc_id", "id")
-        links = keep(_star_links(members, signatures, texts, keep), "star-links")
+        links = keep(_star_links(pairs, signatures, texts, keep), "star-links")
         parts = keep(components(links, keep), "parts")
         more = keep(_block_links(members, parts, signatures, texts, keep), "block-links")
         if not more.isEmpty():
