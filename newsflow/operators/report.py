@@ -16,10 +16,11 @@ def count_by_source(messages: DataFrame) -> DataFrame:
 
 def category_distribution(messages: DataFrame) -> DataFrame:
     """Messages per category and their share of all that have one."""
-    labelled = messages.filter(F.col("category").isNotNull()).select("category")
-    total = labelled.agg(F.count(F.lit(1))).scalar()
-    return (labelled.groupBy("category").agg(F.count(F.lit(1)).alias("messages"))
-            .withColumn("share", F.col("messages") / total))
+    counts = (messages.filter(F.col("category").isNotNull())
+              .groupBy("category").agg(F.count(F.lit(1)).alias("messages")))
+    # over the counts: a row per category, so the messages are read once
+    total = F.sum("messages").over(Window.partitionBy(F.lit(1)))
+    return counts.withColumn("share", F.col("messages") / total)
 
 
 def tonality_distribution(messages: DataFrame) -> DataFrame:
