@@ -158,6 +158,10 @@ ORACLE = {
         initial_text FROM events_m WHERE channel_id IN ({WATCHED})"""),
     "backfill": selected(EVENTS, f"""SELECT message_id, {ts()} AS publish_date, source
         FROM events_m WHERE publish_date >= TIMESTAMP '2024-01-21'"""),
+    "paged_feed": selected(EVENTS, f"""SELECT message_id, {ts()} AS publish_date, source,
+        initial_text FROM events_m WHERE publish_date >= TIMESTAMP '2024-01-21'"""),
+    "paged_feed_stream": selected(EVENTS, f"""SELECT message_id, {ts()} AS publish_date, source,
+        initial_text FROM events_m"""),
     "ensure_store": "SELECT source, count(*) AS messages FROM documents GROUP BY source",
     "source_catalogue": "SELECT DISTINCT source FROM documents",
     "non_empty_text": selected(FEED, """SELECT message_id, source,

@@ -12,7 +12,7 @@ from newsflow.plans.tables import (CATEGORY_WORDS, CHANNELS, TONALITY_WORDS, eve
                                    turns, vectors)
 from newsflow.schema import CATEGORIES, KEY, TONALITIES
 from newsflow.scratch import materialise, scratch_path
-from newsflow.sources import feed, jsonl, store, word_index
+from newsflow.sources import feed, jsonl, pages, store, word_index
 from newsflow.streaming import flows
 
 NOW = datetime.datetime(2024, 1, 31, 10, 0)
@@ -134,6 +134,45 @@ def backfill(spark, sf):
     return select.backfill(_events(spark, sf), NOW, DEPTH).select("message_id", _ts(), "source")
 
 
+PAGE = 500
+
+
+def _paged(events: DataFrame, folder: str):
+    """``events`` as pages, a channel per event type."""
+    return pages.write_pages(events.select(
+        F.col("event_id").alias("message_id"), F.col("user_id").alias("channel_id"),
+        F.col("ts").cast("timestamp").alias("publish_date"), F.col("event_type").alias("source"),
+        F.col("props").alias("text"), F.lit("").alias("message")), folder, PAGE)
+
+
+def paged_feed(spark, sf):
+    """The backfill from a feed of pages; none that ends before the cutoff is asked for."""
+    client = _paged(table(spark, sf, "events"), scratch_path(spark, "pages"))
+    pages.register_pages(spark, client, "event_pages", span=PAGE * 8)
+    cutoff = datetime.datetime.combine(NOW.date() - datetime.timedelta(days=DEPTH), datetime.time())
+    return pages.paged_feed(spark, "event_pages", cutoff).select(
+        F.col("message_id").cast("string").alias("message_id"), _ts(), "source",
+        F.col("text").alias("initial_text"))
+
+
+def paged_feed_stream(spark, sf):
+    """The stream of pages: half of the messages, a restart, then those that came since."""
+    folder, out, checkpoint = (scratch_path(spark, label) for label in
+                               ("pages", "read", "read-checkpoint"))
+    events = table(spark, sf, "events")
+    middle = events.agg(F.floor(F.avg("event_id")).alias("id")).first().id or 0
+    for part in (F.col("event_id") < middle, F.col("event_id") >= middle):
+        client = _paged(events.filter(part), folder)
+        pages.register_pages(spark, client, "event_pages_live", span=PAGE * 8)
+        stream = pages.paged_feed(spark, "event_pages_live", stream=True)
+        (stream.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True)
+         .start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(out).select(
+        F.col("message_id").cast("string").alias("message_id"), _ts(), "source",
+        F.col("text").alias("initial_text"))
+
+
 def ensure_store(spark, sf):
     path = _filled_store(spark, sf)
     store.ensure_store(spark, path)
@@ -730,6 +769,7 @@ def predict(spark, sf):
 QUERIES = {f.__name__: f for f in (
     rejected_lines, model_retry, tonality_by_join,
     scan_jsonl, parse_message, scan_store, dump_by_source, live_source, backfill, ensure_store,
+    paged_feed, paged_feed_stream,
     source_catalogue, non_empty_text, by_source, by_date_range, unprocessed, skip_processed,
     monitored, to_body, from_stored, training_columns, limit_chunk, newest_first, upsert_merge,
     upsert_replace, backfill_union_live, dedup_exact, chunk, batch_texts, split_answers,
