@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsflow.functions import rules, text
 from newsflow.operators import batches, scoring
+from newsflow.operators.ledger import score_once
 from newsflow.operators.merge import join_on_key
 from newsflow.operators.select import by_source
 from newsflow.schema import CATEGORIES, KEY, MESSAGE, TONALITIES
@@ -79,18 +80,24 @@ def enrich_all_by_rules(messages: DataFrame, tonality_lexicon: DataFrame,
 # --- model ------------------------------------------------------------------
 
 def model_step(chunked: DataFrame, requests: DataFrame, step: str, batch_fn,
-               template: str = "{texts}", setup: dict | None = None, **pace) -> DataFrame:
+               template: str = "{texts}", setup: dict | None = None, ledger: str | None = None,
+               **pace) -> DataFrame:
     """One text step by a model, as rows ``(source, message_id, <fields>, <step>_error)``.
 
     ``batch_fn`` gets the requests and the setup's options with the step's name under ``step``.
 
     The replies are written once before they are parsed: they cost money and
-    would differ on a second call.
+    would differ on a second call. With a ``ledger`` (a folder) they outlive the job, and a request
+    that it answers is not asked again.
     """
     setup = {**(STEP_SETUPS[step] if setup is None else setup), "step": step}
     work = requests.transform(batches.to_prompt, template)
-    answers = materialise(
-        scoring.score_batches(work, lambda asked, _: batch_fn(asked, setup), **pace), "answers")
+
+    def ask(asked, _):
+        return batch_fn(asked, setup)
+
+    answers = materialise(score_once(work, ask, ledger, step, setup, **pace) if ledger
+                          else scoring.score_batches(work, ask, **pace), "answers")
     keys = chunked.select("source", "message_id", "batch_id", "n")
     error = f"{step}_error"
     if step == "clean_ner":
@@ -138,10 +145,11 @@ def _name_missing_vectors(texts: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None = None,
-                    setups: dict | None = None, batch: int = batches.BATCH, **pace) -> DataFrame:
+                    setups: dict | None = None, batch: int = batches.BATCH,
+                    ledger: str | None = None, **pace) -> DataFrame:
     """The steps named in ``batch_fns`` (an ``embeddings`` entry takes ``(texts, kind)``).
 
-    Returns keys and new fields only, ready for a merge by key. The batches are
+    A ``ledger`` keeps the replies of the text steps. Returns keys and new fields only, ready for a merge by key. The batches are
     cut once and serve every text step.
     """
     unknown = set(batch_fns) - set(CHAIN)
@@ -161,12 +169,13 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
             texts = _texts_to_embed(result, messages)
             # a call takes a batch of texts, so call_size is for the text steps
             made = embeddings_step(texts, batch_fns[step],
-                                   **{k: v for k, v in pace.items() if k != "call_size"})
+                                   **{k: v for k, v in pace.items()
+                                      if k not in ("call_size", "rounds")})
             rows = _name_missing_vectors(texts, made)
         else:
             rows = model_step(chunked, requests, step, batch_fns[step],
                               (templates or {}).get(step, "{texts}"),
-                              (setups or {}).get(step), **pace)
+                              (setups or {}).get(step), ledger, **pace)
         result = join_on_key(result, rows, KEY, "left")
     return result
 

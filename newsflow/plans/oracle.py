@@ -295,6 +295,10 @@ ORACLE = {
     "score_batches": selected(MESSAGES, f"""SELECT message_id, source,
         CAST(length({strip('initial_text')}) AS VARCHAR) AS answer
         FROM messages"""),
+    "reply_ledger": selected(MESSAGES, """SELECT message_id, source,
+        CASE WHEN length(initial_text) % 3 = 0 THEN 'second:' ELSE 'first:' END
+        || length(initial_text) AS answer,
+        CASE WHEN initial_text IS NULL THEN 'no request' END AS error FROM messages"""),
     "enrich_by_model": selected(MESSAGES + f""", bodies AS (SELECT message_id, source,
         {strip('initial_text')} AS body FROM messages)""", f"""SELECT message_id, source,
         CASE WHEN length(body) >= 1000 THEN 'позитивна' END AS tonality,

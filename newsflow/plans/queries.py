@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newsflow.functions import rules, text
-from newsflow.operators import (batches, merge, network, report, scoring, search, select, train)
+from newsflow.operators import (batches, ledger, merge, network, report, scoring, search, select, train)
 from newsflow.plans import enrich
 from newsflow.plans.tables import (CATEGORY_WORDS, CHANNELS, TONALITY_WORDS, event_messages,
                                    lexicon, part_processed, table, text_feed, text_messages,
@@ -564,6 +564,22 @@ def score_batches(spark, sf):
     return aligned.select("message_id", "source", F.col("value").alias("answer"))
 
 
+def reply_ledger(spark, sf):
+    """A first run in which a third of the lengths fails, a second that is asked those only, and a
+    third that has nothing to ask: its model only fails."""
+    path, asked = scratch_path(spark, "ledger"), text_messages(spark, sf).select(
+        *KEY, F.col("initial_text").alias("request"))
+
+    def model(name, fails):
+        return lambda requests, setup: ["Error: 400" if fails(len(r)) else f"{name}:{len(r)}"
+                                        for r in requests]
+
+    for run in (model("first", lambda n: n % 3 == 0), model("second", lambda n: False),
+                model("third", lambda n: True)):
+        told = ledger.score_once(asked, run, path, "length", id_cols=KEY, call_size=64)
+    return told.select(*KEY, "answer", "error")
+
+
 def setup_comparison(spark, sf):
     """Each message is answered with its length, under three temperatures."""
     def measure(requests, setup):
@@ -779,7 +795,7 @@ QUERIES = {f.__name__: f for f in (
     content_id, parse_ts, kyiv_hms, extract_noise, enrich_clean_ner, enrich_summary,
     enrich_tonality, enrich_category, enrich_embeddings, enrich_all, enrich_by_source,
     enrich_all_vectors, enrich_by_source_vectors, enrich_by_model_vectors,
-    score_batches, enrich_by_model, setup_comparison, similar_topk,
+    score_batches, reply_ledger, enrich_by_model, setup_comparison, similar_topk,
     similar_to_each, text_search, text_search_index, stream_ingest, enrich_incremental,
     stream_dedup, stream_histogram, label_index, split, train_classifier,
     training_curve, predict)}
