@@ -256,6 +256,13 @@ ORACLE = {
     "top_entities": selected(CLEANED, f"""SELECT entity, count(*) AS mentions FROM (SELECT
         unnest({rule_entities('cleared_text')}) AS entity FROM cleaned) GROUP BY entity
         ORDER BY mentions DESC, entity LIMIT 20"""),
+    "top_entities_by_days": selected(CLEANED, f"""SELECT entity, count(*) AS mentions FROM (SELECT
+        unnest({rule_entities('cleared_text')}) AS entity FROM cleaned
+        WHERE CAST(message_id AS BIGINT) % 720 // 24 BETWEEN 4 AND 19) GROUP BY entity
+        ORDER BY mentions DESC, entity LIMIT 20"""),
+    "count_by_day": """SELECT strftime(DATE '2024-01-01' + CAST(doc_id % 720 // 24 AS INTEGER),
+        '%Y-%m-%d') AS day, source, count(*) AS messages FROM documents
+        WHERE doc_id % 720 // 24 BETWEEN 4 AND 19 GROUP BY ALL""",
     "date_histogram": selected(EVENTS, """SELECT strftime(publish_date, '%Y-%m-%d') AS day, source,
         count(*) AS messages FROM events_m GROUP BY ALL"""),
     "confusion_matrix": selected(JUDGED, """SELECT label,

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from newsflow.functions import rules, text
 from newsflow.operators import (batches, ledger, merge, network, report, scoring, search, select, train)
 from newsflow.plans import enrich
-from newsflow.plans.tables import (CATEGORY_WORDS, CHANNELS, TONALITY_WORDS, event_messages,
-                                   lexicon, part_processed, table, text_feed, text_messages,
+from newsflow.plans.tables import (CATEGORY_WORDS, CHANNELS, EPOCH_2024, TONALITY_WORDS,
+                                   event_messages, lexicon, part_processed, table, text_feed, text_messages,
                                    turns, vectors)
 from newsflow.schema import CATEGORIES, KEY, TONALITIES
 from newsflow.scratch import materialise, scratch_path
-from newsflow.sources import feed, jsonl, pages, store, word_index
+from newsflow.sources import day_sketches, feed, jsonl, pages, store, word_index
 from newsflow.streaming import flows
 
 NOW = datetime.datetime(2024, 1, 31, 10, 0)
@@ -415,6 +415,34 @@ def top_entities(spark, sf):
     return report.top_entities(enrich.clean_ner_by_rules(text_messages(spark, sf)), 20)
 
 
+FIRST, LAST = datetime.date(2024, 1, 5), datetime.date(2024, 1, 20)
+
+
+def _sketched(spark, sf) -> str:
+    """Day sketches of ``documents`` over thirty days, of which half the sources came later."""
+    path, folder = scratch_path(spark, "store"), scratch_path(spark, "days")
+    messages = enrich.clean_ner_by_rules(text_messages(spark, sf).withColumn(
+        "publish_date", F.timestamp_seconds(
+            F.lit(EPOCH_2024) + F.col("message_id").cast("long") % 720 * 3600)))
+    late = F.col("source").isin("src1", "src3", "src5")
+    for part in (~late, late):
+        days = store.write_messages(spark, path, messages.filter(part))
+        day_sketches.update(spark, path, folder, days)
+    return folder
+
+
+def top_entities_by_days(spark, sf):
+    """The entities named most often on some days, from the days' sketches."""
+    return day_sketches.top_entities(spark, _sketched(spark, sf), 20, FIRST, LAST).select(
+        "entity", "mentions")
+
+
+def count_by_day(spark, sf):
+    """Messages per day and source of some days, from the days' counts."""
+    return day_sketches.count_by_day(spark, _sketched(spark, sf), FIRST, LAST).select(
+        F.col("day").cast("string").alias("day"), "source", "messages")
+
+
 def date_histogram(spark, sf):
     return report.date_histogram(_events(spark, sf)).select(
         F.col("day").cast("string").alias("day"), "source", "messages")
@@ -791,7 +819,7 @@ QUERIES = {f.__name__: f for f in (
     upsert_replace, backfill_union_live, dedup_exact, chunk, batch_texts, split_answers,
     split_blocks, split_actions, entity_list, answer_failed, align_answers, setup_grid,
     unique_sources, count_by_source, category_distribution, tonality_distribution, top_entities,
-    date_histogram, confusion_matrix, accuracy, clean_text, clean_text_spaced, sanitize_name,
+    top_entities_by_days, count_by_day, date_histogram, confusion_matrix, accuracy, clean_text, clean_text_spaced, sanitize_name,
     content_id, parse_ts, kyiv_hms, extract_noise, enrich_clean_ner, enrich_summary,
     enrich_tonality, enrich_category, enrich_embeddings, enrich_all, enrich_by_source,
     enrich_all_vectors, enrich_by_source_vectors, enrich_by_model_vectors,
