@@ -16,8 +16,12 @@ K1 = 1.2
 B = 0.75
 
 
-#: Queries and messages that meet in a task, and parts in which a query's finds are cut first.
-QUERY_BLOCK, MESSAGE_BLOCK, SALTS = 512, 8192, 16
+#: Bytes and rows that a block of vectors holds at most; a few vectors are not cut into smaller ones.
+BLOCK_BYTES, BLOCK_ROWS, FEW = 48 << 20, 32768, 1024
+#: Queries that a task scores at a time, and parts in which a query's finds are cut first.
+SCORED, SALTS = 256, 16
+#: Scores whose largest stands for all of them where a bound for the best is sought.
+GROUP = 64
 
 
 def _units(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -28,18 +32,50 @@ def _units(vectors: pa.ChunkedArray) -> np.ndarray:
     return np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` largest scores, equal ones by column.
+
+    ``k`` groups have a largest score that is not below the ``k``-th of these, which thus bounds the
+    ``k``-th score of the row from below; few scores reach it.
+    """
+    n, width = scores.shape
+    if width > k:
+        groups = width // GROUP
+        tops = scores[:, :groups * GROUP].reshape(n, groups, GROUP).max(axis=2) \
+            if groups >= 4 * k else scores
+        bound = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k, None]
+        row, column = np.nonzero(scores >= bound)
+    else:
+        row, column = np.divmod(np.arange(n * width), width)
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], column[kept]
+
+
+def _blocks(vectors: DataFrame, name: str, size: int | None) -> int:
+    """In how many blocks to cut a table: large ones, but enough for each core to have some pairs."""
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size(name))).first()
+    if size is None:
+        each = 1 + int((2 * vectors.sparkSession.sparkContext.defaultParallelism) ** 0.5)
+        size = min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width or 0)), -(-n // each))
+        size = max(size, FEW)
+    return max(1, -(-n // size))
+
+
 def similar_topk(messages: DataFrame, queries: DataFrame | Sequence[tuple[str, Sequence[float]]],
                  k: int = 10, vector_col: str = "embedding_sts", id_cols=KEY,
-                 query_block: int = QUERY_BLOCK, message_block: int = MESSAGE_BLOCK) -> DataFrame:
+                 query_block: int | None = None, message_block: int | None = None) -> DataFrame:
     """The ``k`` messages nearest to each query vector by cosine, exactly.
 
     ``queries`` is a table of ``query`` and ``vector``, of any size, or a list of
     such pairs. Adds ``query``, ``score`` and ``rank``; equal scores are ordered
     by id. Vectors of other lengths are not compared; zero vectors score 0.
 
-    Blocks of queries meet blocks of messages, one pair of blocks in a task and
-    one matrix product each, and pass on ``k`` messages per query. These are cut
-    to ``k`` per query and part, then per query.
+    Blocks of queries meet blocks of messages, one pair of blocks in a task, by matrix
+    products for some queries at a time, and pass on ``k`` messages per query. These
+    are cut to ``k`` per query and part, then per query. A vector is sent out once per
+    block of the other side, so large blocks keep what is sent small.
     """
     id_cols, spark = list(id_cols), messages.sparkSession
     if not isinstance(queries, DataFrame):
@@ -49,8 +85,8 @@ def similar_topk(messages: DataFrame, queries: DataFrame | Sequence[tuple[str, S
         "query", F.col("vector").cast("array<double>").alias("vector"))
     with_vector = messages.filter(F.col(vector_col).isNotNull()).select(
         *id_cols, F.col(vector_col).alias("_vector"))
-    q_blocks = max(1, -(-asked.count() // query_block))
-    m_blocks = max(1, -(-with_vector.count() // message_block))
+    q_blocks = _blocks(asked, "vector", query_block)
+    m_blocks = _blocks(with_vector, "_vector", message_block)
 
     def everywhere(n, name):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
@@ -72,15 +108,13 @@ def similar_topk(messages: DataFrame, queries: DataFrame | Sequence[tuple[str, S
         rows = rows.sort_by(by_id)  # of equal scores the first ids stay
         found = []
         if rows.num_rows and wanted.num_rows:
-            scores = _units(wanted["vector"]) @ _units(rows["_vector"]).T
-            for i, own in enumerate(scores):
-                at = np.arange(len(own))
-                if len(own) > k:
-                    at = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
-                at = at[np.argsort(-own[at], kind="stable")[:k]]
+            against, asking = _units(rows["_vector"]).T, _units(wanted["vector"])
+            for start in range(0, len(asking), SCORED):
+                scores = asking[start:start + SCORED] @ against
+                query, at = _best(scores, k)
                 found.append(rows.select(id_cols).take(pa.array(at))
-                             .add_column(0, "query", wanted["query"].take(pa.array(np.full(len(at), i))))
-                             .append_column("score", pa.array(own[at])))
+                             .add_column(0, "query", wanted["query"].take(pa.array(start + query)))
+                             .append_column("score", pa.array(scores[query, at])))
         if found:
             return pa.concat_tables(found)
         return pa.table([wanted["query"].slice(0, 0), *[rows[c].slice(0, 0) for c in id_cols],

@@ -82,6 +82,21 @@ def test_many_queries_in_blocks(spark):
     assert search.similar_topk(df, queries.limit(0), 4, id_cols=["message_id"]).count() == 0
 
 
+def test_best_scores_in_groups_keep_ties_in_order():
+    rng = np.random.default_rng(5)
+    for width, k, values in ((3, 5, 2), (300, 3, 4), (2000, 3, 5), (2000, 7, 100_000)):
+        scores = rng.integers(0, values, size=(20, width)).astype("float64")
+        row, column = search._best(scores, k)
+        assert [column[row == i].tolist() for i in range(20)] == [
+            np.argsort(-own, kind="stable")[:k].tolist() for own in scores]
+
+
+def test_vectors_are_sent_to_few_blocks(spark):
+    vectors = spark.range(40_000).select("id", F.array(F.lit(1.0), F.col("id") + 1.0).alias("v"))
+    assert search._blocks(vectors, "v", None) ** 2 <= 8 * spark.sparkContext.defaultParallelism + 16
+    assert search._blocks(vectors.limit(0), "v", None) == 1
+
+
 def test_text_search_matches_brute_force(spark):
     texts = ["Київ чекає на матч", "матч матч матч", "сьогодні у місті дощ", "Київ. Київ! дощ",
              "", "довгий текст про матч та ще багато інших слів поспіль"]
