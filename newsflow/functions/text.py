@@ -133,6 +133,22 @@ def times(tokens: Column, word: Column | str) -> Column:
     return (F.size(tokens) - F.size(F.array_remove(tokens, word))).cast("long")
 
 
+def word_counts(tokens: Column) -> Column:
+    """``array<struct<word, tf>>``: each of the words once, in order. Equal ones meet by sorting, so
+    the work per text is hardly more than its words, and nothing is shuffled."""
+    def starts(ordered):
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1))
+        return F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+    def counted(ordered, at):
+        return F.transform(at, lambda place, i: F.struct(
+            F.get(ordered, place).alias("word"),
+            (F.coalesce(F.get(at, i + 1), F.size(ordered)) - place).cast("long").alias("tf")))
+
+    return let(F.sort_array(tokens), lambda ordered: let(
+        starts(ordered), lambda at: counted(ordered, at)))
+
+
 def explode_words(df: DataFrame, name: str) -> DataFrame:
     """One row per element of column ``name``.
 

@@ -1,15 +1,18 @@
 """An inverted index of the message table: which messages hold a word, and how often.
 
-Postings are dealt into buckets by a hash of the word, inside the day of their messages, and sorted
-by word. A day's postings and its length statistics are replaced together when its messages change,
-so the index follows the table day by day. A search reads the buckets of the words asked for.
+Postings are dealt into buckets by a hash of the word and sorted by word. Each write adds a version:
+the postings of all its days in as many files as their size asks for, whatever the number of days,
+and a line of length statistics per day. Of a day the last complete version counts, so a day's
+postings and statistics are replaced together when its messages change. Versions of which no day is
+left are deleted, and many versions become one. A search reads the buckets of the words asked for.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from newsflow.functions.text import explode_words, words
+from newsflow.functions.text import word_counts, words
 from newsflow.operators.search import B, K1, asked_words
 from newsflow.schema import KEY
 from newsflow.scratch import drop, matching, temporary
@@ -17,15 +20,17 @@ from newsflow.sources.store import scan_store
 
 #: Buckets of words per day, unless told otherwise.
 BUCKETS = 16
-#: Parts of a day's bucket, at most as many files.
-PARTS = 4
+#: Parts of a bucket at least, and postings of a part, about.
+PARTS, POSTINGS_PER_PART = 4, 4_000_000
+#: Versions after which an update merges them.
+MOST_VERSIONS = 20
 POSTING = T.StructType([
     T.StructField("word", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("message_id", T.StringType()), T.StructField("tf", T.LongType()),
-    T.StructField("length", T.LongType()), T.StructField("bucket", T.IntegerType()),
-    T.StructField("publish_day", T.DateType())])
-LENGTHS = T.StructType([T.StructField("messages", T.LongType()), T.StructField("words", T.LongType()),
-                        T.StructField("publish_day", T.DateType())])
+    T.StructField("length", T.LongType()), T.StructField("publish_day", T.DateType()),
+    T.StructField("bucket", T.IntegerType())])
+LENGTHS = T.StructType([T.StructField("publish_day", T.DateType()), T.StructField("messages", T.LongType()),
+                        T.StructField("words", T.LongType()), T.StructField("version", T.IntegerType())])
 
 
 def _place(spark: SparkSession, index: str) -> tuple[str, int]:
@@ -40,30 +45,85 @@ def _bucket(word, buckets: int):
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions: lengths are written last."""
+    found = matching(spark, f"{folder}/lengths/version=*/_SUCCESS")
+    return sorted(int(path.rsplit("/", 2)[1].split("=")[1]) for path in found)
+
+
+def _lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics that count: of each day those of its last version."""
+    paths = [f"{folder}/lengths/version={n}" for n in _versions(spark, folder)]
+    if not paths:
+        return spark.createDataFrame([], LENGTHS)
+    lines = spark.read.schema(LENGTHS).option("basePath", f"{folder}/lengths").parquet(*paths)
+    last = lines.groupBy("publish_day").agg(
+        F.max(F.struct("version", "messages", "words")).alias("_last"))
+    return last.select("publish_day", "_last.messages", "_last.words", "_last.version")
+
+
+def _current(spark: SparkSession, folder: str, only=None) -> DataFrame:
+    """All postings that count; ``only`` is a condition on what is read."""
+    days, found = _lengths(spark, folder), []
+    versions = _versions(spark, folder)
+    for n in versions:
+        part = spark.read.schema(POSTING).parquet(f"{folder}/postings/version={n}")
+        part = part if only is None else part.filter(only)
+        if n != versions[-1]:  # days of the last version are all its own
+            # one line per day
+            own = days.filter(F.col("version") == n).select(F.col("publish_day").alias("_day"))
+            part = part.join(F.broadcast(own), F.col("publish_day") == F.col("_day"), "left_semi")
+        found.append(part)
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], POSTING)
+
+
+def _write(dealt: DataFrame, lengths: DataFrame, folder: str, version: int, postings: int,
+           buckets: int) -> None:
+    """Write a version: its postings, then the lengths that make them count."""
+    # a word that is everywhere is dealt, by message, into parts of its bucket
+    parts = max(PARTS, -(-postings // buckets // POSTINGS_PER_PART))
+    (dealt.repartition("bucket", F.pmod(F.xxhash64(*KEY), F.lit(parts)))
+     .sortWithinPartitions("bucket", "word")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/version={version}"))
+    lengths.coalesce(1).write.mode("overwrite").parquet(f"{folder}/lengths/version={version}")
+
+
 def _write_days(messages: DataFrame, folder: str, buckets: int, text_col: str, days=()) -> None:
-    """Write the postings and lengths of all days of ``messages``, in place of those of ``days``."""
+    """Write a version of all days of ``messages``; those of ``days`` without any are empty in it."""
     spark = messages.sparkSession
+    versions = _versions(spark, folder)
     with temporary(spark) as keep:
         listed = messages.filter(F.col(text_col).isNotNull()).select(
-            *KEY, "publish_day", words(F.col(text_col)).alias("_words")) \
-            .withColumn("length", F.size("_words").cast("long"))
-        counted = keep(explode_words(listed.withColumnRenamed("_words", "word"), "word")
-                       .groupBy("word", *KEY, "publish_day", "length")
-                       .agg(F.count(F.lit(1)).alias("tf")), "postings")
-        lengths = keep(listed.groupBy("publish_day").agg(
+            *KEY, "publish_day", words(F.col(text_col)).alias("_words"))
+        counted = keep(listed.select(*KEY, "publish_day", F.size("_words").cast("long").alias("length"),
+                                     word_counts(F.col("_words")).alias("_counts")), "counted")
+        none = spark.createDataFrame([(day,) for day in days], "publish_day date").select(
+            "publish_day", F.lit(0).cast("long").alias("messages"), F.lit(0).cast("long").alias("words"))
+        lengths = (counted.groupBy("publish_day").agg(
             F.count(F.lit(1)).alias("messages"), F.sum("length").alias("words"))
-            .select("messages", "words", "publish_day"), "lengths")
-        dealt = counted.select("word", *KEY, "tf", "length", _bucket("word", buckets).alias("bucket"),
-                               "publish_day")
-        # all is counted by now; what is lost between here and the end, the same call restores
-        for day in days:
-            for part in ("postings", "lengths"):
-                drop(spark, f"{folder}/{part}/publish_day={day.isoformat()}")
-        # a word that is everywhere is dealt over the days and, by message, into parts of a day
-        (dealt.repartition("publish_day", "bucket", F.pmod(F.xxhash64(*KEY), F.lit(PARTS)))
-         .sortWithinPartitions("publish_day", "bucket", "word")
-         .write.mode("append").partitionBy("publish_day", "bucket").parquet(f"{folder}/postings"))
-        lengths.write.mode("append").partitionBy("publish_day").parquet(f"{folder}/lengths")
+            .unionAll(none).groupBy("publish_day")
+            .agg(F.sum("messages").alias("messages"), F.sum("words").alias("words")))
+        dealt = counted.select(*KEY, "publish_day", "length", F.inline("_counts")).select(
+            "word", *KEY, "tf", "length", "publish_day", _bucket("word", buckets).alias("bucket"))
+        postings = counted.agg(F.coalesce(F.sum(F.size("_counts")), F.lit(0))).first()[0]
+        _write(dealt, lengths, folder, max(versions, default=-1) + 1, postings, buckets)
+    _tidy(spark, folder, buckets)
+
+
+def _tidy(spark: SparkSession, folder: str, buckets: int) -> None:
+    """Delete the versions of which no day is left; of too many versions make one."""
+    days = _lengths(spark, folder)
+    live = {row[0] for row in days.select("version").distinct().collect()}  # at most MOST_VERSIONS
+    versions = _versions(spark, folder)
+    if len(live) > MOST_VERSIONS:
+        merged = _current(spark, folder)
+        live = {versions[-1] + 1}
+        _write(merged, days.drop("version"), folder, versions[-1] + 1, merged.count(), buckets)
+    for n in versions:
+        if n not in live:
+            # its lengths first: without them the rest does not count
+            for part in ("lengths", "postings"):
+                drop(spark, f"{folder}/{part}/version={n}")
 
 
 def build(spark: SparkSession, store: str, index: str, text_col: str = "initial_text",
@@ -92,8 +152,8 @@ def postings(spark: SparkSession, index: str, asked: Sequence[str]) -> DataFrame
     folder, buckets = _place(spark, index)
     found = spark.createDataFrame([(word,) for word in asked], "word string") \
         .select(_bucket("word", buckets).alias("b")).distinct().collect()  # one number per word
-    return spark.read.schema(POSTING).parquet(f"{folder}/postings").filter(
-        F.col("bucket").isin([row["b"] for row in found]) & F.col("word").isin(list(asked)))
+    return _current(spark, folder, F.col("bucket").isin([row["b"] for row in found])
+                    & F.col("word").isin(list(asked)))
 
 
 def search(spark: SparkSession, index: str, query: str | Sequence[str], k: int = 10) -> DataFrame:
@@ -101,7 +161,7 @@ def search(spark: SparkSession, index: str, query: str | Sequence[str], k: int =
     :func:`newsflow.operators.search.text_search` finds by reading all texts."""
     folder, _ = _place(spark, index)
     found = postings(spark, index, asked_words(query))
-    totals = spark.read.schema(LENGTHS).parquet(f"{folder}/lengths").agg(
+    totals = _lengths(spark, folder).agg(
         F.sum("messages").alias("n"), (F.sum("words") / F.sum("messages")).alias("average"))
     per_word = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (totals.select("n").scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5))

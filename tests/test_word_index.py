@@ -55,3 +55,30 @@ def test_a_search_reads_its_words_buckets(spark, tmp_path):
     store.write_messages(spark, path, messages(spark, [(500, 4, "пізніше")]))
     word_index.update(spark, path, index, {(DAY + datetime.timedelta(days=n)).date() for n in (3, 4)})
     assert word_index.search(spark, index, "пізніше").count() == 1
+
+
+def test_files_grow_with_postings_not_with_days(spark, tmp_path):
+    path, index = str(tmp_path / "store"), str(tmp_path / "words")
+    days = store.write_messages(spark, path, messages(spark, [(i, i, f"w{i} спільне") for i in range(60)]))
+    word_index.update(spark, path, index, days)
+    first = matching(spark, f"{index}/buckets=16/postings/version=0/bucket=*/*.parquet")
+    assert 16 <= len(first) <= 16 * word_index.PARTS
+    # some days change: their old postings count no more; when all have changed, they are deleted
+    for change in (range(20), range(60)):
+        changed = store.write_messages(spark, path, messages(
+            spark, [(i, i, f"w{i} спільне спільне") for i in change]))
+        word_index.update(spark, path, index, changed)
+        got, want = both(spark, path, index, "спільне")
+        assert got == want and got
+    assert len(matching(spark, f"{index}/buckets=16/postings/*")) == 1
+
+
+def test_many_versions_become_one(spark, tmp_path, monkeypatch):
+    path, index = str(tmp_path / "store"), str(tmp_path / "words")
+    monkeypatch.setattr(word_index, "MOST_VERSIONS", 2)
+    for i in range(4):
+        word_index.update(spark, path, index, store.write_messages(
+            spark, path, messages(spark, [(i, i, f"w{i} спільне спільне" + " ще" * i)])))
+        got, want = both(spark, path, index, "спільне w1")
+        assert got == want and len(got) == i + 1
+    assert len(matching(spark, f"{index}/buckets=16/postings/*")) <= 2
