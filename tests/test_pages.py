@@ -71,6 +71,41 @@ def test_conditions_are_pushed_down(spark, feed):
     assert sorted(os.listdir(client.log)) == ["a-100"]
 
 
+def test_pages_of_a_block_share_a_file_and_gaps_are_passed(spark, tmp_path):
+    folder = str(tmp_path / "pages")
+    ids = [*range(1000), *range(50_000, 50_010)]
+    pages.write_pages(spark.createDataFrame([_message("a", i) for i in ids], FEED), folder, 10)
+    files = [f for _, _, names in os.walk(folder + "/source=a") for f in names if f.endswith(".json")]
+    assert len(files) == 3  # 101 pages
+    listed = []
+
+    class Watched(pages.FolderClient):
+        def _blocks(self, channel):
+            listed.append(channel)
+            return super()._blocks(channel)
+
+    client = Watched(folder, 10)
+    assert client.newest("a") == 50_009
+    listed.clear()
+    assert [m["message_id"] for m in client.page("a", 995)] == [994, 993, 992, 991, 990]
+    assert [m["message_id"] for m in client.page("a", 640)] == list(range(639, 629, -1))
+    assert not listed
+    assert client.page("a", 50_000)[0]["message_id"] == 999 and len(listed) == 1
+    assert client.page("a", 0) == []
+
+
+def test_many_spans_share_tasks(feed, monkeypatch):
+    client, rows = feed
+    monkeypatch.setattr(pages, "MOST_TASKS", 4)
+    reader = pages.PageReader(client, FEED, 7, None)
+    tasks = reader.partitions()
+    assert len(tasks) == 4 and max(len(task.spans) for task in tasks) == 6
+    read = [m for task in tasks for batch in reader.read(task) for m in batch.to_pylist()]
+    assert sorted((m["source"], m["message_id"]) for m in read) == sorted(
+        (r.source, r.message_id) for r in rows)
+    assert pages._tasks([]) == []
+
+
 def test_stream_goes_on_from_its_offset(spark, feed, tmp_path):
     client, rows = feed
 
