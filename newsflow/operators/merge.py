@@ -8,6 +8,10 @@ from newsflow.functions.text import content_id
 from newsflow.schema import KEY
 
 
+#: Up to this many keys may be broadcast.
+BROADCAST_KEYS = 100_000
+
+
 def latest_per_key(df: DataFrame, key_cols=KEY, order_cols=("publish_date",)) -> DataFrame:
     """One row per key: the greatest by ``order_cols``, ties by the remaining columns.
 
@@ -40,6 +44,12 @@ def drop_matching(df: DataFrame, other: DataFrame, key_cols=KEY) -> DataFrame:
     return join_on_key(df, other.select(*key_cols), key_cols, "left_anti")
 
 
+def sized(keys: DataFrame) -> DataFrame:
+    """Written keys, marked for a join by shuffle if they are too many to broadcast: the size of
+    their files says little about that of their rows."""
+    return keys if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+
+
 def upsert_merge(old: DataFrame, new: DataFrame, key_cols=KEY,
                  order_cols=("publish_date",)) -> DataFrame:
     """Partial update by key, insert when absent.

@@ -142,7 +142,8 @@ def possible_buckets(spark: SparkSession, store: str, keys: DataFrame) -> list[i
                      F.explode(F.array([F.lit(n).cast("long") for n in sizes])).alias("words"))
              .select("bucket", "words", _word(F.col("words")).alias("word"), "mask"))
     filters = spark.read.schema(FILTER).parquet(f"{folder}/filters")
-    met = asked.join(filters, ["words", "bucket", "word"]).filter(
+    # both sides grow with the messages, and files say little about what they hold: no broadcast
+    met = asked.join(filters.hint("merge"), ["words", "bucket", "word"]).filter(
         F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
     return sorted(row["bucket"] for row in met.select("bucket").distinct().collect())
 
@@ -154,7 +155,7 @@ def lookup(spark: SparkSession, store: str, keys: DataFrame, key_cols=KEY) -> Da
     """
     folder, _ = _current(spark, store)
     near = _entries(spark, folder, possible_buckets(spark, store, keys))
-    return keep_matching(near, keys, key_cols).select("source", "message_id", "day").distinct()
+    return keep_matching(near, keys.hint("merge"), key_cols).select("source", "message_id", "day").distinct()
 
 
 def not_indexed(entries: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsflow.operators.merge import drop_matching, latest_per_key
+from newsflow.operators.merge import drop_matching, latest_per_key, sized
 from newsflow.operators.select import non_empty_text, to_body, unprocessed
 from newsflow.plans.enrich import keep_stored, message_columns
 from newsflow.schema import KEY
@@ -62,7 +62,8 @@ def stream_dedup(messages: DataFrame, folder: str, checkpoint: str,
             with temporary(spark) as keep:
                 once = keep(latest_per_key(batch), "once")
                 if key_index.exists(spark, folder):
-                    once = drop_matching(once, key_index.lookup(spark, folder, once), KEY)
+                    seen = sized(keep(key_index.lookup(spark, folder, once), "seen"))
+                    once = drop_matching(once, seen, KEY)
                 once.write.mode("overwrite").parquet(out)
         # the index follows the messages: a batch that is run again finds them written
         seen = spark.read.schema(batch.schema).parquet(out).select(

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsflow.operators import merge
 from newsflow.scratch import matching
 from newsflow.sources import key_index, store
 
@@ -40,6 +41,18 @@ def test_new_keys_read_few_buckets_and_old_ones_their_own(spark, path):
     assert len(read) <= 3
 
 
+def test_keys_are_not_sent_to_the_driver(spark, path, monkeypatch):
+    store.write_messages(spark, path, messages(spark, range(30)))
+    found = key_index.lookup(spark, path, messages(spark, [5, 6]))
+    assert found.count() == 2
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    written = spark.range(10).select("id")
+    assert "Broadcast" in spark.range(9).join(merge.sized(written), "id")._jdf.queryExecution().toString()
+    monkeypatch.setattr(merge, "BROADCAST_KEYS", 5)
+    joined = spark.range(9).join(merge.sized(written), "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().toString()
+
+
 def test_moves_repeats_and_other_sources(spark, path):
     store.write_messages(spark, path, messages(spark, range(20)))
     store.write_messages(spark, path, messages(spark, [3], day=2, text="moved"))
