@@ -1,5 +1,7 @@
 """The enrichment steps, by rules or by a model, alone and as one chain."""
 
+from functools import reduce
+
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -213,12 +215,18 @@ def keep_stored(done: DataFrame, messages: DataFrame, first: bool = False) -> Da
               if f in done.columns and f in messages.columns}
     if not fields:
         return done
+    def before_in(field, prefix=""):
+        before = F.col(prefix + field)
+        if field in ("named_entities", "cleared_text"):
+            before = F.when(F.coalesce(F.col(prefix + "cleared_text"), F.lit("")) != "", before)
+        return before
+
+    if messages.filter(reduce(Column.__or__, [before_in(f).isNotNull() for f in fields])).isEmpty():
+        return done  # nothing to keep, so no join
     old = messages.select(*KEY, *[F.col(f).alias(f"_old_{f}") for f in fields])
     both = join_on_key(done, old, KEY, "left")
     for field, step in fields.items():
-        before = F.col(f"_old_{field}")
-        if field in ("named_entities", "cleared_text"):
-            before = F.when(F.coalesce(F.col("_old_cleared_text"), F.lit("")) != "", before)
+        before = before_in(field, "_old_")
         if first:
             both = both.withColumn(field, F.coalesce(before, F.col(field)))
         else:

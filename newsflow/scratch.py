@@ -58,7 +58,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     for paths in getattr(_open, "scopes", [])[-1:]:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,7 +85,7 @@ def temporary(spark: SparkSession):
     def keep(df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(spark, label)
         paths.append(path)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     try:

@@ -135,12 +135,15 @@ def _enrich_round(spark, store, enrich, limit, fields, tried) -> DataFrame | Non
     messages = scan_store(spark, store).drop("publish_day")
     if tried is not None:
         messages = drop_matching(messages, tried, KEY)
-    waiting = materialise(unprocessed(messages, limit, fields), "waiting")
-    if waiting.isEmpty():
+    waiting = unprocessed(messages, limit, fields)
+    if limit is not None:
+        waiting = materialise(waiting, "waiting")
+    keys = materialise(waiting.select(*KEY), "keys")  # the table tells them until it is written
+    if keys.isEmpty():
         return None
     done = message_columns(keep_stored(enrich(waiting), waiting, first=True))
     write_messages(spark, store, done.drop("initial_text"), fixed_dates=True, unique=True)
-    return waiting.select(*KEY)
+    return keys
 
 
 def enrich_incremental(spark: SparkSession, store: str, enrich, limit: int | None = None,

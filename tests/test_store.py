@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsflow.operators import merge, select
 from newsflow.schema import KEY
+from newsflow.scratch import matching
 from newsflow.sources import jsonl, store
 
 
@@ -220,3 +221,35 @@ def test_dump_and_load_round_trip(spark, tmp_path, path):
     only = jsonl.scan_dump(spark, str(folder))
     assert [(r.source, r.message_id, r.initial_text) for r in only.collect()] == [
         ("b", "4", "четвертий")]
+
+
+def test_days_are_merged_in_one_exchange_where_no_message_moves(spark, path, monkeypatch):
+    store.write_messages(spark, path, raw(spark, *[("a", str(i), at(1 + i % 3), f"t{i}") for i in range(9)]))
+
+    def staged(*_):
+        raise AssertionError("days are staged")
+
+    monkeypatch.setattr(store, "_rewrite", staged)
+    done = spark.createDataFrame([("a", str(i), at(1 + i % 3), f"c{i}") for i in range(4)],
+                                 "source string, message_id string, publish_date timestamp, cleared_text string")
+    store.write_messages(spark, path, done, fixed_dates=True, unique=True)
+    got = content(spark, path)
+    assert {k[1]: v for k, v in got.items()} == {
+        str(i): (f"t{i}", f"c{i}" if i < 4 else None, 1 + i % 3) for i in range(9)}
+
+
+def test_a_repeat_that_is_stored_as_it_is_rewrites_no_day(spark, path):
+    rows = [("a", str(i), at(1 + i % 2), f"t{i}") for i in range(4)] + [("a", "n", None, None)]
+    store.write_messages(spark, path, raw(spark, *rows))
+
+    def files():
+        return {day: set(matching(spark, f"{path}/publish_day={day}/*.parquet"))
+                for day in ("2024-01-01", "2024-01-02", "1970-01-01")}
+
+    first = files()
+    days = store.write_messages(spark, path, raw(spark, *rows, rows[0], ("a", "9", at(3), "new")))
+    assert {day.day for day in days} == {1, 2, 3} and files() == first
+    store.write_messages(spark, path, raw(spark, *rows[:3], ("a", "3", at(2), "edited")))
+    assert files()["2024-01-01"] == first["2024-01-01"] and files()["2024-01-02"] != first["2024-01-02"]
+    got = content(spark, path)
+    assert got["a", "3"][0] == "edited" and len(got) == 6
