@@ -3,6 +3,7 @@
 import ctypes
 import sys
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,7 @@ def blocks(texts, limit=BLOCK_BYTES):
 
 def word_codes(block):
     """Words (runs without ASCII white space) of a block: codes, words per text, distinct words."""
-    codes = defaultdict()
-    codes.default_factory = codes.__len__
+    codes = defaultdict(count().__next__)  # its own length would be a cycle, kept till the next collection
     counts, parts = np.zeros(len(block), np.int64), []
     for i, raw in enumerate(block):
         words = raw.split()

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from newsflow.llm.common import blocks, bounded_batches, cached, table, word_codes
+from newsflow.llm.common import blocks, bounded_batches, cached, table, trim, word_codes
 from newsflow.llm.components import components
 from newsflow.scratch import materialise, temporary
 
@@ -184,6 +184,7 @@ def _with_partner(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.loc[keep, ["g", "i", "j", "bucket", "block", "component", "id", "signature"]]
     pdf["first"] = ~pdf["id"].duplicated()
     pdf["signature"] = pdf["signature"].where(pdf["first"], None)
+    trim()
     return pdf
 
 
@@ -225,6 +226,7 @@ def _link_block(pdf: pd.DataFrame) -> pd.DataFrame:
                 if find(part[a]) != find(part[b]) and similar(shingles(a), shingles(b)):
                     root[find(part[a])] = find(part[b])
                     links.append((ids[a], ids[b]))
+    trim()
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
@@ -237,6 +239,7 @@ def _link_star(pdf: pd.DataFrame) -> pd.DataFrame:
         for id_, text in zip(rows["id"][~own], rows["text"][~own]):
             if similar(head, shingle_sets([(text or "").encode()])[0]):
                 links.append((leader, id_))
+    trim()
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
@@ -356,7 +359,9 @@ def keep_first(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows whose id is the smallest of its component, with the columns they came with; rows
     without an id stay."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    # written, so that its number is known: the rows with their texts stay in place if it is small
+    gone = _sent(materialise(found.filter("doc_id <> component_id").select(
+        F.col("doc_id").alias("_gone")).distinct(), "near-copies"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 

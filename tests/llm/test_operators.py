@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, exact round trips and edge cases."""
 
+import gc
 import hashlib
 import re
 import zlib
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from newsflow.llm import (bpe, chat, components, graph_ann, lang_id, line_crf, near_dedup, packing,
                           queries, repetition, suffix_dedup, urls)
-from newsflow.llm.common import blocks, held_out
+from newsflow.llm.common import blocks, held_out, word_codes
 
 SF = "/root/testdata/sf0.001"
 WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -208,6 +209,29 @@ def test_loser_tree_merges_and_counts_common_bytes():
         assert a[:n] == b[:n] and (n == width or a[n] != b[n])
 
 
+def test_words_of_a_block_are_freed_with_it():
+    gc.collect()
+    gc.disable()
+    try:
+        word_codes([b"one two two", b"three"])
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_texts_stay_in_place_where_few_copies_go(spark, edge_docs):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        kept = near_dedup.keep_first(edge_docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert kept.count() < edge_docs.count()
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_near_duplicates_edges(edge_docs, no_docs):
     rows = {r["doc_id"]: r for r in near_dedup.near_duplicates(edge_docs).collect()}
     assert rows[4]["component_id"] == rows[5]["component_id"] == 4
