@@ -92,28 +92,42 @@ def model_step(chunked: DataFrame, requests: DataFrame, step: str, batch_fn,
     would differ on a second call. With a ``ledger`` (a folder) they outlive the job, and a request
     that it answers is not asked again.
     """
+    answers = _replies(requests, step, batch_fn, template, setup, ledger, **pace)
+    fields = [*FIELDS[step], f"{step}_error"]
+    return _aligned(chunked.select(*KEY, "batch_id", "n"), answers, step).select(*KEY, *fields)
+
+
+def _replies(requests: DataFrame, step: str, batch_fn, template: str = "{texts}",
+             setup: dict | None = None, ledger: str | None = None, **pace) -> DataFrame:
+    """The written replies of a step, one per batch."""
     setup = {**(STEP_SETUPS[step] if setup is None else setup), "step": step}
     work = requests.transform(batches.to_prompt, template)
 
     def ask(asked, _):
         return batch_fn(asked, setup)
 
-    answers = materialise(score_once(work, ask, ledger, step, setup, **pace) if ledger
-                          else scoring.score_batches(work, ask, **pace), "answers")
-    keys = chunked.select("source", "message_id", "batch_id", "n")
-    error = f"{step}_error"
+    return materialise(score_once(work, ask, ledger, step, setup, **pace) if ledger
+                       else scoring.score_batches(work, ask, **pace), "answers")
+
+
+def _aligned(placed: DataFrame, answers: DataFrame, step: str) -> DataFrame:
+    """``placed`` (keys, ``batch_id``, ``n``, fields of other steps) with the fields of this step.
+
+    Steps that follow each other join by batch and number, so rows once dealt by these stay."""
     if step == "clean_ner":
-        aligned = batches.align_answers(keys, batches.parse_clean_ner(answers), answers)
-        return aligned.select(*KEY, "cleared_text", "named_entities", F.coalesce(
-            "error", F.when(F.col("cleared_text").isNull(), "not answered")).alias(error))
-    aligned = batches.align_answers(keys, batches.parse_single(answers), answers)
-    value, problem = F.col("value"), F.lit(None).cast("string")
-    if step in ALLOWED:
-        known = F.col("value").isin(list(ALLOWED[step]))
-        value = F.when(known, F.col("value"))
-        problem = F.when(~known, F.concat(F.lit("unknown value: "), F.col("value")))
-    return aligned.select(*KEY, value.alias(step), F.coalesce(
-        "error", problem, F.when(F.col("value").isNull(), "not answered")).alias(error))
+        aligned = batches.align_answers(placed, batches.parse_clean_ner(answers), answers)
+        values = [F.col("cleared_text"), F.col("named_entities")]
+        found, problem = F.col("cleared_text"), F.lit(None).cast("string")
+    else:
+        aligned = batches.align_answers(placed, batches.parse_single(answers), answers)
+        value, problem = F.col("value"), F.lit(None).cast("string")
+        if step in ALLOWED:
+            known = F.col("value").isin(list(ALLOWED[step]))
+            value = F.when(known, F.col("value"))
+            problem = F.when(~known, F.concat(F.lit("unknown value: "), F.col("value")))
+        values, found = [value.alias(step)], F.col("value")
+    return aligned.select(*placed.columns, *values, F.coalesce(
+        "error", problem, F.when(found.isNull(), "not answered")).alias(f"{step}_error"))
 
 
 def embeddings_step(messages: DataFrame, embed_fn, **pace) -> DataFrame:
@@ -159,7 +173,7 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
         raise ValueError(f"unknown steps: {sorted(unknown)}")
     # only keys are numbered and aligned; texts join them for the requests
     chunked = materialise(batches.chunk(messages.select(*KEY, "publish_date"), batch), "chunked")
-    result = chunked.select(*KEY, "publish_date")
+    result, cleared = chunked.select(*KEY, "publish_date", "batch_id", "n"), None
     requests = batches.batch_texts(
         join_on_key(chunked, messages.select(*KEY, "initial_text"), KEY))
     if len(set(batch_fns) - {"embeddings"}) > 1:
@@ -168,18 +182,21 @@ def enrich_by_model(messages: DataFrame, batch_fns: dict, templates: dict | None
         if step not in batch_fns:
             continue
         if step == "embeddings":
-            texts = _texts_to_embed(result, messages)
+            # the other steps are not aligned for it
+            texts = _texts_to_embed(result if cleared is None else cleared, messages)
             # a call takes a batch of texts, so call_size is for the text steps
             made = embeddings_step(texts, batch_fns[step],
                                    **{k: v for k, v in pace.items()
                                       if k not in ("call_size", "rounds")})
-            rows = _name_missing_vectors(texts, made)
+            result = join_on_key(result, _name_missing_vectors(texts, made), KEY, "left")
         else:
-            rows = model_step(chunked, requests, step, batch_fns[step],
-                              (templates or {}).get(step, "{texts}"),
-                              (setups or {}).get(step), ledger, **pace)
-        result = join_on_key(result, rows, KEY, "left")
-    return result
+            answers = _replies(requests, step, batch_fns[step],
+                               (templates or {}).get(step, "{texts}"),
+                               (setups or {}).get(step), ledger, **pace)
+            result = _aligned(result, answers, step)
+            if step == "clean_ner":
+                cleared = _aligned(chunked.select(*KEY, "batch_id", "n"), answers, step)
+    return result.drop("batch_id", "n")
 
 
 def setup_comparison(messages: DataFrame, batch_fn, setups, text_col: str = "initial_text",

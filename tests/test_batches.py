@@ -182,3 +182,23 @@ def test_setup_comparison(spark):
         messages, lambda asked, setup: [f"{setup['setup']}:{a}" for a in asked], setups).collect()
     assert {(r.message_id, r.x, r.y) for r in rows} == {
         (f"{i:05d}", f"x:text a {i}", f"y:text a {i}") for i in range(3)}
+
+
+def test_text_steps_are_aligned_by_batch_alone(spark, monkeypatch):
+    joined = []
+
+    def noted(left, right, key_cols=enrich.KEY, how="inner", join=enrich.join_on_key):
+        joined.append(how)
+        return join(left, right, key_cols, how)
+
+    monkeypatch.setattr(enrich, "join_on_key", noted)
+    messages = spark.createDataFrame([("s", f"m{i}", i, f"text {i}") for i in range(9)],
+                                     "source string, message_id string, publish_date long, "
+                                     "initial_text string")
+    done = enrich.enrich_by_model(messages, {
+        "summary": lambda requests, _: ["Текст #1: one" for _ in requests],
+        "category": lambda requests, _: ["Текст #2: спорт" for _ in requests]}, tasks=2)
+    assert "left" not in joined
+    assert {(r.message_id, r.summary, r.category, r.summary_error) for r in done.collect()} == {
+        (f"m{i}", "one" if i in (0, 6) else None, "спорт" if i in (1, 7) else None,
+         None if i in (0, 6) else "not answered") for i in range(9)}
