@@ -63,15 +63,18 @@ def score_once(requests: DataFrame, batch_fn, path: str, step: str, setup: dict
     keyed = materialise(requests.select(*id_cols, *setup_cols, "request", F.when(
         F.col("request").isNotNull(), request_key(step, setup or {}, setup_cols=setup_cols)
     ).alias("key")), "keyed")
-    once = (keyed.filter(F.col("key").isNotNull()).groupBy("key")
-            .agg(*[F.any_value(c).alias(c) for c in (*setup_cols, "request")]))
+    known = keyed.filter(F.col("key").isNotNull())
+    once = known.select("key").distinct()
     failed = None
     for part in range(rounds):
         asked = once.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == part)
         new = materialise(asked.join(_lookup(spark, path, asked), "key", "left_anti"), "asked")
         if new.isEmpty():
             continue
-        told = materialise(score_batches(new, batch_fn, id_cols=["key"], setup_cols=setup_cols,
+        # only now requests move: those to be asked, copies of one shrunk ahead
+        work = known.join(new, "key", "left_semi").groupBy("key").agg(
+            *[F.any_value(c).alias(c) for c in (*setup_cols, "request")])
+        told = materialise(score_batches(work, batch_fn, id_cols=["key"], setup_cols=setup_cols,
                                          **pace), "told")
         bad = F.col("error").isNotNull() | answer_failed(F.col("answer"))
         (told.filter(~bad).select("key", "answer", _bucket())

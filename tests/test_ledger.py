@@ -6,6 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from newsflow import __main__ as commands
+from newsflow.operators import ledger
 from newsflow.operators.ledger import read_ledger, score_once
 from newsflow.plans import jobs
 from newsflow.sources import store
@@ -129,3 +130,20 @@ def test_options_reach_the_model(spark, tmp_path, log):
     listed = commands.parser().parse_args(["list-channels", path, "--output", str(tmp_path / "l")])
     commands.run(spark, listed)
     assert [r.source for r in spark.read.json(str(tmp_path / "l")).collect()] == ["a"]
+
+
+def test_only_requests_to_be_asked_move(spark, tmp_path, monkeypatch):
+    written = {}
+
+    def noted(df, label, write=ledger.materialise):
+        written.setdefault(label, []).append(df.columns)
+        return write(df, label)
+
+    monkeypatch.setattr(ledger, "materialise", noted)
+    rows = spark.createDataFrame([("s", i, f"text {i % 3}") for i in range(6)],
+                                 "source string, batch_id long, request string")
+    for _ in range(2):
+        told = ledger.score_once(rows, lambda r, _: [x.upper() for x in r], str(tmp_path / "l"), "s")
+        assert {(r.batch_id, r.answer) for r in told.collect()} == {
+            (i, f"TEXT {i % 3}") for i in range(6)}
+    assert written["asked"] == [["key"], ["key"]] and len(written["told"]) == 1
