@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import Binarizer, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -55,14 +55,16 @@ def category_by_rules(messages: DataFrame, lexicon: DataFrame, default: str = DE
 def embeddings_by_rules(messages: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """Hashed word counts as vectors of length one: counts for similarity, presence for classes."""
     worded = messages.withColumn("_words", text.words(F.coalesce("cleared_text", F.lit(""))))
-    for name, binary in (("embedding_sts", False), ("embedding_clf", True)):
-        hashed = HashingTF(numFeatures=dimensions, binary=binary,
-                           inputCol="_words", outputCol="_counts").transform(worded)
-        unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(hashed)
+    # presence follows from the counts, so words are hashed once
+    counted = HashingTF(numFeatures=dimensions, inputCol="_words",
+                        outputCol="_counts").transform(worded)
+    counted = Binarizer(threshold=0.0, inputCol="_counts", outputCol="_present").transform(counted)
+    for name, weights in (("embedding_sts", "_counts"), ("embedding_clf", "_present")):
+        unit = Normalizer(p=2.0, inputCol=weights, outputCol="_unit").transform(counted)
         vector = vector_to_array("_unit", "float32")
-        worded = unit.withColumn(name, F.when(F.col("cleared_text").isNotNull(), vector)) \
-            .drop("_counts", "_unit")
-    return worded.drop("_words")
+        counted = unit.withColumn(name, F.when(F.col("cleared_text").isNotNull(), vector)) \
+            .drop("_unit")
+    return counted.drop("_words", "_counts", "_present")
 
 
 def enrich_all_by_rules(messages: DataFrame, tonality_lexicon: DataFrame,

@@ -100,3 +100,20 @@ def test_noise_takes_linear_time(value):
         assert time.perf_counter() - begin < 5
     assert value(rules.extract_noise, x="see: a.b@c.de,f@g.hi @j.kl q@r.st.u@v.wx").split(";") == [
         "a.b@c.de", "f@g.hi", "@j", "q@r.st", ".u@v.wx"]
+
+
+def test_words_are_hashed_once_for_both_vectors(spark, monkeypatch):
+    made = []
+
+    def noted(*args, make=enrich.HashingTF, **options):
+        made.append(options)
+        return make(*args, **options)
+
+    monkeypatch.setattr(enrich, "HashingTF", noted)
+    rows = spark.createDataFrame([("a a b",), ("",), (None,)], "cleared_text string")
+    both, empty, none = enrich.embeddings_by_rules(rows, 64).collect()
+    assert len(made) == 1
+    assert sorted(x for x in both.embedding_sts if x) == pytest.approx([0.2 ** 0.5, 0.8 ** 0.5])
+    assert sorted(x for x in both.embedding_clf if x) == pytest.approx([0.5 ** 0.5] * 2)
+    assert not any(empty.embedding_sts) and not any(empty.embedding_clf)
+    assert none.embedding_sts is None and none.embedding_clf is None
